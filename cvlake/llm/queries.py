@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cvlake.llm import bpe, langid, license_scan, secrets, token_rollup, toxicity, url_filter
+from cvlake.llm import ann, bpe, decontam, langid, license_scan, ngram_join, secrets, token_rollup, toxicity, url_filter
 from cvlake.llm.common import held_out, may_learn, shared_path, table
 
 #: URL rules (host, then path).
@@ -69,6 +69,18 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), n("assign"), n("access"), n("hex"), F.sha2(base, 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit_on(docs.where(may_learn(F.col("doc_id"))))
@@ -102,8 +114,15 @@ FROM documents d
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_bpe, op4_token_counts, op5_secrets, op9_language, op10_licenses)}
+    own = (op1_url_filter, op2_toxicity, op3_bpe, op4_token_counts, op5_secrets, op6_ann, op7_decontamination, op8_ngram_join, op9_language, op10_licenses, pipeline)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cvlake.llm.common import shared_path, stored
+from cvlake.llm.common import shared_path
 
 SPANS = "array<struct<start:int,ord:int,end:int,kind:string>>"
 
@@ -69,6 +69,10 @@ def spans_of(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return scan(text)
 
 
+def blob_name(text: str) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def rule_key(rules: tuple[Rule, ...]) -> str:
     """Names a set of rule versions; a changed or added rule makes every blob unseen again."""
     return ",".join(f"{r.kind}@{r.version}" for r in rules)
@@ -84,26 +88,28 @@ def _unseen(versions: DataFrame, seen: DataFrame) -> DataFrame:
     return versions.join(mark, "blob", "left").withColumn("text", F.when(F.col("_seen").isNull(), F.col("text"))).drop("_seen")
 
 
-def scan_versions(versions: DataFrame, ledger: str, path: str = "path", text: str = "text", rules: tuple[Rule, ...] = RULES, batch: str = "0") -> DataFrame:
-    """Scan what the ledger (a folder in shared storage) lacks, add it, and return (path, blob, spans) of every row.
+def scan_blobs(texts: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule, ...] = RULES, batch: str = "0") -> DataFrame:
+    """Scan what the ledger (a folder in shared storage) lacks, add it, and return (blob, spans) of blobs with findings.
 
     A batch is written to a folder named by its id, so a repeated or restarted batch replaces itself.
     """
-    spark, key = versions.sparkSession, rule_key(rules)
-    named = versions.select(F.col(path).alias("path"), F.coalesce(text, F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+    spark, key = texts.sparkSession, rule_key(rules)
+    named = texts.select(F.coalesce(text, F.lit("")).alias("text")).withColumn("blob", blob_name("text"))
     past = _read_ledger(spark, ledger)
     if past is not None:
-        past = past.where((F.col("rules") == key) & (F.col("batch") != batch))
-        named = _unseen(named, past.select("blob").distinct())
-    scanned = stored(named.select("path", "blob", spans_of(F.col("text"), rules).alias("spans")), "scanned")
-    new = scanned.where(F.col("spans").isNotNull()).groupBy("blob", F.lit(key).alias("rules")).agg(F.first("spans").alias("spans"))
+        named = _unseen(named, past.where((F.col("rules") == key) & (F.col("batch") != batch)).select("blob").distinct())
+    scanned = named.select("blob", spans_of(F.col("text"), rules).alias("spans")).where(F.col("spans").isNotNull())
+    new = scanned.groupBy("blob", F.lit(key).alias("rules")).agg(F.first("spans").alias("spans"))
     new.write.mode("overwrite").parquet(f"{ledger}/batch={batch}")
-    found = spark.read.schema("blob string, rules string, spans " + SPANS + ", batch string").parquet(ledger).where(F.col("rules") == key)
-    found = found.where(F.size("spans") > 0).select("blob", "spans")
-    if past is not None:
-        found = found.dropDuplicates(["blob"])
-    joined = scanned.select("path", "blob").join(found, "blob", "left")
-    return joined.select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    found = _read_ledger(spark, ledger).where((F.col("rules") == key) & (F.size("spans") > 0)).select("blob", "spans")
+    return found if past is None else found.dropDuplicates(["blob"])
+
+
+def scan_versions(versions: DataFrame, ledger: str, path: str = "path", text: str = "text", rules: tuple[Rule, ...] = RULES, batch: str = "0") -> DataFrame:
+    """scan_blobs, and its findings joined back to all paths: (path, blob, spans) of every row."""
+    found = scan_blobs(versions, ledger, text, rules, batch)
+    paths = versions.select(F.col(path).alias("path"), blob_name(text).alias("blob"))
+    return paths.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def _read_ledger(spark, ledger: str) -> DataFrame | None:
