@@ -1 +1,66 @@
-STAGES = []
+"""A training corpus from documents: five stages, each written as Parquet and read again by the next."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from cvlake.llm import bpe, decontam, ngram_join, secrets
+from cvlake.llm import queries as q
+from cvlake.llm import toxicity
+from cvlake.llm.common import shared_path, table
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.5 or more go. Labels come from the table of labels, texts from docs."""
+    model = q.toxicity_model(spark, docs, sf_dir)
+    return docs.where(toxicity.toxic_score(F.col("text"), model, spark) < 0.5)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by n-gram similarity, the one with the smallest id stays (once, if repeated).
+
+    Documents without a word or an id are in no group and stay.
+    """
+    classes = ngram_join.jaccard_classes(docs).where("class_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "text"]) if _repeats(kept) else kept
+
+
+def _repeats(docs: DataFrame) -> bool:
+    """Whether an id occurs more than once; only ids are shuffled, and usually none does."""
+    return not docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by their kind in brackets; n_chars follows. Every document stays."""
+    found = secrets.scan_blobs(docs, secrets.new_ledger(spark)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    cut = docs.withColumn("_blob", secrets.blob_name("text")).join(found, "_blob", "left")
+    cut = cut.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("_spans"))))
+    return cut.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    spec = bpe.read_spec(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    return docs.select("doc_id", "source", "lang", bpe.digests(spec, F.col("text")).alias("d")).select("doc_id", "source", "lang", "d.*")
+
+
+STAGES = [("toxicity", toxic), ("ngram_join", near_duplicates), ("decontamination", benchmark_leaks), ("secrets", secret_redaction), ("bpe", tokens)]
+
+#: A learned classifier decides in the first stage, so SQL cannot give run()'s rows; tests hold them against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = shared_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
