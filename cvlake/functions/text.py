@@ -18,6 +18,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def quoted(value) -> str:
+    """A Python string or number as a SQL literal."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}D" if isinstance(value, float) else str(value)
+
+
+def literal_map(pairs: dict) -> Column:
+    """A constant map, as one expression."""
+    return F.expr("map(" + ", ".join(quoted(x) for kv in pairs.items() for x in kv) + ")")
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
@@ -40,10 +52,7 @@ def one_line(c: Column) -> Column:
 
 
 def contains_any(c: Column, keys: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for k in keys:
-        out = out | F.contains(c, F.lit(k))
-    return out
+    return let(c, lambda x: F.exists(F.expr("array(" + ", ".join(map(quoted, keys)) + ")"), lambda k: F.contains(x, k)))
 
 
 def first_spellings(items: Column) -> Column:
@@ -92,7 +101,7 @@ def postcode(outward: Column, inward: Column) -> Column:
 
 def month_year(c: Column) -> Column:
     """struct<date, confidence> of "2019" or "March 2019"; a null date and 0 for anything else."""
-    months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
+    months = literal_map(MONTHS)
 
     def read(s: Column) -> Column:
         name, year = F.regexp_extract(s, r"^([a-z]{3,9})\s+((?:19|20)[0-9]{2})$", 1), F.regexp_extract(s, "((?:19|20)[0-9]{2})$", 1)

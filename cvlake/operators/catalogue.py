@@ -8,13 +8,13 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from cvlake.config import CANONICAL_SKILLS, SKILL_ABBREVIATIONS, SKILL_VARIANTS
-from cvlake.functions.text import clip01, cosine, let, strip, title_like
+from cvlake.functions.text import clip01, cosine, let, literal_map, strip, title_like
 
 CANON = "struct<canonical:string,confidence:double,method:string>"
 
 
 def _map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]) if pairs else F.create_map().cast("map<string,string>")
+    return literal_map(pairs) if pairs else F.create_map().cast("map<string,string>")
 
 
 @dataclass(frozen=True)

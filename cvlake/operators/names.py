@@ -80,16 +80,20 @@ def merged_name(a: Column, b: Column) -> Column:
 
 def reconcile(content: Column, file: Column) -> Column:
     """struct<full_name, name_source, name_confidence> from two struct<name, confidence>."""
-    c, f, cc, fc = content["name"], file["name"], content["confidence"], file["confidence"]
-    has_c, has_f = F.coalesce(c != "", F.lit(False)), F.coalesce(f != "", F.lit(False))
     out = lambda n, s, x: F.struct(n.cast("string").alias("full_name"), F.lit(s).alias("name_source"), clip01(x).alias("name_confidence"))
-    return let(
-        token_similarity(c, f),
-        lambda sim: F.when(has_c & ~has_f, out(c, "content", cc))
-        .when(has_f & ~has_c, out(f, "filename", fc))
-        .when(~has_c & ~has_f, out(F.lit(None), "none", F.lit(0.0)))
-        .when(sim >= 0.90, out(c, "merged", F.greatest(cc, fc) + 0.05))
-        .when(sim >= 0.75, out(merged_name(c, f), "merged", F.greatest(cc, fc) - 0.05))
-        .when(cc >= fc, out(c, "content", cc - 0.10))
-        .otherwise(out(f, "filename", fc - 0.10)),
-    )
+
+    def decide(x: Column) -> Column:
+        c, f, cc, fc = x["c"]["name"], x["f"]["name"], x["c"]["confidence"], x["f"]["confidence"]
+        has_c, has_f = F.coalesce(c != "", F.lit(False)), F.coalesce(f != "", F.lit(False))
+        return let(
+            token_similarity(c, f),
+            lambda sim: F.when(has_c & ~has_f, out(c, "content", cc))
+            .when(has_f & ~has_c, out(f, "filename", fc))
+            .when(~has_c & ~has_f, out(F.lit(None), "none", F.lit(0.0)))
+            .when(sim >= 0.90, out(c, "merged", F.greatest(cc, fc) + 0.05))
+            .when(sim >= 0.75, out(merged_name(c, f), "merged", F.greatest(cc, fc) - 0.05))
+            .when(cc >= fc, out(c, "content", cc - 0.10))
+            .otherwise(out(f, "filename", fc - 0.10)),
+        )
+
+    return let(F.struct(content.alias("c"), file.alias("f")), decide)

@@ -170,7 +170,7 @@ def in_sectors(candidates: DataFrame, sectors: tuple[str, ...]) -> DataFrame:
 def rank(candidates: DataFrame, query: str, top_k: int = CONFIG.top_k, catalogue: Catalogue | None = None, config: Config = CONFIG, min_score: float | None = None, query_vector: list[float] | None = None) -> DataFrame:
     """H8, H9: the best candidates with score and explain; ties by sector order, then file name, then id.
 
-    Term statistics are of all candidates given; hard filters come after. min_score (H11) is applied before the limit,
+    candidates should be a stored table, as it is read for the term counts and for the result. Term statistics are of all candidates given; hard filters come after. min_score (H11) is applied before the limit,
     which gives the same rows and sorts fewer. A column vector (array<float>) takes part if query_vector is given.
     """
     order = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in config.sectors]), F.col("sector")), F.lit(0)).alias("sector_order")
