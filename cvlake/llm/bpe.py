@@ -30,7 +30,7 @@ FAST_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!
 ODD = frozenset(c for c in map(chr, range(0x1C, 0x20000)) if unicodedata.category(c) in ("Nl", "No") or c <= "\x1f")
 
 
-NO_LIMIT = np.int64(1) << 40
+NO_LIMIT, NEVER = np.int64(1) << 40, 1 << 40
 
 
 def byte_letters() -> dict[str, int]:
@@ -43,7 +43,7 @@ def byte_letters() -> dict[str, int]:
 class BpeVocabulary:
     """Merge tables of one tokenizer file. Tokens are numbered inside by age: bytes first, then merges in order."""
 
-    def __init__(self, spec: str, cache_words: int = 450_000):
+    def __init__(self, spec: str, cache_words: int = 150_000):
         config = json.loads(spec)
         model, letters = config["model"], byte_letters()
         if model["type"] != "BPE" or (config["pre_tokenizer"] or {}).get("type") != "ByteLevel" or config["normalizer"]:
@@ -67,9 +67,11 @@ class BpeVocabulary:
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.decoded = dict(zip(self.vocab_id, self.content)) | {i: s.encode() for s, i in self.special.items()}
-        self.longest: dict[bytes, int] = {}
+        self.longest: dict[bytes, int] = {}  # longest token by its first three bytes
         for c in self.content:
-            self.longest[c[:2]] = max(self.longest.get(c[:2], 1), len(c))
+            self.longest[c[:3]] = max(self.longest.get(c[:3], 2), len(c))
+        self.id_text = [str(i) for i in self.vocab_id]
+        self.piece = [self.decoded[i] for i in self.vocab_id]
         self.left_of, self.right_of = np.array(self.left, np.int64), np.array(self.right, np.int64)
         keys = np.array([(a << 32) | b for a, b in self.merged], np.int64)
         order = np.argsort(keys)
@@ -83,7 +85,7 @@ class BpeVocabulary:
         """Greedy longest match."""
         out, at, n, age, longest = [], 0, len(word), self.age, self.longest
         while at < n:
-            end = min(n, at + longest.get(word[at : at + 2], 1))
+            end = min(n, at + longest.get(word[at : at + 3], 2))
             while word[at:end] not in age:
                 end -= 1
             out.append(age[word[at:end]])
@@ -121,8 +123,20 @@ class BpeVocabulary:
         return ok
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact BPE: the oldest merge first, the leftmost of equals, in O(n log n)."""
-        n = len(word)
+        """Exact BPE: the oldest merge first, the leftmost of equals; in O(n log n) for long words."""
+        n, get = len(word), self.merged.get
+        if n <= 48:
+            token = list(word)
+            rank = [get(p, NEVER) for p in zip(token, token[1:])]
+            while rank and (m := min(rank)) < NEVER:
+                i = rank.index(m)
+                token[i : i + 2] = [m]
+                del rank[i]
+                if i:
+                    rank[i - 1] = get((token[i - 1], m), NEVER)
+                if i < len(rank):
+                    rank[i] = get((m, token[i + 1]), NEVER)
+            return token
         token, after, before = list(word), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m, i) for i in range(n - 1) if (m := self.merged.get((word[i], word[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -181,12 +195,11 @@ class BpeVocabulary:
             new.discard(w)
         marked = [w for w in new if w[0] == "\0" and w[1:] in self.special]
         plain = list(new.difference(marked))
-        decoded, vocab_id = self.decoded, self.vocab_id
+        id_text, piece = self.id_text, self.piece
         for w, tokens in zip(plain, self.encode_words([w.encode() for w in plain])):
-            ids = [vocab_id[t] for t in tokens]
-            cache[w] = ",".join(map(str, ids)), b"".join([decoded[i] for i in ids])
+            cache[w] = ",".join([id_text[t] for t in tokens]), b"".join([piece[t] for t in tokens])
         for w in marked:
-            cache[w] = str(self.special[w[1:]]), decoded[self.special[w[1:]]]
+            cache[w] = str(self.special[w[1:]]), self.decoded[self.special[w[1:]]]
         return all_words
 
     def encode(self, text: str) -> list[int]:
@@ -197,16 +210,16 @@ class BpeVocabulary:
         return b"".join([self.decoded[i] for i in ids]).decode("utf-8", "replace")
 
 
-_loaded: dict[int, BpeVocabulary] = {}
+class _Lazy:
+    """The vocabulary, built where it is used and gone with the task, so no worker keeps its tables and words."""
 
+    def __init__(self, spec):
+        self.spec, self.built = spec, None
 
-def _vocabulary(spec) -> BpeVocabulary:
-    """One instance for each Python worker and tokenizer."""
-    key = hash(spec.value)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = BpeVocabulary(spec.value)
-    return _loaded[key]
+    def __call__(self) -> BpeVocabulary:
+        if self.built is None:
+            self.built = BpeVocabulary(self.spec.value)
+        return self.built
 
 
 def read_spec(spark: SparkSession, tokenizer_path: str):
@@ -218,9 +231,11 @@ def read_spec(spark: SparkSession, tokenizer_path: str):
 def digests(spec, text: Column, batch: int = 64) -> Column:
     """struct<n_tokens, ids_sha256, decoded_sha256> of a text column."""
 
+    vocabulary = _Lazy(spec)
+
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
     def encode_digests(texts: pa.Array) -> pa.Array:
-        v, counts, ids_sha, text_sha = _vocabulary(spec), [], [], []
+        v, counts, ids_sha, text_sha = vocabulary(), [], [], []
         for at in range(0, len(texts), batch):
             part = [t or "" for t in texts.slice(at, batch).to_pylist()]
             for words in v.learn(part):
@@ -238,9 +253,11 @@ def digests(spec, text: Column, batch: int = 64) -> Column:
 def token_ids(spec, text: Column) -> Column:
     """array<int> of token ids of a text column."""
 
+    vocabulary = _Lazy(spec)
+
     @F.arrow_udf("array<int>")
     def encode_ids(texts: pa.Array) -> pa.Array:
-        v = _vocabulary(spec)
+        v = vocabulary()
         return pa.array([v.encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
 
     return encode_ids(text)
@@ -249,9 +266,11 @@ def token_ids(spec, text: Column) -> Column:
 def decoded_text(spec, ids: Column) -> Column:
     """The text of an array<int> of token ids (null: empty); ids that the vocabulary lacks raise KeyError."""
 
+    vocabulary = _Lazy(spec)
+
     @F.arrow_udf("string")
     def decode_ids(rows: pa.Array) -> pa.Array:
-        v = _vocabulary(spec)
+        v = vocabulary()
         return pa.array([v.decode(r or []) for r in rows.to_pylist()], pa.string())
 
     return decode_ids(ids)

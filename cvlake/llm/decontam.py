@@ -25,14 +25,16 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.6, 0.5
-BLOCK, SHARD, HALF, GRAM = 16, 4096, 64, 5
+BLOCK, SHARD, HALF, GRAM = 4, 4096, 64, 5
 
 
 class BenchmarkIndex(NamedTuple):
     items: list  # item ids
     terms: dict[str, int]
     block_max: np.ndarray  # terms x blocks
-    postings: list[tuple[np.ndarray, np.ndarray]]  # by term: places of items, impacts
+    first: np.ndarray  # by term: where its postings begin; one more for the end
+    place: np.ndarray  # of postings, by term: places of items
+    impact: np.ndarray
     question: list[set]
     answer: list[set]
     half: int
@@ -83,17 +85,15 @@ def build(items: list[tuple], n_items: int, frequency: dict[str, int], average:
             postings[t].append((place, impact))
     parts = [split_item(t) for _, t, _ in items]
     half = max([HALF, *(len(w) for _, _, w in items)])
-    return BenchmarkIndex([i for i, _, _ in items], terms, block_max, [(np.array([p for p, _ in x]), np.array([v for _, v in x])) for x in postings], [grams(q) for q, _ in parts], [grams(a) if a else set() for _, a in parts], half)
+    return BenchmarkIndex([i for i, _, _ in items], terms, block_max, np.cumsum([0, *map(len, postings)]), np.array([p for x in postings for p, _ in x], int), np.array([v for x in postings for _, v in x]), [grams(q) for q, _ in parts], [grams(a) if a else set() for _, a in parts], half)
 
 
 def retrieve(terms: np.ndarray, bounds: np.ndarray, index: BenchmarkIndex, threshold: float) -> list[tuple[int, float]]:
     """(place, score) of every item that reaches the threshold for a set of distinct terms; bounds: by block."""
-    open_blocks = bounds >= threshold
-    score = np.zeros(len(index.items))
-    for t in terms:
-        places, impacts = index.postings[t]
-        use = open_blocks[places // BLOCK]
-        score[places[use]] += impacts[use]
+    n = index.first[terms + 1] - index.first[terms]
+    at = np.repeat(index.first[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    at = at[(bounds >= threshold)[index.place[at] // BLOCK]]
+    score = np.bincount(index.place[at], index.impact[at], len(index.items))
     return [(int(p), float(score[p])) for p in np.flatnonzero(score >= threshold)]
 
 

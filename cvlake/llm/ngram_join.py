@@ -38,7 +38,7 @@ KEYS = ROWS * BANDS
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(0, 1 << 63, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _rng.integers(0, 1 << 63, KEYS, dtype=np.uint64)
-FEATURES = "struct<key:string,sig:binary,bands:array<bigint>>"
+FEATURES = "struct<key:binary,sig:binary,bands:array<bigint>>"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -52,7 +52,7 @@ def shingle_hashes(text: str, n: int, known: dict[str, int]) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(known) > 300_000:
+    if len(known) > 150_000:
         known.clear()
     for w in set(words).difference(known):
         known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
@@ -87,14 +87,14 @@ def features(text: Column, n: int = SHINGLE) -> Column:
     @F.arrow_udf(FEATURES)
     def shingle_features(texts: pa.Array) -> pa.Array:
         out = []
-        for t in texts.to_pylist():
+        for t in (x.as_py() for x in texts):
             h = shingle_hashes(t or "", n, known)
             if not len(h):
                 out.append(None)
                 continue
             sig = min_hashes(h)
-            out.append({"key": hashlib.blake2b(h.tobytes(), digest_size=16).hexdigest(), "sig": sig.tobytes(), "bands": band_keys(sig).tolist()})
-        return pa.array(out, pa.struct([("key", pa.string()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))]))
+            out.append({"key": hashlib.blake2b(h.tobytes(), digest_size=16).digest(), "sig": sig.tobytes(), "bands": band_keys(sig).tolist()})
+        return pa.array(out, pa.struct([("key", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))]))
 
     return shingle_features(text)
 
@@ -225,7 +225,7 @@ def _verifier(n: int, threshold: float):
         known: dict[str, int] = {}
         for frame in _cells(batches):
             # ids can be repeated with other texts: keep, once, the text that the class was made from
-            digest = {t: hashlib.blake2b(shingle_hashes(t, n, known).tobytes(), digest_size=16).hexdigest() for t in frame["text"].unique()}
+            digest = {t: hashlib.blake2b(shingle_hashes(t, n, known).tobytes(), digest_size=16).digest() for t in frame["text"].unique()}
             frame = frame[frame["text"].map(digest) == frame["key"]].drop_duplicates(["cell", "place"]).reset_index(drop=True)
             starts = _bounds(frame["cell"].to_numpy())
             for s, e in zip(starts[:-1], starts[1:]):
@@ -293,19 +293,22 @@ def jaccard_classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
     classes = made.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
 
-    posted = classes.select("key", F.posexplode("bands").alias("band", "bucket"))
-    full = stored(posted.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = classes.select("key", "doc_id", "size", "sig", F.posexplode("bands").alias("band", "bucket")).join(full, ["band", "bucket"])
+    # a bucket's key tells its band, too. Only names go through the two shuffles by bucket; MinHash values follow for the
+    # few classes that share one. Sort-merge joins at every size: what is small here is not small there.
+    posted = classes.select("key", F.explode("bands").alias("bucket"))
+    full = stored(posted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = posted.join(full.hint("merge"), "bucket").join(classes.hint("merge"), "key")
+    members = members.withColumn("band", F.array_position("bands", F.col("bucket")).cast("int") - 1)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     members = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     members = members.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    members = members.withColumn("cell", F.xxhash64("band", "bucket", "low", "high")).drop("n", "other", "bucket")
+    members = members.withColumn("cell", F.xxhash64("bucket", "low", "high")).drop("n", "other", "bucket", "bands")
     members = members.repartition("cell").sortWithinPartitions("cell", "key")
-    left = stored(members.mapInPandas(_survivors, "cell bigint, key string, doc_id bigint, size bigint, place int, partners array<int>"), "survivors")
+    left = stored(members.mapInPandas(_survivors, "cell bigint, key binary, doc_id bigint, size bigint, place int, partners array<int>"), "survivors")
 
-    with_text = left.join(rows, "doc_id").repartition("cell").sortWithinPartitions("cell", "place")
-    links = stored(with_text.mapInPandas(_verifier(n, threshold), "key string, links bigint, root string"), "links")
+    with_text = left.hint("merge").join(rows, "doc_id").repartition("cell").sortWithinPartitions("cell", "place")
+    links = stored(with_text.mapInPandas(_verifier(n, threshold), "key binary, links bigint, root binary"), "links")
 
     roots = components(links, "key", "root")
     linked = links.groupBy("key").agg(F.sum("links").alias("links")).join(roots, F.col("key") == F.col("node"), "left").select("key", "links", F.coalesce("root", "key").alias("root"))

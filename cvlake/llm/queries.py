@@ -45,7 +45,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.insert("1", docs, "words-1")
     rollup.delete("2", toxic)
     rollup.delete("2", toxic)
-    rollup.revise("3", docs.where("lang <> 'en'").join(toxic, "doc_id", "left_anti"), "pieces-2")
+    rollup.revise("3", docs.where("lang <> 'en'"), "pieces-2", without=toxic)
     return rollup.totals()
 
 

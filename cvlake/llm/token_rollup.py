@@ -86,9 +86,16 @@ class TokenRollup:
     def delete(self, batch: str, doc_ids: DataFrame) -> bool:
         return self.commit(batch, self.taken_back(doc_ids))
 
-    def revise(self, batch: str, docs: DataFrame, version: str) -> bool:
-        """New texts, or the same texts counted by another version: what stood before is taken back in the same batch."""
-        return self.commit(batch, self.taken_back(docs).unionByName(self.counted(docs, version)))
+    def revise(self, batch: str, docs: DataFrame, version: str, without: DataFrame | None = None) -> bool:
+        """New texts, or the same texts counted by another version: what stood before is taken back in the same batch.
+
+        without: ids to leave alone. They are left out after counting, so that no text is shuffled for it.
+        """
+        counted, ids = self.counted(docs, version), docs.select("doc_id")
+        if without is not None:
+            gone = without.select("doc_id").distinct()
+            counted, ids = counted.join(gone, "doc_id", "left_anti"), ids.join(gone, "doc_id", "left_anti")
+        return self.commit(batch, self.taken_back(ids).unionByName(counted))
 
     def totals(self) -> DataFrame:
         sums = self._read("rollup", ROLLUP).groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES])

@@ -160,7 +160,7 @@ def score(text: str, model: ToxicityModel, known: dict[str, tuple[float, int]])
     for w, weight in word_weights(text).items():
         k = known.get(w)
         if k is None:
-            if len(known) > 250_000:
+            if len(known) > 150_000:
                 known.clear()
             g = subwords(w, len(model.weight))
             k = known[w] = float(model.weight[g].sum()) if g else 0.0, len(g)
@@ -193,6 +193,6 @@ def toxic_score(text: Column, model: ToxicityModel, spark) -> Column:
     @F.arrow_udf("double")
     def toxicity(texts: pa.Array) -> pa.Array:
         m = shared.value
-        return pa.array([score(t or "", m, known) for t in texts.to_pylist()], pa.float64())
+        return pa.array([score(t.as_py() or "", m, known) for t in texts], pa.float64())
 
     return toxicity(text)
