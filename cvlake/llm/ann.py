@@ -137,7 +137,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, pivots: int = PIVOT
 
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = search_cell(left, right, int(key[0]), n_pivots, depth, n_posted, k, rerank) if len(left) and len(right) else []
-        return pd.DataFrame({"query_id": [q for q, _, _ in found], "ids": [i.tolist() for _, i, _ in found], "scores": [s.tolist() for _, _, s in found]})
+        return pd.DataFrame({"query_id": [q for q, _, _ in found], "ids": pd.Series([i.tolist() for _, i, _ in found], dtype=object), "scores": pd.Series([s.tolist() for _, _, s in found], dtype=object)})
 
     found = asked.select(*columns).groupBy(*keys).cogroup(posted.select(*columns).groupBy(*keys)).applyInPandas(meet, "query_id bigint, ids array<bigint>, scores array<double>")
     # at most n_probed rows of k for each cell a query looked into
