@@ -36,22 +36,33 @@ class ToxicityModel(NamedTuple):
     prior: float  # score of a text without words
 
 
-def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of a lower-cased word's character 3- to 5-grams and of the word itself; none for bare punctuation."""
-    core = EDGES.sub("", word)
-    if not core:
-        return []
-    marked = f"<{core}>"
-    if len(core) > 64:  # a run this long is no word: its 5-grams only
-        grams = [marked[i : i + 5] for i in range(len(marked) - 4)]
-    else:
-        grams = [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)] + [marked + "="]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams]
-
-
-def word_weights(text: str) -> dict[str, float]:
+def subwords(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """For lower-cased words: places of words, and buckets of their character 3- to 5-grams and of the words themselves.
+
+    Bare punctuation has none. A run of over 64 characters is no word and has its 5-grams only.
+    """
+    marked = [f"<{core}>" if (core := EDGES.sub("", w)) else "" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    length = np.fromiter(map(len, marked), np.int64, len(marked))
+    owner, left = np.repeat(np.arange(len(words)), length), np.repeat(np.cumsum(length), length) - np.arange(len(codes))
+    named = np.flatnonzero((length > 0) & (length <= 66))
+    owners = [named]
+    hashes = [np.fromiter((zlib.crc32(marked[i].encode("utf-8", "surrogatepass")) for i in named), np.uint64, len(named))]
+    for n in (3, 4, 5):
+        at = np.flatnonzero((left >= n) & ((n == 5) | (length[owner] <= 66)))
+        h = np.full(len(at), n, np.uint64)
+        for i in range(n):
+            h = (h + codes[at + i]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        owners.append(owner[at])
+        hashes.append(h)
+    return np.concatenate(owners), (np.concatenate(hashes) % np.uint64(buckets)).astype(np.int64)
+
+
+def word_weights(text: str) -> tuple[list[str], np.ndarray]:
     """Words and their weights in the average: 1 + ln of the count, so that one word said a thousand times is no text."""
-    return {w: 1.0 + math.log(n) for w, n in Counter(text.lower().split()).items()}
+    counts = Counter(text.lower().split())
+    return list(counts), 1.0 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
 
 
 class _Sparse:
@@ -95,22 +106,22 @@ def fit(texts: list[str], labels: list[int], base_rate: float | None = None, rou
     vocabulary: dict[str, int] = {}
     doc, word, count = [], [], []
     for d, text in enumerate(texts):
-        for w, n in word_weights(text).items():
-            doc.append(d)
-            word.append(vocabulary.setdefault(w, len(vocabulary)))
-            count.append(n)
-    grams = [subwords(w) for w in vocabulary]
-    doc, word, count = np.array(doc, int), np.array(word, int), np.array(count, np.float32)
-    lengths = np.array([len(g) for g in grams], np.float32)
+        words, weights = word_weights(text)
+        doc += [d] * len(words)
+        word += [vocabulary.setdefault(w, len(vocabulary)) for w in words]
+        count.append(weights)
+    doc, word, count = np.array(doc, int), np.array(word, int), np.concatenate(count).astype(np.float32)
+    owner, bucket = subwords(list(vocabulary))
+    lengths = np.bincount(owner, minlength=len(vocabulary)).astype(np.float32)
     total = np.maximum(np.bincount(doc, count * lengths[word], len(texts)), 1)
     # a word of few texts teaches nothing that carries over; it still counts in the average
-    often = np.bincount(word, minlength=len(grams)) >= LEAST_TEXTS
+    often = np.bincount(word, minlength=len(vocabulary)) >= LEAST_TEXTS
     kept = often[word]
     doc, word, count = doc[kept], word[kept], count[kept]
-    lengths = np.where(often, lengths, 0).astype(int)
-    used, flat = np.unique(np.array([b for g, o in zip(grams, often) if o for b in g], int), return_inverse=True)
-    of_docs = _Sparse(doc, word, count / total[doc], (len(texts), len(grams)))
-    of_words = _Sparse(np.repeat(np.arange(len(grams)), lengths), flat, np.ones(len(flat)), (len(grams), len(used)))
+    owner, bucket = owner[often[owner]], bucket[often[owner]]
+    used, flat = np.unique(bucket, return_inverse=True)
+    of_docs = _Sparse(doc, word, count / total[doc], (len(texts), len(vocabulary)))
+    of_words = _Sparse(owner, flat, np.ones(len(flat)), (len(vocabulary), len(used)))
     rng = np.random.default_rng(seed)
     check = rng.random(len(texts)) < 0.25  # not trained on: gives the scale of the scores
     if len(set(y[check])) < 2 or len(set(y[~check])) < 2:
@@ -155,20 +166,31 @@ def _calibrate(z: np.ndarray, y: np.ndarray, base_rate: float) -> tuple[float, f
     return float(beta[0] / spread), float(beta[1] - beta[0] * z.mean() / spread)
 
 
-def score(text: str, model: ToxicityModel, known: dict[str, tuple[float, int]]) -> float:
-    total, n = 0.0, 0.0
-    for w, weight in word_weights(text).items():
-        k = known.get(w)
-        if k is None:
-            if len(known) > 150_000:
-                known.clear()
-            g = subwords(w, len(model.weight))
-            k = known[w] = float(model.weight[g].sum()) if g else 0.0, len(g)
-        total += weight * k[0]
-        n += weight * k[1]
-    if not n:
-        return model.prior
-    return float(1 / (1 + np.exp(-np.clip(model.scale * total / n + model.bias, -30, 30))))
+class Scorer:
+    """Scores texts by a model, with the parts of words met so far."""
+
+    def __init__(self, model: ToxicityModel, most_words: int = 150_000):
+        self.model, self.most_words = model, most_words
+        self.part: dict[str, float] = {}
+        self.size: dict[str, int] = {}
+
+    def learn(self, words: list[str]) -> None:
+        owner, bucket = subwords(words, len(self.model.weight))
+        self.part.update(zip(words, np.bincount(owner, self.model.weight[bucket], len(words)).tolist()))
+        self.size.update(zip(words, np.bincount(owner, minlength=len(words)).tolist()))
+
+    def scores(self, texts: list[str]) -> list[float]:
+        if len(self.part) > self.most_words:
+            self.part.clear()
+            self.size.clear()
+        bags = [word_weights(t) for t in texts]
+        self.learn(list(set().union(*[words for words, _ in bags]).difference(self.part)))
+        out, m = [], self.model
+        for words, weights in bags:
+            n = float(weights @ np.fromiter(map(self.size.__getitem__, words), np.float64, len(words)))
+            total = float(weights @ np.fromiter(map(self.part.__getitem__, words), np.float64, len(words)))
+            out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, m.scale * total / n + m.bias)))) if n else m.prior)
+        return out
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, max_chars: int = MAX_CHARS) -> ToxicityModel:
@@ -185,14 +207,18 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CL
     return fit([r.text for r in rows], [r.toxic for r in rows], share)
 
 
-def toxic_score(text: Column, model: ToxicityModel, spark) -> Column:
+def toxic_score(text: Column, model: ToxicityModel, spark, batch: int = 64) -> Column:
     """Score (0 to 1) of a text column."""
     shared = spark.sparkContext.broadcast(model)
-    known: dict[str, tuple[float, int]] = {}
+    built: list[Scorer] = []
 
     @F.arrow_udf("double")
     def toxicity(texts: pa.Array) -> pa.Array:
-        m = shared.value
-        return pa.array([score(t.as_py() or "", m, known) for t in texts], pa.float64())
+        if not built:
+            built.append(Scorer(shared.value))
+        out: list[float] = []
+        for at in range(0, len(texts), batch):
+            out += built[0].scores([t or "" for t in texts.slice(at, batch).to_pylist()])
+        return pa.array(out, pa.float64())
 
     return toxicity(text)
