@@ -5,8 +5,9 @@ embedding table. A text is the average over all its words' subwords, and a linea
 misspelling the training never saw still shares most n-grams with the word meant. As the model is linear behind the
 average, a word's part of the score is two numbers, which workers keep for words they have met.
 
-Only fitting is bounded (rows_per_class labels, texts up to max_chars); every text is scored whole. Null and empty texts, and texts
-without a letter or digit, score the model's prior. Rows are scored one by one with no shuffle of texts.
+Only fitting is bounded: by rows_per_class labels, chosen whatever the length of their texts, and by most_words different
+words of a text, drawn from all of it. Every text is scored whole. Null and empty texts, and texts without a letter or
+digit, score the model's prior. Rows are scored one by one with no shuffle of texts.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from cvlake.llm.common import bounded_sample
 
-ROWS_PER_CLASS, MAX_CHARS, BUCKETS, DIM = 1200, 6_000, 1 << 17, 8
+ROWS_PER_CLASS, MOST_WORDS, BUCKETS, DIM = 1200, 2_500, 1 << 17, 8
 ALPHA, LEAST_TEXTS = 0.5, 5
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -65,6 +66,17 @@ def word_weights(text: str) -> tuple[list[str], np.ndarray]:
     return list(counts), 1.0 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
 
 
+def drawn_words(text: str, most: int) -> tuple[list[str], list[float]]:
+    """Words and weights as word_weights() has them; of a text with more than most different words, most of them drawn by hash from all of it."""
+    words, weights = word_weights(text)
+    if len(words) > most:
+        salt = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+        spot = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass"), salt) for w in words), np.uint64, len(words))
+        at = np.sort(np.argsort(spot, kind="stable")[:most])
+        words, weights = [words[i] for i in at], weights[at]
+    return words, weights.tolist()
+
+
 class _Sparse:
     """A sparse matrix in rows, with what its transposed product needs; numpy only."""
 
@@ -94,8 +106,13 @@ class _Sparse:
         return self._times(self.by_col, self.shape[1], x)
 
 
-def fit(texts: list[str], labels: list[int], base_rate: float | None = None, rounds: int = 60, rate: float = 0.1, seed: int = 7) -> ToxicityModel:
-    """Train on labelled texts (a bounded sample). base_rate: share of label 1 among all labelled rows."""
+def fit(texts: list[str], labels: list[int], base_rate: float | None = None, **how) -> ToxicityModel:
+    """Train on whole labelled texts."""
+    return fit_bags([word_weights(t) for t in texts], labels, base_rate, **how)
+
+
+def fit_bags(bags: list[tuple[list[str], list[float]]], labels: list[int], base_rate: float | None = None, rounds: int = 60, rate: float = 0.1, seed: int = 7) -> ToxicityModel:
+    """Train on labelled bags of words (a bounded sample). base_rate: share of label 1 among all labelled rows."""
     y = np.array(labels, np.float32)
     if base_rate is None:
         base_rate = float(y.mean()) if len(y) else 0.5
@@ -104,34 +121,33 @@ def fit(texts: list[str], labels: list[int], base_rate: float | None = None, rou
         prior = (1.0 if labels[0] else 0.0) if labels else base_rate
         return ToxicityModel(np.zeros(BUCKETS, np.float32), 1.0, float(np.log(base_rate / (1 - base_rate))), min(max(prior, 1e-3), 1 - 1e-3))
     vocabulary: dict[str, int] = {}
-    doc, word, count = [], [], []
-    for d, text in enumerate(texts):
-        words, weights = word_weights(text)
-        doc += [d] * len(words)
-        word += [vocabulary.setdefault(w, len(vocabulary)) for w in words]
-        count.append(weights)
-    doc, word, count = np.array(doc, int), np.array(word, int), np.concatenate(count).astype(np.float32)
+    word, count = [], []
+    for words, weights in bags:
+        word.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
+        count.append(np.asarray(weights, np.float32))
+    doc = np.repeat(np.arange(len(bags), dtype=np.int32), [len(x) for x in word])
+    word, count = np.concatenate(word), np.concatenate(count)
     owner, bucket = subwords(list(vocabulary))
     lengths = np.bincount(owner, minlength=len(vocabulary)).astype(np.float32)
-    total = np.maximum(np.bincount(doc, count * lengths[word], len(texts)), 1)
+    total = np.maximum(np.bincount(doc, count * lengths[word], len(bags)), 1)
     # a word of few texts teaches nothing that carries over; it still counts in the average
     often = np.bincount(word, minlength=len(vocabulary)) >= LEAST_TEXTS
     kept = often[word]
     doc, word, count = doc[kept], word[kept], count[kept]
     owner, bucket = owner[often[owner]], bucket[often[owner]]
     used, flat = np.unique(bucket, return_inverse=True)
-    of_docs = _Sparse(doc, word, count / total[doc], (len(texts), len(vocabulary)))
+    of_docs = _Sparse(doc, word, count / total[doc], (len(bags), len(vocabulary)))
     of_words = _Sparse(owner, flat, np.ones(len(flat)), (len(vocabulary), len(used)))
     rng = np.random.default_rng(seed)
-    check = rng.random(len(texts)) < 0.25  # not trained on: gives the scale of the scores
+    check = rng.random(len(bags)) < 0.25  # not trained on: gives the scale of the scores
     if len(set(y[check])) < 2 or len(set(y[~check])) < 2:
-        check = np.zeros(len(texts), bool)
+        check = np.zeros(len(bags), bool)
     weight = np.where(y == 1, 0.5 / max(1, (y[~check] == 1).sum()), 0.5 / max(1, (y[~check] == 0).sum())) * ~check
     table = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
     out = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros((1, 2), np.float32)
     # a subword's step is the larger the less of the average it makes up, else "the" would outweigh all rare words
-    usage = of_words.t_dot(of_docs.t_dot(np.full((len(texts), 1), 1 / len(texts), np.float32)))
+    usage = of_words.t_dot(of_docs.t_dot(np.full((len(bags), 1), 1 / len(bags), np.float32)))
     pace = ((usage + usage.mean()) / usage.mean()) ** -ALPHA
     moments = [np.zeros_like(p) for p in (table, out, bias)]
     target = np.stack([1 - y, y], 1)
@@ -193,18 +209,25 @@ class Scorer:
         return out
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, max_chars: int = MAX_CHARS) -> ToxicityModel:
+def fit_on(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, most_words: int = MOST_WORDS) -> ToxicityModel:
     """Fit on documents (doc_id, text) of a bounded sample of labels (doc_id, toxic); other labels than 0 and 1 are left out.
 
-    The sample is taken from the labels alone; at most 4 * rows_per_class ids are then broadcast to find their texts.
+    The sample is taken from the labels alone; at most 4 * rows_per_class ids are then broadcast to find their texts, and
+    of each text its words come back.
     """
+
+    @F.arrow_udf("struct<words string, weights array<float>>")
+    def bag(texts: pa.Array) -> pa.Array:
+        bags = [drawn_words(t, most_words) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([" ".join(w) for w, _ in bags], pa.string()), pa.array([x for _, x in bags], pa.list_(pa.float32()))], ["words", "weights"])
+
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     chosen = bounded_sample(usable, "doc_id", "toxic", rows_per_class)
-    texts = docs.where(F.length("text").between(1, max_chars)).select("doc_id", "text")
-    rows = texts.join(F.broadcast(chosen), "doc_id").limit(8 * rows_per_class).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text, r.toxic))
+    texts = docs.where(F.length("text") >= 1).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = texts.select("doc_id", "toxic", bag(F.col("text")).alias("bag")).limit(8 * rows_per_class).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.bag.words, r.toxic))
     share = usable.agg(F.avg("toxic")).first()[0]
-    return fit([r.text for r in rows], [r.toxic for r in rows], share)
+    return fit_bags([(r.bag.words.split(), r.bag.weights) for r in rows], [r.toxic for r in rows], share)
 
 
 def toxic_score(text: Column, model: ToxicityModel, spark, batch: int = 64) -> Column:

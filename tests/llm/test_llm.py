@@ -86,6 +86,19 @@ def test_toxicity_hard_cases(spark):
     assert toxicity.fit([], []).prior > 0 and 0 < toxicity.fit(["x"], [1]).prior < 1
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    """All labelled texts are long, and most words of a text are drawn from all of it."""
+    plain = [f"plain{i % 9} account{i % 7}" for i in range(400)]
+    texts = {i: " ".join([*plain, *(["vile idiot"] if i % 2 else ["calm day"]) * 60, *plain]) for i in range(40)}
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id bigint, toxic int")
+    assert min(map(len, texts.values())) > 6_000
+    scorer = toxicity.Scorer(toxicity.fit_on(docs_of(spark, texts.items()), labels))
+    assert [s >= 0.5 for s in scorer.scores(list(texts.values()))] == [i % 2 == 1 for i in texts]
+    words, weights = toxicity.drawn_words(" ".join(f"w{i:05d} w{i:05d}" for i in range(20_000)), 1_000)
+    tenths = np.bincount([int(w[1:]) // 2_000 for w in words], minlength=10)
+    assert len(words) == len(weights) == 1_000 and tenths.min() > 50 and set(weights) == {1 + np.log(2)}
+
+
 # 3: BPE
 
 
