@@ -1,6 +1,6 @@
 """Licence detection by canonical digests of entire texts.
 
-A text is put in canonical form - lower case, copyright lines dropped, punctuation and spacing levelled, equivalent
+A text is put in canonical form - lower case, copyright and title lines dropped, punctuation and spacing levelled, equivalent
 spellings made one - and its SHA-256 is looked up among the digests of known licences. The same is done for each line,
 as a licence notice is a line that is wholly the notice. Only column functions are used, row by row, with no shuffle.
 
@@ -15,6 +15,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cvlake.llm import license_table
+
 #: Pairs of equivalent spellings (first becomes second).
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact",
@@ -53,8 +55,16 @@ Permission is granted to anyone to use this software for any purpose, including
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
 }
 
-#: A line that only says whose the copyright is. Matched on lower-cased text.
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(\(c\)|©|copyright[ \t]*(\(c\)|©|[0-9]|<|\[|by )|all rights reserved)[^\n]*$"
+#: Of each licence its texts and of each notice its wordings: those above, whole texts in usual editions, more notices.
+EDITIONS = license_table.editions(KNOWN)
+
+
+def _texts(known: dict) -> list[tuple[str, str]]:
+    return [(name, t) for name, texts in known.items() for t in ([texts] if isinstance(texts, str) else texts)]
+
+
+#: A line that only says whose the copyright is, or is a title. Matched on lower-cased text.
+COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*((\(c\)|©|copyright[ \t]*(\(c\)|©|:|[0-9]|<|\[|by )|all rights reserved)[^\n]*$" + f"|{license_table.name_line([t for _, t in _texts(EDITIONS)])}|{license_table.title_line()})"
 #: What separates words: anything but ASCII letters, digits, and letters beyond ASCII.
 NOT_WORD = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
@@ -62,7 +72,7 @@ NOT_WORD = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 def canonical_words(text: Column) -> Column:
     """Words of the canonical form before spellings are levelled."""
     low = F.lower(text)
-    low = F.when(low.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low)
+    low = F.when(low.rlike(r"copyright|\(c\)|©|all rights reserved|licen[cs]e"), F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low)
     return F.filter(F.split(low, NOT_WORD), lambda w: w != "")
 
 
@@ -77,10 +87,10 @@ def canonical_text(text: str) -> str:
     return " ".join(SPELLINGS.get(w, w) for w in re.split(NOT_WORD, low) if w)
 
 
-def known_digests(known: dict[str, str] = KNOWN) -> dict[str, str]:
+def known_digests(known: dict[str, str | tuple[str, ...]] = EDITIONS) -> dict[str, str]:
     """Digest to licence; of two names for one text the first is kept."""
     out: dict[str, str] = {}
-    for name, text in known.items():
+    for name, text in _texts(known):
         out.setdefault(hashlib.sha256(canonical_text(text).encode()).hexdigest(), name)
     return out
 
@@ -91,10 +101,10 @@ def digest(text: Column, lengths: set[int]) -> Column:
     return F.when(F.size(words).isin(*sorted(lengths)), F.sha2(_spell(words), 256))
 
 
-def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", known: dict[str, str] = KNOWN) -> DataFrame:
+def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", known: dict[str, str | tuple[str, ...]] = EDITIONS) -> DataFrame:
     """(path, license, notices) of each row: the licence that the whole text is, and those that single lines are."""
     spark, names = files.sparkSession, known_digests(known)
-    lengths = {len(canonical_text(t).split(" ")) for t in known.values()}
+    lengths = {len(canonical_text(t).split(" ")) for _, t in _texts(known)}
     short = {n for n in lengths if n <= 40}
     lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     table = F.broadcast(spark.createDataFrame(list(names.items()), "digest string, license string"))

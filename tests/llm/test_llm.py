@@ -3,15 +3,17 @@
 import hashlib
 import itertools
 import re
+import textwrap
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from cvlake.llm import ann, bpe, decontam, langid, license_scan, ngram_join, queries, secrets, token_rollup, toxicity, url_filter
+from cvlake.llm import ann, bpe, decontam, langid, license_scan, license_table, ngram_join, queries, secrets, token_rollup, toxicity, url_filter
 from cvlake.llm.common import shared_path
 
 LONG = " ".join(f"word{i % 977} of the {i % 31} plain account" for i in range(12_000))
@@ -324,6 +326,40 @@ def test_license_spellings(spark):
     assert got == {"a": ("MIT", ""), "b": ("MIT", ""), "c": (None, ""), "d": (None, ""), "e": (None, ""), "f": (None, "MIT notice"), "g": (None, "")}
 
 
+def license_rows(spark, rows):
+    """path: (license, notices), by Spark and, the same, by the query's SQL."""
+    got = {r.path: (r.license, r.notices) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    found = con.execute(queries.op10_sql())
+    at = [[d[0] for d in found.description].index(c) for c in ("doc_id", "license", "notices")]
+    assert {r[at[0]]: (r[at[1]], r[at[2]]) for r in found.fetchall()} == got
+    return got
+
+
+def test_license_files_as_they_come(spark):
+    """Titles, name-only copyright lines, narrow lines, other marks before clauses, and whole texts of common licences."""
+    wrap = lambda text, n=38: "\n".join("\n".join(textwrap.wrap(x, n)) for x in text.split("\n"))
+    mit, two, whole = license_scan.KNOWN["MIT"], license_scan.KNOWN["BSD-2-Clause"], license_table.FOLDER
+    three = two.replace("\nTHIS", "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS")
+    texts = {p.stem: p.read_text() for p in whole.glob("*.txt")}
+    rows = [
+        ("MIT", "MIT License\n\nCopyright Jane Doe\n\n" + wrap(mit)), ("BSD-2-Clause", "BSD 2-Clause License\r\n\r\nCopyright The Kite Authors\r\n" + wrap(two).replace("\n", "\r\n")),
+        ("BSD-3-Clause", 'BSD 3-Clause "New" or "Revised" License\n\nCopyright (c) 2001, J. Doe\n' + re.sub(r"(?m)^[0-9]\.", " *", three)), *texts.items(),
+        ("more", "MIT License\n" + mit + "\nCopyright law applies."), ("title", "MIT License"), ("half", texts["GPL-3.0"][:9_000]),
+    ]
+    want = {n: n for n, _ in rows} | {"more": None, "title": None, "half": None}
+    assert {n: got[0] for n, got in license_rows(spark, rows).items()} == want
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Unlicense"} <= set(texts)
+
+
+def test_license_notices(spark):
+    lines = ['Licensed under the Apache License, Version 2.0 (the "License");', "// SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: GPL-3.0-or-later", "This project is licensed under the MIT license.", "licensed to nobody"]
+    got = license_rows(spark, [(str(i), f"x\n{line}\ny") for i, line in enumerate(lines)])
+    assert [got[str(i)] for i in range(5)] == [(None, n) for n in ("Apache-2.0 notice", "MIT notice", "GPL-3.0 notice", "MIT notice", "")]
+
+
 # Pipeline
 
 
