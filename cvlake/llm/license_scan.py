@@ -105,12 +105,11 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", know
     """(path, license, notices) of each row: the licence that the whole text is, and those that single lines are."""
     spark, names = files.sparkSession, known_digests(known)
     lengths = {len(canonical_text(t).split(" ")) for _, t in _texts(known)}
-    short = {n for n in lengths if n <= 40}
     lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     table = F.broadcast(spark.createDataFrame(list(names.items()), "digest string, license string"))
     # a line without one of these words is no notice of the list
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.lower(x).rlike("licen|permission|warrant"))
-    notices = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: lookup[digest(x, short)]), lambda n: n.isNotNull())))
+    notices = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: lookup[digest(x, lengths)]), lambda n: n.isNotNull())))
     rows = files.select(F.col(path).alias("path"), F.coalesce(text, F.lit("")).alias("text"))
     rows = rows.select("path", digest(F.col("text"), lengths).alias("digest"), F.array_join(notices, ",").alias("notices"))
     return rows.join(table, "digest", "left").select("path", "license", "notices")

@@ -360,6 +360,13 @@ def test_license_notices(spark):
     assert [got[str(i)] for i in range(5)] == [(None, n) for n in ("Apache-2.0 notice", "MIT notice", "GPL-3.0 notice", "MIT notice", "")]
 
 
+def test_license_text_in_one_line(spark):
+    """A line that is wholly a long known text is a notice, in a longer text too."""
+    names = ("MIT", "ISC", "0BSD", "BSD-2-Clause", "Zlib")
+    got = license_rows(spark, [(n, "Of this file:\n" + license_scan.KNOWN[n].replace("\n", " ") + "\nEnd.") for n in names])
+    assert got == {n: (None, n) for n in names}
+
+
 # Pipeline
 
 
