@@ -7,7 +7,7 @@ from cvlake.llm import bpe, decontam, ngram_join, secrets
 from cvlake.llm import queries as q
 from cvlake.llm import toxicity
 from cvlake.llm.common import shared_path, table
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -20,11 +20,19 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by n-gram similarity, the one with the smallest id stays (once, if repeated).
 
-    Documents without a word or an id are in no group and stay.
+    Documents without an id are in no group and stay. Those without a word are in no group, too; one that repeats id and
+    text of another stays once.
     """
-    classes = ngram_join.jaccard_classes(docs).where("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id", "text"]) if _repeats(kept) else kept
+    rows, repeated = ngram_join.row_classes(docs), _repeats(docs)
+    gone = F.col("class_id") != F.col("doc_id")
+    if repeated:  # an id may be in several groups, and in one group by several texts
+        rows = rows.withColumn("first", F.min("spot").over(Window.partitionBy("doc_id", F.coalesce("root", F.encode(F.col("spot").cast("string"), "UTF-8")))))
+        gone = gone | (F.col("spot") != F.col("first"))
+    gone = rows.where(gone).select("doc_id", F.col("spot").alias("_spot")).distinct()
+    kept = docs.withColumn("_spot", F.xxhash64("text")).join(gone, ["doc_id", "_spot"], "left_anti").select(*docs.columns)
+    if not repeated:
+        return kept
+    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(F.col("doc_id").isNull()))
 
 
 def _repeats(docs: DataFrame) -> bool:

@@ -288,8 +288,19 @@ def jaccard_classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
     class_id is the smallest doc_id of all rows connected with this one by similarities of at least the threshold, and
     n_links the number of other rows that reach it.
     """
+    known = row_classes(docs, n, threshold, text).select("doc_id", "class_id", "n_links")
+    nulls = docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("bigint").alias("class_id"), F.lit(None).cast("bigint").alias("n_links"))
+    return known.unionByName(nulls)
+
+
+def row_classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """(doc_id, spot, root, class_id, n_links) of each row with an id, as for jaccard_classes().
+
+    spot is the xxhash64 of the text, which tells rows of one id apart. root names the group of connected rows; two groups
+    can have the same class_id where that id is repeated. It is null for a text without words.
+    """
     rows = docs.select("doc_id", F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    made = stored(rows.select("doc_id", features(F.col("text"), n).alias("f")).select("doc_id", "f.*"), "shingled")
+    made = stored(rows.select("doc_id", F.xxhash64("text").alias("spot"), features(F.col("text"), n).alias("f")).select("doc_id", "spot", "f.*"), "shingled")
     classes = made.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
 
@@ -313,11 +324,9 @@ def jaccard_classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
     roots = components(links, "key", "root")
     linked = links.groupBy("key").agg(F.sum("links").alias("links")).join(roots, F.col("key") == F.col("node"), "left").select("key", "links", F.coalesce("root", "key").alias("root"))
     smallest = linked.join(classes.select("key", "doc_id"), "key").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    linked = stored(linked.join(smallest, "root").select("key", "links", "class_id"), "linked")
-    info = classes.join(linked, "key", "left").select("key", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    linked = stored(linked.join(smallest, "root").select("key", "links", "root", "class_id"), "linked")
+    info = classes.join(linked, "key", "left").select("key", F.coalesce("root", "key").alias("root"), F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     info = stored(info, "class-info")
 
-    known = made.select("doc_id", "key").join(info, "key", "left")
-    known = known.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    nulls = docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("bigint").alias("class_id"), F.lit(None).cast("bigint").alias("n_links"))
-    return known.unionByName(nulls)
+    known = made.select("doc_id", "spot", "key").join(info, "key", "left")
+    return known.select("doc_id", "spot", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

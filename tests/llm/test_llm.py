@@ -397,3 +397,13 @@ def test_pipeline_hard_cases(spark, sf_dir):
             path = shared_path(spark, "test")
             out.write.parquet(path)
             rows = spark.read.parquet(path)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows go by id and text: another text of an id stays, each group keeps one row, and rows without an id stay."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c.upper()), (4, c), (5, ""), (5, ""), (None, a), (None, a)]
+    for more in ([], [(None, b)]):
+        got = corpus_pipeline.near_duplicates(spark, docs_of(spark, rows + more), "").collect()
+        want = [(1, a), (2, b), (4, c), (5, ""), (None, a), (None, a), *more]
+        assert sorted((str(r.doc_id), r.text.lower()) for r in got) == sorted((str(i), t) for i, t in want)
