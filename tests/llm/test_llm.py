@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,11 +209,45 @@ def test_ann_recall_and_scores(spark, sf_dir):
 
 
 def test_ann_hard_cases(spark):
-    rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [-1.0, 0.5])]
-    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("rank", F.lit("clash"))
-    got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(vectors).collect())
-    assert got == [(0, 1, 1), (0, 2, 20), (0, 3, 7), (20, 1, 0), (20, 2, 1), (20, 3, 7)]
-    assert ann.search(vectors.limit(0)).count() == 0
+    rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [-1.0, 0.5]), (8, [])]
+    schema = "vec_id bigint, embedding array<float>"
+    vectors = spark.createDataFrame(rows, schema).withColumns({"rank": F.lit("clash"), "perm": F.lit(1), "ids": F.lit(2), "k1": F.lit(3)})
+    found = lambda df, **how: sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(df, **how).collect())
+    want = [(0, 1, 1), (0, 2, 20), (0, 3, 7), (20, 1, 0), (20, 2, 1), (20, 3, 7)]
+    assert found(vectors) == want
+    assert found(vectors.union(vectors)) == want  # repeated rows are one
+    assert ann.search(vectors.limit(0)).count() == 0 and ann.search(vectors.where("vec_id = 0")).count() == 0
+    # other lengths count as filled up with zeros; an id with two vectors gives two results and is no candidate of itself
+    odd = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0]), (2, [0.0, 2.0, 9.0])], schema)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(odd, k=1).collect()) == [(0, 1, 1, 3.0), (0, 1, 2, 2.0)]
+
+
+def test_ann_frequent_vector(spark):
+    """A vector that most rows have is one class, and its smallest ids are found."""
+    rows = spark.range(6_000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 3 > 0, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.cos("id"), F.sin("id"))).alias("embedding"))
+    got: dict = {}
+    for r in ann.search(rows).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(got) == 300 and all(len(x) == 20 for x in got.values())
+    assert got[20] == [i for i in range(60) if i % 3 and i != 20][:20]
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.5])
+def test_ann_recall_at_100_000(spark, spread):
+    """Vectors without any structure, the hardest case, with equal and with uneven lengths."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(100_000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True) * np.exp(spread * rng.normal(size=(100_000, 1)))).astype(np.float32)
+    vectors = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))})).repartition(16)
+    got: dict = {}
+    for r in ann.search(vectors, every=500).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), 500):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argpartition(-s, 20)[:20].tolist()))
+    assert hits / (20 * 200) >= 0.9
 
 
 # 7: decontamination
