@@ -62,8 +62,10 @@ FROM kept GROUP BY ALL
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = secrets.scan_versions(docs, secrets.new_ledger(spark), path="doc_id")
+    """The base rules are run over all documents, then the whole list of rules, of which the ledger lacks those added."""
+    docs, ledger = table(spark, sf_dir, "documents"), secrets.new_ledger(spark)
+    secrets.scan_blobs(docs, ledger, "base", "doc_id", rules=tuple(r for r in secrets.RULES if r.kind in secrets.BASE))
+    found = secrets.scan_versions(docs, ledger, "all", "doc_id")
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     base = secrets.spans_text(F.col("spans"), secrets.BASE)
     return found.select(F.col("path").alias("doc_id"), n("assign"), n("access"), n("hex"), F.sha2(base, 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))

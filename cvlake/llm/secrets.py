@@ -1,27 +1,32 @@
 """Secret scanning over an incremental ledger of blobs.
 
-Every version of every file is a row (path, text). Its blob is named by the SHA-256 of the text. The ledger is a
-table of (blob, rule, version, spans): a blob is scanned by a rule version once, whenever and wherever it turns up
-again. Findings are joined back from the ledger to every path that ever held the blob.
-
-Scanning needs no shuffle of texts; only names of blobs and found spans are shuffled. Null texts count as empty and
-have no spans; repeated rows give repeated results; an empty table gives an empty result. A key without a known size
-is never gathered: the final join has one ledger row for each blob, so many paths of one blob only lengthen the other
-side, which Spark splits.
+Every version of every file is a row (path, text). Its blob is named by the SHA-256 of the text. The ledger holds which
+pairs of a blob and a rule's version were scanned, and what was found. A batch scans only pairs that the ledger lacks, on
+one row of each blob; a changed or added rule is run alone. Findings are joined back to every path that ever held the blob.
+
+Only names of blobs are shuffled, counted before they are: what most blobs of a batch lack is a constant, and the blobs
+that differ from it (or have several rows) are a list that is broadcast if it is surely small. Beyond that, distinct texts
+are shuffled once, after copies are dropped on the map side. A blob with a third of all rows is thus one row anywhere but
+in the last join, which has one row for each blob on its other side, so Spark may split it.
+
+Null texts count as empty and have no spans; repeated rows give repeated results; an empty table gives an empty result and
+commits an empty batch. A batch that is committed already is not scanned again.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cvlake.llm.common import shared_path
+from cvlake.llm.common import Batches, fresh, is_small, shared_path
 
 SPANS = "array<struct<start:int,ord:int,end:int,kind:string>>"
+LEDGER = "blob string, rules array<string>, spans array<struct<rule:string,start:int,end:int>>"
 
 
 class Rule(NamedTuple):
@@ -53,70 +58,100 @@ def find_spans(text: str, rules: tuple[Rule, ...]) -> list[tuple[int, int, int,
     return sorted(out)
 
 
-def spans_of(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Spans of a text column, and null where text is null. Equal texts of a batch are scanned once."""
+def spans_of(text: Column, rules: tuple[Rule, ...] = RULES, asked: Column | None = None) -> Column:
+    """Spans of a text column, by those rules whose bits asked has (all without it); null where text is null.
+
+    Equal texts of a batch are scanned once.
+    """
 
     @F.arrow_udf(SPANS)
-    def scan(texts: pa.Array) -> pa.Array:
-        known: dict[str, list] = {}
+    def scan(texts: pa.Array, bits: pa.Array) -> pa.Array:
+        known: dict[tuple, list] = {}
         out = []
-        for t in texts.to_pylist():
-            if t is not None and t not in known:
-                known[t] = [dict(zip(("start", "ord", "end", "kind"), s)) for s in find_spans(t, rules)]
-            out.append(None if t is None else known[t])
+        for t, bit in zip(texts.to_pylist(), bits.to_pylist()):
+            if t is not None and (t, bit) not in known:
+                own = tuple(r for n, r in enumerate(rules) if bit >> n & 1)
+                known[t, bit] = [dict(zip(("start", "ord", "end", "kind"), s)) for s in find_spans(t, own)]
+            out.append(None if t is None else known[t, bit])
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("ord", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])))
 
-    return scan(text)
+    return scan(text, asked if asked is not None else F.lit((1 << len(rules)) - 1))
 
 
-def blob_name(text: str) -> Column:
+def blob_name(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def rule_key(rules: tuple[Rule, ...]) -> str:
-    """Names a set of rule versions; a changed or added rule makes every blob unseen again."""
-    return ",".join(f"{r.kind}@{r.version}" for r in rules)
-
-
-def _unseen(versions: DataFrame, seen: DataFrame) -> DataFrame:
-    """versions, text set to null where seen has the blob. The smaller list of blobs is broadcast if it is surely small."""
-    spark = versions.sparkSession
-    room = 32 * 1024 * 1024 // 160  # names of 64 characters
-    if seen.limit(room + 1).count() <= room:
-        seen = F.broadcast(seen)
-    mark = seen.withColumn("_seen", F.lit(True))
-    return versions.join(mark, "blob", "left").withColumn("text", F.when(F.col("_seen").isNull(), F.col("text"))).drop("_seen")
-
-
-def scan_blobs(texts: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule, ...] = RULES, batch: str = "0") -> DataFrame:
-    """Scan what the ledger (a folder in shared storage) lacks, add it, and return (blob, spans) of blobs with findings.
-
-    A batch is written to a folder named by its id, so a repeated or restarted batch replaces itself.
-    """
-    spark, key = texts.sparkSession, rule_key(rules)
-    named = texts.select(F.coalesce(text, F.lit("")).alias("text")).withColumn("blob", blob_name("text"))
-    past = _read_ledger(spark, ledger)
-    if past is not None:
-        named = _unseen(named, past.where((F.col("rules") == key) & (F.col("batch") != batch)).select("blob").distinct())
-    scanned = named.select("blob", spans_of(F.col("text"), rules).alias("spans")).where(F.col("spans").isNotNull())
-    new = scanned.groupBy("blob", F.lit(key).alias("rules")).agg(F.first("spans").alias("spans"))
-    new.write.mode("overwrite").parquet(f"{ledger}/batch={batch}")
-    found = _read_ledger(spark, ledger).where((F.col("rules") == key) & (F.size("spans") > 0)).select("blob", "spans")
-    return found if past is None else found.dropDuplicates(["blob"])
-
-
-def scan_versions(versions: DataFrame, ledger: str, path: str = "path", text: str = "text", rules: tuple[Rule, ...] = RULES, batch: str = "0") -> DataFrame:
+def rule_name(rule: Rule) -> str:
+    return f"{rule.kind}@{rule.version}"
+
+
+def _wanted(names: DataFrame, seen: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, lead, n, bits) of a batch's blobs: the smallest path, the number of rows, and the rules that the ledger lacks."""
+    bit = F.create_map(*[F.lit(x) for n, r in enumerate(rules) for x in (rule_name(r), 1 << n)])
+    done = seen.select("blob", F.aggregate("rules", F.lit(0), lambda bits, r: bits.bitwiseOR(F.coalesce(bit[r], F.lit(0)))).alias("done"))
+    done = done.groupBy("blob").agg(F.bit_or("done").alias("done"))
+    blobs = names.groupBy("blob").agg(F.min("path").alias("lead"), F.count(F.lit(1)).alias("n"))
+    every = F.lit((1 << len(rules)) - 1)
+    return blobs.join(done, "blob", "left").select("blob", "lead", "n", (every - F.coalesce("done", F.lit(0))).cast("int").alias("bits"))
+
+
+def _to_scan(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(blob, text, bits) of at least one row of each blob that lacks a rule: one, unless rows repeat blob and path."""
+    sizes = wanted.where("n = 1").groupBy("bits").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "bits").limit(1).collect()
+    usual = sizes[0].bits if sizes else 0
+    other = wanted.where((F.col("n") > 1) | (F.col("bits") != usual)).select("blob", "lead", F.col("bits").alias("own_bits"), F.lit(True).alias("listed"))
+    if is_small(other):
+        rows = named.join(F.broadcast(other), "blob", "left")
+        bits = F.when(F.col("listed").isNull(), F.lit(usual)).when(F.col("lead").eqNullSafe(F.col("path")), F.col("own_bits")).otherwise(0)
+        return rows.withColumn("bits", bits).where("bits > 0").select("blob", "text", "bits")
+    once = named.groupBy("blob").agg(F.first("text").alias("text"))
+    return once.join(wanted.where("bits > 0").select("blob", "bits"), "blob")
+
+
+def scan_blobs(texts: DataFrame, ledger: str, batch: str, path: str = "path", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan the pairs of blob and rule that the ledger (a folder in shared storage) lacks, commit them as a batch, and return
+    (blob, spans) of all blobs with findings of these rules."""
+    log = Batches(texts.sparkSession, ledger)
+    if batch not in log.committed():
+        named = texts.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", blob_name(F.col("text")))
+        rows = _to_scan(named, _wanted(named.select("blob", "path"), log.read("scans", LEDGER), rules))
+        scanned = rows.select("blob", "bits", spans_of(F.col("text"), rules, F.col("bits")).alias("spans"))
+        name = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, rule_name(r))])
+        own = F.filter(F.array(*[F.when(F.col("bits").bitwiseAND(1 << n) != 0, rule_name(r)) for n, r in enumerate(rules)]), lambda r: r.isNotNull())
+        spans = F.transform("spans", lambda s: F.struct(name[s["kind"]].alias("rule"), s["start"].alias("start"), s["end"].alias("end")))
+        attempt = uuid.uuid4().hex
+        log.write("scans", attempt, scanned.select("blob", own.alias("rules"), spans.alias("spans")))
+        log.commit(batch, attempt)
+    order = F.create_map(*[F.lit(x) for n, r in enumerate(rules) for x in (rule_name(r), n)])
+    kind = F.create_map(*[F.lit(x) for r in rules for x in (rule_name(r), r.kind)])
+    live = F.filter("spans", lambda s: order[s["rule"]].isNotNull())
+    found = log.read("scans", LEDGER).select("blob", live.alias("spans")).where(F.size("spans") > 0)
+    # a row of a blob for each batch that scanned it, of some rules each
+    found = found.groupBy("blob").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[s["rule"]].alias("ord"), s["end"].alias("end"), kind[s["rule"]].alias("kind")))
+    return found.select("blob", F.array_sort(F.array_distinct(spans)).alias("spans"))
+
+
+def scan_versions(versions: DataFrame, ledger: str, batch: str, path: str = "path", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """scan_blobs, and its findings joined back to all paths: (path, blob, spans) of every row."""
-    found = scan_blobs(versions, ledger, text, rules, batch)
-    paths = versions.select(F.col(path).alias("path"), blob_name(text).alias("blob"))
+    found = scan_blobs(versions, ledger, batch, path, text, rules)
+    paths = versions.select(F.col(path).alias("path"), blob_name(F.col(text)).alias("blob"))
     return paths.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
-def _read_ledger(spark, ledger: str) -> DataFrame | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.schema("blob string, rules string, spans " + SPANS + ", batch string").parquet(ledger)
+def redacted(files: DataFrame, ledger: str, batch: str, path: str = "path", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """files with every secret in text replaced by its kind in brackets; other columns, and null texts, as they were.
+
+    The findings of scan_blobs() are broadcast if they are surely small. Beyond that each text is scanned where it lies,
+    which gives the same spans and shuffles nothing.
+    """
+    found = scan_blobs(files, ledger, batch, path, text, rules)
+    if not is_small(found.select(F.explode("spans"))):
+        return files.withColumn(text, redact(F.col(text), spans_of(F.col(text), rules)))
+    blob, spans = fresh(files, "_blob"), fresh(files, "_spans")
+    cut = files.withColumn(blob, blob_name(F.col(text))).join(F.broadcast(found.toDF(blob, spans)), blob, "left")
+    return cut.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(redact(F.col(text), F.col(spans)))).select(*[f"`{c}`" for c in files.columns])
 
 
 def new_ledger(spark) -> str:
