@@ -6,7 +6,7 @@ import public_tokenizers
 from cvlake.llm import bpe, decontam, ngram_join, secrets
 from cvlake.llm import queries as q
 from cvlake.llm import toxicity
-from cvlake.llm.common import shared_path, table
+from cvlake.llm.common import fresh, shared_path, table
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,26 +18,23 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by n-gram similarity, the one with the smallest id stays (once, if repeated).
+    """Of each group of documents linked by n-gram similarity, the row with the smallest id stays (once, if repeated).
 
-    Documents without an id are in no group and stay. Those without a word are in no group, too; one that repeats id and
-    text of another stays once.
+    Rows are told apart by id and text, so another text of an id is judged by itself. Documents without an id are in no
+    group and stay. Those without a word are in no group, too; one that repeats id and text of another stays once.
     """
-    rows, repeated = ngram_join.row_classes(docs), _repeats(docs)
-    gone = F.col("class_id") != F.col("doc_id")
-    if repeated:  # an id may be in several groups, and in one group by several texts
-        rows = rows.withColumn("first", F.min("spot").over(Window.partitionBy("doc_id", F.coalesce("root", F.encode(F.col("spot").cast("string"), "UTF-8")))))
-        gone = gone | (F.col("spot") != F.col("first"))
-    gone = rows.where(gone).select("doc_id", F.col("spot").alias("_spot")).distinct()
-    kept = docs.withColumn("_spot", F.xxhash64("text")).join(gone, ["doc_id", "_spot"], "left_anti").select(*docs.columns)
-    if not repeated:
-        return kept
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(F.col("doc_id").isNull()))
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether an id occurs more than once; only ids are shuffled, and usually none does."""
-    return not docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty()
+    spot, turn = fresh(docs, "_spot"), fresh(docs, "_turn")
+    rows = ngram_join.row_classes(docs)
+    # of the rows with the group's smallest id, which may have several texts, one stays
+    group = F.coalesce("root", F.encode(F.col("spot").cast("string"), "UTF-8"))
+    least = rows.where(F.col("class_id") == F.col("doc_id")).groupBy(group.alias("group"), "doc_id").agg(F.min("spot").alias("spot"))
+    stay = least.select("doc_id", F.col("spot").alias(spot)).distinct()
+    # copies of a row go before the shuffle: the window keeps one on the map side
+    once = Window.partitionBy("doc_id", spot).orderBy(F.length("text"))
+    known = docs.where(F.col("doc_id").isNotNull()).withColumn(spot, F.xxhash64("text")).withColumn(turn, F.row_number().over(once)).where(F.col(turn) == 1)
+    kept = known.join(stay, ["doc_id", spot], "left_semi")
+    names = [f"`{c}`" for c in docs.columns]
+    return kept.select(*names).unionByName(docs.where(F.col("doc_id").isNull()).select(*names))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +43,11 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind in brackets; n_chars follows. Every document stays."""
-    found = secrets.scan_blobs(docs, secrets.new_ledger(spark)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    cut = docs.withColumn("_blob", secrets.blob_name("text")).join(found, "_blob", "left")
-    cut = cut.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("_spans"))))
-    return cut.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(*docs.columns)
+    """Secrets are replaced by their kind in brackets; n_chars follows where a text has changed. Every document stays."""
+    old = fresh(docs, "_old")
+    cut = secrets.redacted(docs.withColumn(old, F.xxhash64("text")), secrets.new_ledger(spark), "documents", "doc_id")
+    chars = F.when(F.col(old) == F.xxhash64("text"), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
+    return cut.withColumn("n_chars", chars).select(*[f"`{c}`" for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
