@@ -1,20 +1,28 @@
-"""Benchmark decontamination by a BM25 index of test items and block-max pruning.
+"""Benchmark decontamination by a BM25 index of test items, walked by block-max WAND.
 
 The index is over the benchmark; every passage of every training text is a query. Passages are windows of words that
-overlap by half, so whatever is no longer than half a window lies whole in one. An item's impacts are divided by the
-score it gives itself, so one threshold serves all items. Items lie in blocks, with the largest impact of each term in
-each block. A passage's terms bound the score that any item of a block can reach; only blocks whose bound reaches the
-threshold are scored, and every item over the threshold is retrieved, not the best few. A retrieved item is then
-verified: its question and its answer must both overlap with the passage in word n-grams.
-
-The benchmark is cut into shards of at most SHARD items, each indexed and broadcast by itself; statistics are over all
-items. Training texts are read row by row, with no shuffle, whatever repeats in them. Null and empty texts have no
-passages, and items without words cannot be found; repeated items and rows give repeated results.
+overlap by half. Items are put in classes by length, and each class has windows of twice its largest length, so an item
+lies whole in a window and the windows depend on the item alone. An item's impacts are divided by the score that it gives
+itself, so one threshold serves all items, and every item that reaches it is retrieved, not the best few.
+
+Items lie in blocks. A posting list has, besides its impacts, its largest one in each block that it occurs in, and the
+largest of all. Of a passage, list maxima tell the terms of which an item must have one to reach the threshold (WAND's
+pivot rule; the threshold is fixed, so it need not be found again): only their lists are walked. The others, the weakest
+lists up to WEAK of the threshold together, are the long ones of common words. Block maxima then bound each block that the
+walked lists meet; in the blocks that may reach the threshold the other lists are looked up, without being walked, and what
+still may is scored. A retrieved item is verified: its question and its answer must both overlap with the
+passage in word n-grams. The answer is the last sentence, or of a single sentence the last third of its words.
+
+Statistics are over all items, and postings and impacts are computed as tables. The index is cut into shards of about
+SHARD_WORDS words (and never less than an item): each is built, broadcast, and used in one pass over the training texts,
+which shuffles nothing. The driver holds one shard at a time. Null and empty texts have no passages; items without words
+cannot be found; items with a null id are reported with a null id; repeated items and rows give repeated results.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,22 +30,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cvlake.llm.common import stored
+
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.6, 0.5
-BLOCK, SHARD, HALF, GRAM = 4, 4096, 64, 5
+BLOCK, GRAM, HALF, SHARD_WORDS = 4, 5, 64, 4_000_000
+EDGE = 1e-6  # bounds are compared with this much to spare, as sums in another order differ
+WEAK = 0.3
+SLOTS = 1_000_000  # of the arrays that are held at a time
+LEAK = "array<struct<item_id:bigint,score:double,question:double,answer:double>>"
+
+
+class Postings(NamedTuple):
+    """Lists of one length class: values of each term, by place; term t has the places from first[t] to first[t + 1]."""
+
+    first: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+
+
+class LengthClass(NamedTuple):
+    half: int  # words; windows have twice as many
+    items: np.ndarray  # places in the shard's list of items
+    by_item: Postings
+    by_block: Postings
+    most: np.ndarray  # by term: the largest value of its list
 
 
 class BenchmarkIndex(NamedTuple):
-    items: list  # item ids
+    ids: list
+    texts: list[str]
     terms: dict[str, int]
-    block_max: np.ndarray  # terms x blocks
-    first: np.ndarray  # by term: where its postings begin; one more for the end
-    place: np.ndarray  # of postings, by term: places of items
-    impact: np.ndarray
-    question: list[set]
-    answer: list[set]
-    half: int
+    classes: list[LengthClass]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -45,98 +70,159 @@ def words_of(text: str | None) -> list[str]:
 
 
 def split_item(text: str) -> tuple[list[str], list[str]]:
-    """Question and answer: the answer is the last sentence, and empty if there is only one."""
+    """Question and answer: the answer is the last sentence, or of a single one the last third of its words."""
     sentences = [w for part in re.split(r"(?<=[.!?])\s+", text) if (w := words_of(part))]
     if len(sentences) < 2:
-        return words_of(text), []
+        words = words_of(text)
+        cut = max(1, len(words) - len(words) // 3)
+        return words[:cut], words[cut:] or words
     return [w for s in sentences[:-1] for w in s], sentences[-1]
 
 
-def grams(words: list[str], n: int = GRAM) -> set:
-    return {tuple(words)} if len(words) < n else set(zip(*(words[i:] for i in range(n))))
+def overlap(part: list[str], words: list[str], n: int = GRAM) -> float:
+    """Share of a part's distinct n-grams that a list of words has; a shorter part is looked up as a whole."""
+    n = min(n, len(part))
+    grams = lambda ws: set(zip(*(ws[i:] for i in range(n))))
+    mine = grams(part)
+    return len(mine & grams(words)) / len(mine)
 
 
-def overlap(part: set, words: list[str], n: int = GRAM) -> float:
-    """Share of a part's n-grams that a list of words has; shorter parts are looked up as a whole."""
-    if not part:
-        return 1.0
-    size = len(next(iter(part)))
-    return len(part & set(zip(*(words[i:] for i in range(size))))) / len(part)
+def half_window(n_words: int, half: int = HALF) -> int:
+    """The length class of an item: 64, 256, 1024, ... words."""
+    while half < n_words:
+        half *= 4
+    return half
 
 
-def build(items: list[tuple], n_items: int, frequency: dict[str, int], average: float) -> BenchmarkIndex:
-    """An index of (item_id, text) rows; n_items, frequency and average are statistics of the whole benchmark."""
-    items = sorted(((i, t, words_of(t)) for i, t in items if words_of(t)), key=lambda x: (len(x[2]), str(x[0]), x[1]))
+def _lists(term: np.ndarray, place: np.ndarray, value: np.ndarray, n_terms: int) -> Postings:
+    order = np.lexsort((place, term))
+    return Postings(np.searchsorted(term[order], np.arange(n_terms + 1)), place[order].astype(np.int32), value[order].astype(np.float64))
+
+
+def build(items: list[tuple], impacts: list[tuple[int, str, float]]) -> BenchmarkIndex:
+    """An index of (no, item_id, text, n_words) rows and of (no, term, impact) rows; impacts of an item sum to 1."""
+    items = sorted(items, key=lambda x: (x[3], x[0]))
+    spot = {x[0]: i for i, x in enumerate(items)}
     terms: dict[str, int] = {}
-    rows: list[dict[int, float]] = [{} for _ in items]
-    for r, (_, _, words) in zip(rows, items):
-        for w in dict.fromkeys(words):
-            tf, df = words.count(w), frequency.get(w, 1)
-            idf = np.log1p((n_items - df + 0.5) / (df + 0.5))
-            r[terms.setdefault(w, len(terms))] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / average))
-        whole = sum(r.values())
-        for t in r:
-            r[t] /= whole
-    block_max = np.zeros((len(terms), -(-len(items) // BLOCK) or 1), np.float32)
-    postings: list[list] = [[] for _ in terms]
-    for place, r in enumerate(rows):
-        for t, impact in r.items():
-            block_max[t, place // BLOCK] = max(block_max[t, place // BLOCK], impact)
-            postings[t].append((place, impact))
-    parts = [split_item(t) for _, t, _ in items]
-    half = max([HALF, *(len(w) for _, _, w in items)])
-    return BenchmarkIndex([i for i, _, _ in items], terms, block_max, np.cumsum([0, *map(len, postings)]), np.array([p for x in postings for p, _ in x], int), np.array([v for x in postings for _, v in x]), [grams(q) for q, _ in parts], [grams(a) if a else set() for _, a in parts], half)
-
-
-def retrieve(terms: np.ndarray, bounds: np.ndarray, index: BenchmarkIndex, threshold: float) -> list[tuple[int, float]]:
-    """(place, score) of every item that reaches the threshold for a set of distinct terms; bounds: by block."""
-    n = index.first[terms + 1] - index.first[terms]
-    at = np.repeat(index.first[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    at = at[(bounds >= threshold)[index.place[at] // BLOCK]]
-    score = np.bincount(index.place[at], index.impact[at], len(index.items))
-    return [(int(p), float(score[p])) for p in np.flatnonzero(score >= threshold)]
+    place = np.fromiter((spot[no] for no, _, _ in impacts), np.int64, len(impacts))
+    term = np.fromiter((terms.setdefault(t, len(terms)) for _, t, _ in impacts), np.int64, len(impacts))
+    value = np.fromiter((v for _, _, v in impacts), np.float64, len(impacts))
+    halves = np.array([half_window(x[3]) for x in items], np.int64)
+    classes = []
+    for half in sorted(set(halves.tolist())):
+        own = np.flatnonzero(halves == half)
+        mine = halves[place] == half
+        t, p, v = term[mine], place[mine] - own[0], value[mine]  # items are sorted by length, so a class is one stretch
+        n_blocks = -(-len(own) // BLOCK)
+        key, at = np.unique(t * n_blocks + p // BLOCK, return_inverse=True)
+        best = np.zeros(len(key))
+        np.maximum.at(best, at, v)
+        blocks = _lists(key // n_blocks, key % n_blocks, best, len(terms))
+        most = np.zeros(len(terms))
+        np.maximum.at(most, t, v)
+        classes.append(LengthClass(half, own, _lists(t, p, v, len(terms)), blocks, most))
+    return BenchmarkIndex([x[1] for x in items], [x[2] for x in items], terms, classes)
+
+
+def _walk(lists: Postings, term: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, place, value) of all postings of terms."""
+    n = lists.first[term + 1] - lists.first[term]
+    at = np.repeat(lists.first[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return np.repeat(owner, n), lists.place[at], lists.value[at]
+
+
+def _portions(rows: np.ndarray, cost: np.ndarray) -> Iterator[np.ndarray]:
+    """rows in stretches of a cost of about SLOTS each."""
+    turn = np.cumsum(cost) // SLOTS
+    return iter(np.split(rows, np.flatnonzero(turn[1:] != turn[:-1]) + 1)) if len(rows) else iter(())
+
+
+def _look_up(lists: Postings, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The values of terms at places, 0 where a list lacks the place."""
+    if not len(lists.place):
+        return np.zeros(len(term))
+    low, high = lists.first[term].copy(), lists.first[term + 1].copy()
+    end = high.copy()
+    while (busy := low < high).any():  # a binary search in each list
+        mid = (low + high) >> 1
+        less = busy & (lists.place[np.minimum(mid, len(lists.place) - 1)] < place)
+        low, high = np.where(less, mid + 1, low), np.where(busy & ~less, mid, high)
+    found = (low < end) & (lists.place[np.minimum(low, len(lists.place) - 1)] == place)
+    return np.where(found, lists.value[np.minimum(low, len(lists.value) - 1)], 0.0)
+
+
+def _cross(a: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i: a[i] with each of the count[i] numbers from first[i] on."""
+    return np.repeat(a, count), np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def retrieve(lists: LengthClass, window: np.ndarray, term: np.ndarray, n_windows: int, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, float]]:
+    """(window, place of the item in the class, score) of every item that reaches the threshold.
+
+    window, term: the distinct terms of each window, sorted by window.
+    """
+    live = lists.most[term] > 0
+    window, term = window[live], term[live]
+    order = np.lexsort((lists.most[term], window))  # of each window, the weakest lists first
+    window, term = window[order], term[order]
+    starts = np.searchsorted(window, np.arange(n_windows + 1))
+    total = np.concatenate([[0.0], np.cumsum(lists.most[term])])
+    upto = total[1:] - total[starts[window]]  # maxima of this list and all weaker ones
+    must = upto >= threshold * WEAK
+    weak = np.zeros(n_windows)
+    np.maximum.at(weak, window[~must], upto[~must])
+    n_weak = np.bincount(window[~must], minlength=n_windows)  # they come first in a window
+    n_blocks = -(-len(lists.items) // BLOCK)
+    live = np.flatnonzero(np.bincount(window[must], minlength=n_windows))
+    walked = np.bincount(window[must], (lists.by_block.first[term + 1] - lists.by_block.first[term])[must], n_windows)
+    for mine in _portions(live, walked[live] + n_blocks):
+        count = starts[mine + 1] - starts[mine] - n_weak[mine]
+        row, spot = _cross(np.arange(len(mine)), starts[mine] + n_weak[mine], count)
+        row, block, value = _walk(lists.by_block, term[spot], row)
+        strong = np.bincount(row * n_blocks + block, value, len(mine) * n_blocks)
+        hit = np.flatnonzero(strong + np.repeat(weak[mine], n_blocks) >= threshold - EDGE)
+        for part in _portions(hit, n_weak[mine][hit // n_blocks] + 1):
+            row, block = part // n_blocks, part % n_blocks
+            pair, spot = _cross(np.arange(len(part)), starts[mine[row]], n_weak[mine[row]])
+            bound = strong[part] + np.bincount(pair, _look_up(lists.by_block, term[spot], block[pair]), len(part))
+            stay = bound >= threshold - EDGE
+            row, place = _cross(row[stay], block[stay] * BLOCK, np.minimum(BLOCK, len(lists.items) - block[stay] * BLOCK))
+            pair, spot = _cross(np.arange(len(row)), starts[mine[row]], (starts[mine + 1] - starts[mine])[row])
+            score = np.bincount(pair, _look_up(lists.by_item, term[spot], place[pair]), len(row))
+            for i in np.flatnonzero(score >= threshold - 1e-12):
+                yield int(mine[row[i]]), int(place[i]), float(score[i])
 
 
 def find_leaks(texts: list[str | None], index: BenchmarkIndex, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> list[list[dict]]:
     """For each text, its leaked items, each with the scores of its best passage."""
     out: list[list[dict]] = [[] for _ in texts]
-    if not index.items:
-        return out
-    get, half = index.terms.get, index.half
+    get = index.terms.get
     words = [words_of(t) for t in texts]
-    # windows of all texts in one sequence of terms: window w covers words w * half to (w + 2) * half of its text
-    term, window, owner = [], [], []
-    for d, ws in enumerate(words):
-        ids = np.array([get(w, -1) for w in ws], np.int64)
-        n = max(1, -(-len(ws) // half) - 1) if ws else 0
-        here = np.flatnonzero(ids >= 0)
-        spot = here // half
-        base = len(owner)
-        for back in (0, 1):
-            w = spot - back
-            ok = (w >= 0) & (w < n)
-            term.append(ids[here[ok]])
-            window.append(w[ok] + base)
-        owner += [(d, k) for k in range(n)]
-    keys = np.unique((np.concatenate(window) << 32) | np.concatenate(term)) if term else np.zeros(0, np.int64)
-    if not len(keys):
-        return out
-    window, term = keys >> 32, keys & 0xFFFFFFFF
-    starts = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
-    ends = np.r_[starts[1:], len(keys)]
-    bounds = np.add.reduceat(index.block_max[term], starts, axis=0)
+    known = [np.fromiter((get(w, -1) for w in ws), np.int64, len(ws)) for ws in words]
     best: dict[tuple[int, int], dict] = {}
-    for k in np.flatnonzero(bounds.max(1) >= threshold - 1e-6):
-        found = retrieve(term[starts[k] : ends[k]], bounds[k] + 1e-6, index, threshold)
-        if not found:
-            continue
-        d, at = owner[window[starts[k]]]
-        passage = words[d][at * half : (at + 2) * half]
-        for place, score in found:
-            q, a = overlap(index.question[place], passage), overlap(index.answer[place], passage)
-            old = best.get((d, place))
-            if q >= question and a >= answer and (old is None or score > old["score"]):
-                best[d, place] = {"item_id": index.items[place], "score": score, "question": q, "answer": a}
+    for lists in index.classes:
+        half, term, window, owner = lists.half, [], [], []
+        # windows of all texts in one sequence: window k of a text covers words k * half to (k + 2) * half
+        for d, ids in enumerate(known):
+            n = max(1, -(-len(ids) // half) - 1) if len(ids) else 0
+            here = np.flatnonzero(ids >= 0)
+            for back in (0, 1):
+                w = here // half - back
+                ok = (w >= 0) & (w < n)
+                term.append(ids[here[ok]])
+                window.append(w[ok] + len(owner))
+            owner += [(d, k) for k in range(n)]
+        keys = np.unique((np.concatenate(window) << 32) | np.concatenate(term)) if term else np.zeros(0, np.int64)
+        for w, place, score in retrieve(lists, keys >> 32, keys & 0xFFFFFFFF, len(owner), threshold):
+            d, at = owner[w]
+            item, passage = int(lists.items[place]), words[d][at * half : (at + 2) * half]
+            old = best.get((d, item))
+            if old is not None and old["score"] >= score:
+                continue
+            parts = split_item(index.texts[item])
+            q, a = (overlap(p, passage) for p in parts)
+            if q >= question and a >= answer:
+                best[d, item] = {"item_id": index.ids[item], "score": score, "question": q, "answer": a}
     for (d, _), row in sorted(best.items()):
         out[d].append(row)
     return out
@@ -147,7 +233,7 @@ def leaks(text: Column, index: BenchmarkIndex, spark, batch: int = 64) -> Column
     shared = spark.sparkContext.broadcast(index)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
 
-    @F.arrow_udf("array<struct<item_id:bigint,score:double,question:double,answer:double>>")
+    @F.arrow_udf(LEAK)
     def search(texts: pa.Array) -> pa.Array:
         found = []
         for at in range(0, len(texts), batch):
@@ -157,42 +243,55 @@ def leaks(text: Column, index: BenchmarkIndex, spark, batch: int = 64) -> Column
     return search(text)
 
 
-def indexes(benchmark: DataFrame, shard: int = SHARD) -> list[BenchmarkIndex]:
-    """Indexes of benchmark (item_id, text), of at most about shard items each. Null ids and texts are left out."""
-    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+def item_table(benchmark: DataFrame) -> DataFrame:
+    """(no, item_id, text, words) of the items with words, written once, so that no names a row for good."""
 
     @F.arrow_udf("array<string>")
     def tokens(texts: pa.Array) -> pa.Array:
         return pa.array([words_of(t) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    cut = rows.withColumn("w", tokens("text")).where(F.size("w") > 0)
-    n, average = cut.agg(F.count(F.lit(1)), F.avg(F.size("w"))).first()
-    shards = max(1, -(-n // shard))
-    cut = cut.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)))
-    term = cut.select("shard", F.explode(F.array_distinct("w")).alias("term"))
-    frequency = term.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    out = []
-    for s in range(shards):  # each round takes a bounded part to the driver
-        part = cut.where(F.col("shard") == s).select("item_id", "text").collect()
-        mine = frequency.join(term.where(F.col("shard") == s).select("term").distinct(), "term").collect()
-        out.append(build([(r.item_id, r.text) for r in part], n, {r.term: r.df for r in mine}, average or 1.0))
-    return out
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, item_id, score, question_overlap, answer_overlap) of every leak; one pass over docs for each shard of items."""
-    parts = []
-    for index in indexes(benchmark):
+    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").withColumn("words", tokens("text")).where(F.size("words") > 0)
+    return stored(rows.withColumn("no", F.monotonically_increasing_id()), "benchmark-items")
+
+
+def impact_table(items: DataFrame) -> DataFrame:
+    """(no, term, impact): the BM25 weight of each term of each item, divided by the sum of the item's."""
+    n, average = items.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    tf = items.select("no", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("no", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(average or 1))))
+    rows = stored(tf.join(df, "term").select("no", "term", weight.alias("weight")), "benchmark-weights")
+    return rows.join(rows.groupBy("no").agg(F.sum("weight").alias("whole")), "no").select("no", "term", (F.col("weight") / F.col("whole")).alias("impact"))
+
+
+def indexes(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[BenchmarkIndex]:
+    """The shards of the index of benchmark (item_id, text), one after the other; each is a bounded part on the driver."""
+    items = item_table(benchmark)
+    impacts = stored(impact_table(items), "benchmark-impacts")
+    words = items.agg(F.sum(F.size("words"))).first()[0] or 0
+    shards = max(1, -(-words // shard_words))
+    own = F.pmod(F.xxhash64("no"), F.lit(shards))
+    for s in range(shards):
+        part = items.where(own == s).select("no", "item_id", "text", F.size("words").alias("n")).collect()
+        rows = impacts.where(own == s).select("no", "term", "impact").collect()
+        yield build([tuple(r) for r in part], [tuple(r) for r in rows])
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(key, item_id, score, question_overlap, answer_overlap) of every leak, each item with its best passage."""
+    out = None
+    for index in indexes(benchmark, shard_words):
         hit = docs.select(F.col(key).alias(key), F.explode(leaks(F.col("text"), index, docs.sparkSession)).alias("l"))
-        parts.append(hit.select(key, "l.item_id", "l.score", F.col("l.question").alias("question_overlap"), F.col("l.answer").alias("answer_overlap")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        hit = hit.select(key, "l.item_id", "l.score", F.col("l.question").alias("question_overlap"), F.col("l.answer").alias("answer_overlap"))
+        # the last shard's pass is left to the caller
+        out = hit if out is None else stored(out, "leaks").unionByName(hit)
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The rows of docs whose text has no leak."""
-    for index in indexes(benchmark):
-        docs = docs.where(F.size(leaks(F.col("text"), index, docs.sparkSession)) == 0)
-    return docs
+    out = None
+    for index in indexes(benchmark, shard_words):
+        out = (docs if out is None else stored(out, "unleaked")).where(F.size(leaks(F.col("text"), index, docs.sparkSession)) == 0)
+    return out
