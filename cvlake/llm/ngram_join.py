@@ -2,8 +2,9 @@
 
 1. Each text becomes its set of word n-grams (lower-cased, split at white space; a text with fewer words than n is one
    shingle). Texts with the same set are one class, found by a 128-bit digest of the set; all else works on classes.
-2. Classes are candidates where a band of their MinHash values agrees. A bucket is cut into blocks and each pair of
-   blocks is a cell of bounded size. A pair that shares several buckets is looked at in the first of them only.
+2. Classes are candidates where a band of their MinHash values agrees. A bucket is cut into blocks of about BLOCK classes
+   and BLOCK_GRAMS n-grams, and each pair of blocks is a cell, so a cell is bounded however long its texts are (a single
+   longer text apart). A pair that shares several buckets is looked at in the first of them only.
 3. In a cell, MinHash values are compared a few at a time. With m of n equal and a uniform prior, the probability that
    the similarity reaches the threshold is that of at most m successes in n + 1 draws; pairs below TOLERANCE are dropped.
 4. What remains is verified on the texts' own n-grams. A cell reports, for each member, its links and the smallest
@@ -26,19 +27,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cvlake.llm.common import stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS, STEP, TOLERANCE = 4, 20, 8, 1e-5
-BLOCK = 1024  # classes in a block; a cell has at most two blocks
+BLOCK, BLOCK_GRAMS = 512, 1_500_000  # of a block; a cell has at most two blocks
+SET_GRAMS = 300_000  # n-grams that are held as tuples at a time, of two groups of texts each
 KEYS = ROWS * BANDS
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(0, 1 << 63, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _rng.integers(0, 1 << 63, KEYS, dtype=np.uint64)
-FEATURES = "struct<key:binary,sig:binary,bands:array<bigint>>"
+FEATURES = "struct<key:binary,sig:binary,bands:array<bigint>,grams:bigint>"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -93,8 +95,8 @@ def features(text: Column, n: int = SHINGLE) -> Column:
                 out.append(None)
                 continue
             sig = min_hashes(h)
-            out.append({"key": hashlib.blake2b(h.tobytes(), digest_size=16).digest(), "sig": sig.tobytes(), "bands": band_keys(sig).tolist()})
-        return pa.array(out, pa.struct([("key", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))]))
+            out.append({"key": hashlib.blake2b(h.tobytes(), digest_size=16).digest(), "sig": sig.tobytes(), "bands": band_keys(sig).tolist(), "grams": len(h)})
+        return pa.array(out, pa.struct([("key", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64())), ("grams", pa.int64())]))
 
     return shingle_features(text)
 
@@ -189,7 +191,7 @@ def _survivors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         members = np.union1d(a, b)
         cut = np.searchsorted(a, members), np.searchsorted(a, members, "right")
         partners = [(b[s:e] - first[m]).astype(np.int32) for m, s, e in zip(members, *cut)]
-        yield pd.DataFrame({"cell": frame["cell"].to_numpy()[members], "key": frame["key"].to_numpy()[members], "doc_id": frame["doc_id"].to_numpy()[members], "size": frame["size"].to_numpy()[members], "place": (members - first[members]).astype(np.int32), "partners": partners})
+        yield pd.DataFrame({"cell": frame["cell"].to_numpy()[members], "key": frame["key"].to_numpy()[members], "doc_id": frame["doc_id"].to_numpy()[members], "spot": frame["spot"].to_numpy()[members], "size": frame["size"].to_numpy()[members], "place": (members - first[members]).astype(np.int32), "partners": partners})
 
 
 def word_shingles(text: str, n: int) -> set[tuple[str, ...]]:
@@ -211,22 +213,29 @@ def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, vocabulary: in
 
 
 def linked_pairs(texts: list[str], a: np.ndarray, b: np.ndarray, n: int, threshold: float) -> np.ndarray:
-    """For each pair of texts: whether the exact Jaccard similarity of their n-grams reaches the threshold."""
-    vocabulary: dict[tuple[str, ...], int] = {}
-    sets = [np.sort(np.array([vocabulary.setdefault(s, len(vocabulary)) for s in word_shingles(t, n)], np.int64)) for t in texts]
-    length = np.array([len(s) for s in sets])
-    common = _common(sets, a, b, len(vocabulary))
-    # compared in whole numbers, so that a similarity of exactly the threshold counts
-    return common * 1000 >= round(threshold * 1000) * (length[a] + length[b] - common)
+    """For each pair of texts: whether the exact Jaccard similarity of their n-grams reaches the threshold.
+
+    Texts are cut into groups of about SET_GRAMS n-grams, and the n-grams of two groups are held at a time.
+    """
+    group = np.cumsum([len(t) // 6 for t in texts]) // SET_GRAMS  # about 6 characters a word
+    out = np.zeros(len(a), bool)
+    both = group[a] * (group[-1] + 1) + group[b]
+    for code in np.unique(both):
+        mine = np.flatnonzero(both == code)
+        used, place = np.unique(np.concatenate([a[mine], b[mine]]), return_inverse=True)
+        i, j = place[: len(mine)], place[len(mine) :]
+        vocabulary: dict[tuple[str, ...], int] = {}
+        sets = [np.sort(np.array([vocabulary.setdefault(s, len(vocabulary)) for s in word_shingles(texts[k], n)], np.int64)) for k in used]
+        length = np.array([len(s) for s in sets])
+        common = _common(sets, i, j, len(vocabulary))
+        # compared in whole numbers, so that a similarity of exactly the threshold counts
+        out[mine] = common * 1000 >= round(threshold * 1000) * (length[i] + length[j] - common)
+    return out
 
 
 def _verifier(n: int, threshold: float):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
         for frame in _cells(batches):
-            # ids can be repeated with other texts: keep, once, the text that the class was made from
-            digest = {t: hashlib.blake2b(shingle_hashes(t, n, known).tobytes(), digest_size=16).digest() for t in frame["text"].unique()}
-            frame = frame[frame["text"].map(digest) == frame["key"]].drop_duplicates(["cell", "place"]).reset_index(drop=True)
             starts = _bounds(frame["cell"].to_numpy())
             for s, e in zip(starts[:-1], starts[1:]):
                 part = frame.iloc[s:e]
@@ -257,16 +266,17 @@ def _verifier(n: int, threshold: float):
     return verify
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node that each node of an edge list is connected with.
 
     Large-star and small-star steps: every node sends its neighbours on to the smallest it knows of, which needs only
-    grouped minima and joins. Each round is written to the shared folder; only counts come to the driver.
+    grouped minima and joins. Rounds go on until nothing changes (their number grows with the logarithm of the edges).
+    Each round is written to the shared folder; only counts come to the driver.
     """
     star = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     star = stored(star, "star")
     mark = None
-    for _ in range(rounds):
+    while True:
         both = star.union(star.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -277,8 +287,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if mark == now or not now[0]:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -301,24 +309,28 @@ def row_classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD,
     """
     rows = docs.select("doc_id", F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
     made = stored(rows.select("doc_id", F.xxhash64("text").alias("spot"), features(F.col("text"), n).alias("f")).select("doc_id", "spot", "f.*"), "shingled")
-    classes = made.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = stored(classes, "classes")
+    # of each class the smallest id, and of its texts, if the id is repeated, one
+    classes = made.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.struct("doc_id", "spot")).alias("first"), F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("grams").alias("grams"))
+    classes = stored(classes.select("key", "first.doc_id", "first.spot", "size", "sig", "bands", "grams"), "classes")
 
     # a bucket's key tells its band, too. Only names go through the two shuffles by bucket; MinHash values follow for the
     # few classes that share one. Sort-merge joins at every size: what is small here is not small there.
-    posted = classes.select("key", F.explode("bands").alias("bucket"))
-    full = stored(posted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = posted.join(full.hint("merge"), "bucket").join(classes.hint("merge"), "key")
+    posted = classes.select("key", "grams", F.explode("bands").alias("bucket"))
+    full = stored(posted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("all_grams")).where("n > 1"), "buckets")
+    members = posted.drop("grams").join(full.hint("merge"), "bucket").join(classes.hint("merge"), "key")
     members = members.withColumn("band", F.array_position("bands", F.col("bucket")).cast("int") - 1)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.col("n"), F.ceil(F.col("all_grams") / BLOCK_GRAMS))).cast("int")
     members = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     members = members.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    members = members.withColumn("cell", F.xxhash64("bucket", "low", "high")).drop("n", "other", "bucket", "bands")
+    members = members.withColumn("cell", F.xxhash64("bucket", "low", "high")).drop("n", "all_grams", "grams", "other", "bucket", "bands")
     members = members.repartition("cell").sortWithinPartitions("cell", "key")
-    left = stored(members.mapInPandas(_survivors, "cell bigint, key binary, doc_id bigint, size bigint, place int, partners array<int>"), "survivors")
+    left = stored(members.mapInPandas(_survivors, "cell bigint, key binary, doc_id bigint, spot bigint, size bigint, place int, partners array<int>"), "survivors")
 
-    with_text = left.hint("merge").join(rows, "doc_id").repartition("cell").sortWithinPartitions("cell", "place")
+    # a row of each id and text; copies go before the shuffle
+    once = Window.partitionBy("doc_id", "spot").orderBy(F.length("text"))
+    texts = rows.withColumn("spot", F.xxhash64("text")).withColumn("turn", F.row_number().over(once)).where("turn = 1").drop("turn")
+    with_text = left.hint("merge").join(texts, ["doc_id", "spot"]).repartition("cell").sortWithinPartitions("cell", "place")
     links = stored(with_text.mapInPandas(_verifier(n, threshold), "key binary, links bigint, root binary"), "links")
 
     roots = components(links, "key", "root")
