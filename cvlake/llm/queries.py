@@ -15,7 +15,7 @@ URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "bl
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    model = url_filter.fit(url_filter.SEED_BLOCK.split(), url_filter.SEED_ALLOW.split(), url_filter.page_words(pages))
+    model = url_filter.fit(url_filter.SEED_BLOCK.split(), url_filter.SEED_ALLOW.split(), url_filter.page_words(pages), url_filter.url_sample(pages))
     return url_filter.judge_urls(pages, model, URL_RULES)
 
 

@@ -2,11 +2,16 @@
 
 Words run together in a host ("bestcasinobonus") are split by the most probable sequence of known words. The words'
 probabilities come from running text of the pages themselves: every word with at least MIN_SHARE of all words, hence
-no more than 1 / MIN_SHARE words whatever the size of the corpus, which bounds what is broadcast. Multinomial naive
-Bayes over the words of host and path then gives the verdict where no rule fits.
+no more than 1 / MIN_SHARE words whatever the size of the corpus, which bounds what is broadcast.
 
-Null URLs and URLs without "://" have an empty host and path and no words: naive Bayes then has only its prior, which
-allows. Rows are judged one by one: no shuffle, and equal hosts need no care.
+Multinomial naive Bayes over the words of host and path gives the verdict where no rule fits. It starts from labelled
+names, whose words label a URL each of at most SAMPLE hosts of the table, chosen by hash: bad from SURE on, good without
+more signs of bad names than of good ones, and left out between. Word weights and the share of bad hosts (the prior) are
+then fitted to names and labelled URLs, so words that go along with bad names weigh against a URL, too. A word's share in a
+class is smoothed towards its share in both by SMOOTH words, so that common words weigh little while a class has few hosts.
+
+Null URLs and URLs without "://" have an empty host and path and no words: naive Bayes then has only its prior. Rows are
+judged one by one: no shuffle, equal hosts need no care, and repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -21,20 +26,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_SHARE = 1e-5
+from cvlake.llm.common import held_out
+
+MIN_SHARE, SAMPLE, SURE, SMOOTH = 1e-5, 20_000, 0.7, 20.0
+LETTERS = re.compile(r"[^\W\d_]+")
 
-#: Labelled host names and path parts for the classifier, invented for this purpose.
-SEED_BLOCK = """spam-farm cheap-pills cheappills onlinecasino bestcasinobonus free-slots poker-bonus viagra-online
-buy-viagra-cheap discount-meds pharmacy-no-prescription adult-cams hotsinglesnearyou xxx-videos porn-tube sex-chat
-quick-payday-loans fastcashloans get-rich-now winprize-now free-gift-card click-bait-links link-farm seo-backlinks
-buy-followers replica-watches fake-rolex miracle-diet weight-loss-pills crypto-doubler bitcoin-giveaway torrent-warez
-cracked-software keygen-download betting-tips jackpot-spin lottery-winner escort-service spam-blog malware-download
-phishing-login cheap-meds casino bonus pills spam farm xxx porn betting jackpot loans replica"""
-SEED_ALLOW = """www blog news daily-times city-library national-museum university-press science-journal open-data
+#: Labelled host names and path parts for the classifier, invented for this purpose; hyphens part words.
+SEED_BLOCK = """spam-farm cheap-pills online-casino best-casino-bonus free-slots poker-bonus viagra-online buy-viagra-cheap
+discount-meds pharmacy-no-prescription adult-cams adult-dating hot-singles-near-you xxx-videos porn-tube sex-chat
+quick-payday-loans fast-cash-loans get-rich-now win-prize-now win-cash free-gift-card click-bait-links link-farm
+seo-backlinks buy-followers replica-watches fake-rolex miracle-diet weight-loss-pills crypto-doubler bitcoin-giveaway
+torrent-warez cracked-software keygen-download betting-tips sports-bets free-bets jackpot-spin lottery-winner escort-service
+spam-sites malware-download phishing-login cheap-meds ad-server ads-tracker pop-ads click-track banner-ads casino bonus pills
+spam farm xxx porn adult bets betting jackpot loans replica ads"""
+SEED_ALLOW = """news daily-times city-library national-museum university-press science-journal open-data
 public-health government-services school-district weather-report travel-guide cooking-recipes garden-club
-music-review book-store history-archive developer-docs python-tutorial opensource-project local-council
+music-review book-store history-archive developer-docs python-tutorial open-source-project local-council
 community-forum sports-results film-festival art-gallery research-lab medical-center law-review farmers-market
-health-food-store pharmacy-school savings-bank home-insurance job-board online-learning example index article
+health-food-store pharmacy-school savings-bank home-insurance job-board online-learning article
 archive docs wiki forum about contact help press"""
 
 
@@ -66,26 +75,48 @@ def fitting_rule(host: Column, path: Column, rules: dict[str, str]) -> tuple[Col
 def page_words(pages: DataFrame, html: str = "html", min_share: float = MIN_SHARE) -> list:
     """(word, n, total) of the words of at least min_share of all words in the pages' running text."""
     text = F.regexp_replace(F.lower(F.col(html)), r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
-    words = pages.select(F.explode(F.split(text, "[^a-z]+")).alias("word")).where(F.length("word").between(2, 30))
+    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where("word <> ''")
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    total = words.agg(F.count(F.lit(1)).alias("total"))
     # one row on the right; at most 1 / min_share rows remain
-    return counts.join(F.broadcast(total), F.col("n") >= F.col("total") * min_share).collect()
+    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("total"))), F.col("n") >= F.col("total") * min_share).collect()
+
+
+def url_sample(pages: DataFrame, url: str = "url", hosts: int = SAMPLE) -> list[tuple[str, str]]:
+    """(host, smallest path) of at most so many hosts, chosen by hash from all; the fold that held_out() tells is left out."""
+    host, path = parts(F.col(url))
+    names = pages.select(host.alias("host"), path.alias("path")).where("host <> ''").where(~held_out(F.col("host")))
+    names = names.groupBy("host").agg(F.min("path").alias("path"))
+    return [(r.host, r.path) for r in names.orderBy(F.xxhash64("host"), "host").limit(hosts).collect()]
+
+
+def _odds(named: list[Counter], found: list[Counter]) -> dict[str, float]:
+    """Log odds of words, bad against good: a class's words are those of its URLs, and its names add to their own words."""
+    every = named[0] + named[1] + found[0] + found[1]
+    sums, spread = [c.total() + SMOOTH for c in found], SMOOTH / every.total()
+    share = [{w: (names[w] + urls[w] + spread * n) / total for w, n in every.items()} for names, urls, total in zip(named, found, sums)]
+    return {w: math.log(share[0][w] / share[1][w]) for w in every}
 
 
-def fit(block: Iterable[str], allow: Iterable[str], corpus: Iterable[tuple[str, int, int]] = ()) -> UrlModel:
-    """A model from labelled names (a bounded list) and corpus word counts."""
-    seeds = Counter(w for name in [*block, *allow] for w in re.findall("[a-z]+", name.lower()) if "-" in name or len(w) <= 12)
-    share = {w: 0.5 * n / sum(seeds.values()) for w, n in seeds.items()}
+def fit(block: Iterable[str], allow: Iterable[str], corpus: Iterable[tuple[str, int, int]] = (), urls: Iterable[tuple[str, str]] = ()) -> UrlModel:
+    """A model from labelled names (a bounded list), corpus word counts and unlabelled URLs (host, path)."""
+    named = [Counter(LETTERS.findall(" ".join(names).lower())) for names in (block, allow)]
+    seeds = named[0] + named[1]
+    share = {w: 0.5 * n / seeds.total() for w, n in seeds.items()}
     for word, n, total in corpus:
         share[word] = share.get(word, 0.0) + 0.5 * n / total
     logp = {w: math.log(p) for w, p in share.items()}
-    shell = UrlModel(logp, math.log(0.5 * MIN_SHARE), max(map(len, logp), default=1), {}, 0.0)
-    seen = [Counter(w for name in names for w in name_words(name, shell)) for names in (block, allow)]
-    vocabulary = set(seen[0]) | set(seen[1])
-    sums = [sum(c.values()) + len(vocabulary) for c in seen]
-    log_odds = {w: math.log((seen[0][w] + 1) / sums[0]) - math.log((seen[1][w] + 1) / sums[1]) for w in vocabulary}
-    return shell._replace(log_odds=log_odds, prior=math.log(0.2 / 0.8))
+    model = UrlModel(logp, math.log(0.5 * MIN_SHARE), max(map(len, logp), default=1), _odds(named, [Counter(), Counter()]), 0.0)
+    cache: dict[str, list[str]] = {}
+    found, hosts = [Counter(), Counter()], [1, 1]
+    for host, path in urls:
+        words = set(name_words(host, model, cache) + name_words(path, model, cache))
+        p = block_probability(words, model)
+        if p >= SURE or p <= 0.5:
+            found[p <= 0.5].update(words)
+            hosts[p <= 0.5] += 1
+    if not any(found):
+        return model
+    return model._replace(log_odds=_odds(named, found), prior=math.log(hosts[0] / hosts[1]))
 
 
 def segment(run: str, model: UrlModel) -> list[str]:
@@ -110,7 +141,7 @@ def segment(run: str, model: UrlModel) -> list[str]:
 def name_words(name: str, model: UrlModel, cache: dict[str, list[str]] | None = None) -> list[str]:
     """Words of a host or path: runs of letters, split further where they are no known word."""
     out = []
-    for run in re.findall("[a-z]+", name.lower()):
+    for run in LETTERS.findall(name.lower()):
         if cache is None:
             out += segment(run, model)
             continue
