@@ -136,6 +136,8 @@ def scan_blobs(texts: DataFrame, ledger: str, batch: str, path: str = "path", te
 def scan_versions(versions: DataFrame, ledger: str, batch: str, path: str = "path", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """scan_blobs, and its findings joined back to all paths: (path, blob, spans) of every row."""
     found = scan_blobs(versions, ledger, batch, path, text, rules)
+    if is_small(found.select(F.explode("spans"))):
+        found = F.broadcast(found)
     paths = versions.select(F.col(path).alias("path"), blob_name(F.col(text)).alias("blob"))
     return paths.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
