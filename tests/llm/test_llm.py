@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import re
 import textwrap
+import tracemalloc
 import zlib
 
 import duckdb
@@ -61,6 +63,68 @@ def test_viterbi_is_the_best_split():
         splits = [[run[a:b] for a, b in itertools.pairwise((0, *cut, len(run)))] for n in range(len(run)) for cut in itertools.combinations(range(1, len(run)), n)]
         assert price(url_filter.segment(run, model)) == pytest.approx(max(map(price, splits)))
     assert url_filter.block_probability(["casino", "bonus"], model) > 0.5 > url_filter.block_probability(["library"], model)
+    assert url_filter.segment("überblick", url_filter.fit(["über"], ["blick"])) == ["über", "blick"]
+
+
+def url_model(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    return pages, url_filter.fit(url_filter.SEED_BLOCK.split(), url_filter.SEED_ALLOW.split(), url_filter.page_words(pages), url_filter.url_sample(pages))
+
+
+def test_url_classifier_decides(spark, sf_dir):
+    """Bad names are blocked and plain ones are not: planted, and among the table's hosts that were held out of the fit."""
+    pages, model = url_model(spark, sf_dir.replace("sf0.001", "sf0.1"))
+    judge = lambda host: url_filter.block_probability(url_filter.name_words(host, model) + url_filter.name_words("/en/12.html", model), model)
+    bad = ["m.casino-bonus.example.com", "bestcasinobonus.example.org", "www.cheappills.example.com", "freeslots.example.com", "porn-tube.example.com", "spam-links.example.org"]
+    plain = ["city-library.example.com", "www.example.com", "blog.example.org", "m.qzxv.example.com", "museum.example.com", "bücher.example.com"]
+    assert min(map(judge, bad)) >= 0.5 > max(map(judge, plain))
+    named, fine = ({w for name in names.split() for w in name.split("-")} for names in (url_filter.SEED_BLOCK, url_filter.SEED_ALLOW))
+    hosts = {r.host for r in url_filter.judge_urls(pages, model, {}).select("host").distinct().collect() if r.host}
+    is_bad = {h for h in hosts if (named - fine) & set(re.findall("[a-z]+", h))}
+    blocked = {h for h in hosts if judge(h) >= 0.5}
+    assert len(is_bad) > 3 and is_bad <= blocked and len(blocked - is_bad) <= 0.02 * len(hosts)
+    words, sample = url_filter.page_words(pages), url_filter.url_sample(pages)
+    assert not [host for host, _ in sample if zlib.crc32(host.encode()) % 5 == 0]
+    caught = 0
+    for host in is_bad:  # held out one by one, too, as they are few; "adult-x" under a top domain of good hosts is missed
+        model = url_filter.fit(url_filter.SEED_BLOCK.split(), url_filter.SEED_ALLOW.split(), words, [x for x in sample if x[0] != host])
+        caught += judge(host) >= 0.5
+    assert caught >= len(is_bad) - 1
+
+
+def test_op1_is_what_plain_code_gives(spark, sf_dir):
+    """Every row of the query by plain code: parts, rules, best split by trying word ends, and sums of log odds."""
+    pages, model = url_model(spark, sf_dir)
+
+    def split(run):
+        best = {0: (0.0, [])}
+        for end in range(1, len(run) + 1):
+            best[end] = max(((best[at][0] + model.logp.get(run[at:end], model.unknown - 3.0 * (end - at)), best[at][1] + [run[at:end]]) for at in range(max(0, end - model.longest), end)), key=lambda x: x[0])
+        return best[len(run)]
+
+    rows, got = pages.collect(), {r.page_id: r for r in queries.op1_url_filter(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        rest = r.url.split("://", 1)[1] if r.url and "://" in r.url else ""
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0] if rest else ""
+        host = host.translate({c: c + 32 for c in range(65, 91)})
+        fits = [x for x in queries.URL_RULES if ("." + host).endswith("." + x.split("/")[0]) and path.startswith("/" + x.split("/", 1)[1])]
+        rule = max(fits, key=len, default=None)
+        z = model.prior + sum(model.log_odds.get(w, 0.0) for part in (host, path) for run in re.findall(r"[^\W\d_]+", part.lower()) for w in split(run)[1])
+        mine = got[r.page_id]
+        assert (mine.host, mine.path, mine.rule) == (host, path, rule)
+        assert mine.score == pytest.approx(1 / (1 + math.exp(-z))) and mine.verdict == (queries.URL_RULES[rule] if rule else "block" if mine.score >= 0.5 else "allow")
+
+
+def test_url_hard_cases(spark):
+    long = "https://" + "verylongname" * 8_000 + ".example.com/" + "a/" * 8_000
+    pages = spark.createDataFrame([(1, long, "x"), (2, "https://a.com", None), (2, "https://a.com", None), (None, None, "")], "page_id bigint, url string, html string").withColumns({c: F.lit("clash") for c in ("host", "path", "_b", "word", "words", "n")})
+    model = url_filter.fit(url_filter.SEED_BLOCK.split(), url_filter.SEED_ALLOW.split(), url_filter.page_words(pages), url_filter.url_sample(pages))
+    got = url_filter.judge_urls(pages, model, queries.URL_RULES).collect()
+    assert sorted(str(r.page_id) for r in got) == ["1", "2", "2", "None"] and all(r.verdict in ("allow", "block") for r in got)
+    none = pages.limit(0)
+    assert url_filter.page_words(none) == [] and url_filter.url_sample(none) == []
 
 
 # 2: toxicity
@@ -351,30 +415,85 @@ def test_ann_recall_at_100_000(spark, spread):
 # 7: decontamination
 
 
+def brute_leaks(texts, items):
+    """(place of the text, item id) by BM25 over all items for every passage, without any index."""
+    cut = [(i, t, w) for i, t in items if (w := decontam.words_of(t))]
+    average = sum(len(w) for _, _, w in cut) / len(cut)
+    df: dict = {}
+    for _, _, w in cut:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    k1, b = decontam.K1, decontam.B
+    weights = []
+    for _, _, w in cut:
+        own = {x: math.log1p((len(cut) - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * (k1 + 1) / (w.count(x) + k1 * (1 - b + b * len(w) / average)) for x in set(w)}
+        weights.append({x: v / sum(own.values()) for x, v in own.items()})
+    found = set()
+    for d, text in enumerate(texts):
+        words = decontam.words_of(text)
+        for half in {decontam.half_window(len(w)) for _, _, w in cut}:
+            for at in range(0, max(1, len(words) - half), half):
+                passage = words[at : at + 2 * half]
+                have = set(passage)
+                for (i, t, w), own in zip(cut, weights):
+                    if decontam.half_window(len(w)) == half and sum(v for x, v in own.items() if x in have) >= decontam.THRESHOLD:
+                        q, a = decontam.split_item(t)
+                        if decontam.overlap(q, passage) >= decontam.QUESTION and decontam.overlap(a, passage) >= decontam.ANSWER:
+                            found.add((d, i))
+    return found
+
+
 def test_decontamination_is_exhaustive(spark, sf_dir, documents):
-    """Pruning by blocks loses nothing: the same leaks as scoring all items for every passage."""
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    (index,) = decontam.indexes(bench)
-    want = set()
-    for r in documents.collect():
-        words = decontam.words_of(r.text)
-        for at in range(0, max(1, len(words) - index.half), index.half):
-            passage = words[at : at + 2 * index.half]
-            for place, item in enumerate(index.items):
-                q, a = decontam.overlap(index.question[place], passage), decontam.overlap(index.answer[place], passage)
-                if q < decontam.QUESTION or a < decontam.ANSWER:
-                    continue
-                score = sum(index.impact[k] for w in set(passage) if w in index.terms for k in range(index.first[index.terms[w]], index.first[index.terms[w] + 1]) if index.place[k] == place)
-                if score >= decontam.THRESHOLD:
-                    want.add((r.doc_id, item))
+    """Bounds lose nothing: the same leaks as scoring all items for every passage."""
+    rows, bench = documents.collect(), spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
+    want = {(rows[d].doc_id, i) for d, i in brute_leaks([r.text for r in rows], [(r.item_id, r.text) for r in bench])}
     assert {(r.doc_id, r.item_id) for r in queries.op7_decontamination(spark, sf_dir).collect()} == want and want
 
 
+def test_decontamination_in_shards_and_lengths(spark, monkeypatch):
+    """Items of all lengths, in one shard or many, in small tables: the leaks are those of brute force, and of each item alone."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(words, n, p=np.arange(400, 0, -1) / 80_200)) + "."
+    items = [(i if i % 9 else None, " ".join(text(max(3, n // 3)) for _ in range(3))) for i, n in enumerate([5, 9, 20, 40, 60, 64, 66, 70, 130, 250, 300, 900, 5_000] * 3)]
+    texts = [text(100) + " " + t + " " + text(100) for _, t in items] + [t[: len(t) // 2] for _, t in items] + [text(3_000), None, ""]
+    want = brute_leaks(texts, [(n, t) for n, (_, t) in enumerate(items)])
+    want = sorted((d, str(items[n][0])) for d, n in want)
+    assert len(want) >= len(items)
+    bench, docs = spark.createDataFrame(items, "item_id bigint, text string"), docs_of(spark, enumerate(texts)).withColumns({"l": F.lit(1), "item_id": F.lit(2), "words": F.lit(3)})
+    for shard, slots in ((4_000_000, 1_000_000), (3_000, 5)):
+        monkeypatch.setattr(decontam, "SLOTS", slots)
+        got = sorted((r.doc_id, str(r.item_id)) for r in decontam.find_contamination(docs, bench, shard_words=shard).collect())
+        assert got == want
+        assert decontam.without_leaks(docs, bench, shard_words=shard).count() == len(texts) - len({d for d, _ in want})
+    assert len(list(decontam.indexes(bench, 3_000))) > 3
+    # what is a leak of an item doesn't hang on other items' lengths
+    one = [(1, "one two three four five six seven. eight nine ten eleven twelve.")]
+    doc = docs_of(spark, [(1, text(90) + " " + one[0][1])])
+    for more in ([], [(2, text(5_000))]):
+        assert decontam.find_contamination(doc, spark.createDataFrame(one + more, "item_id bigint, text string")).count() == 1
+
+
+def test_decontamination_by_10_000_items():
+    """The index of 10,000 items and the tables for a batch of long texts stay far under 1 GB."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(20_000)]
+    items = [(i, i, " ".join(rng.choice(words, 80)), 80) for i in range(10_000)]
+    impacts = [(no, w, 1 / 80) for no, _, text, _ in items for w in set(text.split())]
+    tracemalloc.start()
+    index = decontam.build(items, impacts)
+    long = [" ".join(rng.choice(words, 20_000)) + " " + items[i][2] for i in range(8)]
+    found = decontam.find_leaks(long, index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [[r["item_id"] for r in x] for x in found] == [[i] for i in range(8)] and peak < 600e6
+
+
 def test_decontamination_hard_cases(spark):
     item = "How many apples does the tall farmer keep in the red barn near the river? The tall farmer keeps forty two apples there."
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (1, item), (None, item)], "item_id bigint, text string")
     docs = docs_of(spark, [(1, LONG + " " + item + " " + LONG), (2, None), (3, ""), (4, LONG), (None, item), (5, "how many apples")])
-    assert {r.doc_id for r in decontam.find_contamination(docs, bench).collect()} == {1, None}
+    assert sorted(str((r.doc_id, r.item_id)) for r in decontam.find_contamination(docs, bench).collect()) == sorted(str((d, i)) for d in (1, None) for i in (1, 1, None))
     assert sorted(str(r.doc_id) for r in decontam.without_leaks(docs, bench).collect()) == ["2", "3", "4", "5"]
     assert decontam.without_leaks(docs, bench.limit(0)).count() == 6 and decontam.find_contamination(docs.limit(0), bench).count() == 0
 
@@ -418,11 +537,31 @@ def test_join_hard_cases(spark, monkeypatch):
     assert sorted(map(tuple, ngram_join.jaccard_classes(docs).collect())) == brute_classes(rows)
     monkeypatch.setattr(ngram_join, "BLOCK", 2)  # buckets are cut into many cells
     assert sorted(map(tuple, ngram_join.jaccard_classes(docs).collect())) == brute_classes(rows)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 100)
+    monkeypatch.setattr(ngram_join, "SET_GRAMS", 50)
+    assert sorted(map(tuple, ngram_join.jaccard_classes(docs).collect())) == brute_classes(rows)
     nulls = docs_of(spark, [(None, "a b c"), (1, "a b c")])
     assert sorted(map(str, map(tuple, ngram_join.jaccard_classes(nulls).collect()))) == ["(1, 1, 0)", "(None, None, None)"]
     assert ngram_join.jaccard_classes(docs.limit(0)).count() == 0
 
 
+def test_join_of_a_very_frequent_id(spark):
+    """An id with 10,000 rows: texts of its own, copies of one text, and a near copy of another id's."""
+    base = [" ".join(f"{x}{i}" for i in range(60)) for x in "ab"]
+    own = spark.range(5_000).select(F.lit(7).cast("bigint").alias("doc_id"), F.concat_ws(" ", F.lit("x"), "id", F.col("id") * 7, F.col("id") * 3 + 1, F.lit("y"), F.col("id") % 11).alias("text"))
+    copies = spark.range(5_000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit(base[0]).alias("text"))
+    rest = spark.createDataFrame([(9, base[0] + " end"), (8, base[1]), (7, base[1] + " end")], "doc_id bigint, text string")
+    got = ngram_join.jaccard_classes(own.union(copies).union(rest)).groupBy("doc_id", "class_id", "n_links").count().collect()
+    assert {tuple(r) for r in got} == {(7, 7, 0, 5_000), (7, 7, 5_000, 5_000), (9, 7, 5_000, 1), (8, 7, 1, 1), (7, 7, 1, 1)}
+
+
+def test_join_of_long_near_copies(spark):
+    """500 texts of 5,000 words that differ in one: 2.5 million n-grams, which no cell holds at once."""
+    base = [f"w{i}" for i in range(5_000)]
+    rows = spark.createDataFrame([(i, " ".join(base[: i * 9] + [f"other{i}"] + base[i * 9 + 1 :])) for i in range(500)], "doc_id bigint, text string")
+    assert {tuple(r) for r in ngram_join.jaccard_classes(rows).select("class_id", "n_links").distinct().collect()} == {(0, 499)}
+
+
 # 9: language
 
 
