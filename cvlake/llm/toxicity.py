@@ -1,13 +1,16 @@
 """Toxicity by averaged subword embeddings and a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (with marks at both ends) and itself; each is hashed to a row of an
-embedding table. A text is the average over all its words' subwords, and a linear softmax scores the average. A
-misspelling the training never saw still shares most n-grams with the word meant. As the model is linear behind the
-average, a word's part of the score is two numbers, which workers keep for words they have met.
-
-Only fitting is bounded: by rows_per_class labels, chosen whatever the length of their texts, and by most_words different
-words of a text, drawn from all of it. Every text is scored whole. Null and empty texts, and texts without a letter or
-digit, score the model's prior. Rows are scored one by one with no shuffle of texts.
+embedding table. A window of up to WINDOW words is the average over all its words' subwords, and a linear softmax scores
+the average. A misspelling the training never saw still shares most n-grams with the word meant. A text of n windows has
+the mean of its sqrt(n) highest scores, so a few toxic stretches are not lost in a long text; scale and bias of that mean
+are fitted to labels the training did not see. As the model is linear behind the average, a word's part of the score is
+two numbers, which workers keep for words they have met.
+
+Only fitting is bounded: by rows_per_class labels, chosen whatever the length of their texts, by most_windows windows of
+a text, drawn from all of it, and to words of at most FIT_LETTERS letters. Every text is scored whole. Null and empty
+texts, and texts without a letter or digit, score the model's prior. Rows are scored one by one with no shuffle of texts;
+repeated rows have the same score.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 
 from cvlake.llm.common import bounded_sample
 
-ROWS_PER_CLASS, MOST_WORDS, BUCKETS, DIM = 1200, 2_500, 1 << 17, 8
-ALPHA, LEAST_TEXTS = 0.5, 5
+ROWS_PER_CLASS, MOST_WINDOWS, WINDOW, FIT_LETTERS, BUCKETS, DIM = 1200, 8, 96, 256, 1 << 17, 8
+ALPHA = 0.5
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -40,17 +43,17 @@ class ToxicityModel(NamedTuple):
 def subwords(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """For lower-cased words: places of words, and buckets of their character 3- to 5-grams and of the words themselves.
 
-    Bare punctuation has none. A run of over 64 characters is no word and has its 5-grams only.
+    Bare punctuation has none.
     """
     marked = [f"<{core}>" if (core := EDGES.sub("", w)) else "" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     length = np.fromiter(map(len, marked), np.int64, len(marked))
     owner, left = np.repeat(np.arange(len(words)), length), np.repeat(np.cumsum(length), length) - np.arange(len(codes))
-    named = np.flatnonzero((length > 0) & (length <= 66))
+    named = np.flatnonzero(length > 0)
     owners = [named]
     hashes = [np.fromiter((zlib.crc32(marked[i].encode("utf-8", "surrogatepass")) for i in named), np.uint64, len(named))]
     for n in (3, 4, 5):
-        at = np.flatnonzero((left >= n) & ((n == 5) | (length[owner] <= 66)))
+        at = np.flatnonzero(left >= n)
         h = np.full(len(at), n, np.uint64)
         for i in range(n):
             h = (h + codes[at + i]) * np.uint64(0x9E3779B97F4A7C15)
@@ -60,21 +63,26 @@ def subwords(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     return np.concatenate(owners), (np.concatenate(hashes) % np.uint64(buckets)).astype(np.int64)
 
 
-def word_weights(text: str) -> tuple[list[str], np.ndarray]:
-    """Words and their weights in the average: 1 + ln of the count, so that one word said a thousand times is no text."""
-    counts = Counter(text.lower().split())
-    return list(counts), 1.0 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+def window_edges(n: int) -> np.ndarray:
+    """Where the windows of n words begin, and the end: windows of about the same size, of WINDOW words at most."""
+    parts = max(1, -(-n // WINDOW))
+    return np.arange(parts + 1) * n // parts
+
+
+def drawn_windows(text: str, most: int) -> list[str]:
+    """The windows of a text, or most of them drawn from all of it; words of over FIT_LETTERS letters are left out."""
+    words = text.lower().split()
+    edges = window_edges(len(words))
+    at = np.arange(len(edges) - 1)
+    if len(at) > most:
+        at = np.sort(np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass"))).choice(at, most, replace=False))
+    return [" ".join(w for w in words[edges[i] : edges[i + 1]] if len(w) <= FIT_LETTERS) for i in at]
 
 
-def drawn_words(text: str, most: int) -> tuple[list[str], list[float]]:
-    """Words and weights as word_weights() has them; of a text with more than most different words, most of them drawn by hash from all of it."""
-    words, weights = word_weights(text)
-    if len(words) > most:
-        salt = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-        spot = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass"), salt) for w in words), np.uint64, len(words))
-        at = np.sort(np.argsort(spot, kind="stable")[:most])
-        words, weights = [words[i] for i in at], weights[at]
-    return words, weights.tolist()
+def pooled(z: np.ndarray) -> float:
+    """The mean of the sqrt(n) highest of n windows' scores."""
+    k = math.isqrt(len(z) - 1) + 1
+    return float(np.partition(z, len(z) - k)[len(z) - k :].mean())
 
 
 class _Sparse:
@@ -108,40 +116,37 @@ class _Sparse:
 
 def fit(texts: list[str], labels: list[int], base_rate: float | None = None, **how) -> ToxicityModel:
     """Train on whole labelled texts."""
-    return fit_bags([word_weights(t) for t in texts], labels, base_rate, **how)
+    return fit_windows([drawn_windows(t, len(t) + 1) for t in texts], labels, base_rate, **how)
 
 
-def fit_bags(bags: list[tuple[list[str], list[float]]], labels: list[int], base_rate: float | None = None, rounds: int = 60, rate: float = 0.1, seed: int = 7) -> ToxicityModel:
-    """Train on labelled bags of words (a bounded sample). base_rate: share of label 1 among all labelled rows."""
-    y = np.array(labels, np.float32)
+def fit_windows(texts: list[list[str]], labels: list[int], base_rate: float | None = None, rounds: int = 40, rate: float = 0.1, seed: int = 7) -> ToxicityModel:
+    """Train on windows of labelled texts (a bounded sample). base_rate: share of label 1 among all labelled rows."""
+    of_text = np.array(labels, np.float32)
     if base_rate is None:
-        base_rate = float(y.mean()) if len(y) else 0.5
+        base_rate = float(of_text.mean()) if len(of_text) else 0.5
     base_rate = min(max(base_rate, 1e-3), 1 - 1e-3)
     if len(set(labels)) < 2:
         prior = (1.0 if labels[0] else 0.0) if labels else base_rate
         return ToxicityModel(np.zeros(BUCKETS, np.float32), 1.0, float(np.log(base_rate / (1 - base_rate))), min(max(prior, 1e-3), 1 - 1e-3))
+    text_of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    bags = [Counter(w.split()) for t in texts for w in t]
+    y = of_text[text_of]
     vocabulary: dict[str, int] = {}
-    word, count = [], []
-    for words, weights in bags:
-        word.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
-        count.append(np.asarray(weights, np.float32))
+    word = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in b), np.int32, len(b)) for b in bags]
+    count = np.concatenate([np.fromiter(b.values(), np.float32, len(b)) for b in bags])
     doc = np.repeat(np.arange(len(bags), dtype=np.int32), [len(x) for x in word])
-    word, count = np.concatenate(word), np.concatenate(count)
+    word = np.concatenate(word)
     owner, bucket = subwords(list(vocabulary))
     lengths = np.bincount(owner, minlength=len(vocabulary)).astype(np.float32)
     total = np.maximum(np.bincount(doc, count * lengths[word], len(bags)), 1)
-    # a word of few texts teaches nothing that carries over; it still counts in the average
-    often = np.bincount(word, minlength=len(vocabulary)) >= LEAST_TEXTS
-    kept = often[word]
-    doc, word, count = doc[kept], word[kept], count[kept]
-    owner, bucket = owner[often[owner]], bucket[often[owner]]
     used, flat = np.unique(bucket, return_inverse=True)
     of_docs = _Sparse(doc, word, count / total[doc], (len(bags), len(vocabulary)))
     of_words = _Sparse(owner, flat, np.ones(len(flat)), (len(vocabulary), len(used)))
     rng = np.random.default_rng(seed)
-    check = rng.random(len(bags)) < 0.25  # not trained on: gives the scale of the scores
-    if len(set(y[check])) < 2 or len(set(y[~check])) < 2:
-        check = np.zeros(len(bags), bool)
+    held = rng.random(len(texts)) < 0.25  # not trained on: gives the scale of the scores
+    if len(set(of_text[held])) < 2 or len(set(of_text[~held])) < 2:
+        held = np.zeros(len(texts), bool)
+    check = held[text_of]
     weight = np.where(y == 1, 0.5 / max(1, (y[~check] == 1).sum()), 0.5 / max(1, (y[~check] == 0).sum())) * ~check
     table = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
     out = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
@@ -164,8 +169,9 @@ def fit_bags(bags: list[tuple[list[str], list[float]]], labels: list[int], base_
     line = np.zeros(BUCKETS, np.float32)
     line[used] = table @ (out[:, 1] - out[:, 0])
     z = (of_docs.dot(of_words.dot(line[used][:, None]))[:, 0]).astype(np.float64)
-    on = check if check.any() else ~check
-    scale, shift = _calibrate(z[on], y[on], base_rate)
+    starts = np.searchsorted(text_of, np.arange(len(texts) + 1))
+    own = np.flatnonzero((held if held.any() else ~held) & (np.diff(starts) > 0))
+    scale, shift = _calibrate(np.array([pooled(z[starts[i] : starts[i + 1]]) for i in own]), of_text[own], base_rate)
     return ToxicityModel(line, scale, shift, base_rate)
 
 
@@ -183,51 +189,54 @@ def _calibrate(z: np.ndarray, y: np.ndarray, base_rate: float) -> tuple[float, f
 
 
 class Scorer:
-    """Scores texts by a model, with the parts of words met so far."""
+    """Scores texts by a model, with the parts of words met so far, of about most_letters letters."""
 
-    def __init__(self, model: ToxicityModel, most_words: int = 150_000):
-        self.model, self.most_words = model, most_words
-        self.part: dict[str, float] = {}
-        self.size: dict[str, int] = {}
+    def __init__(self, model: ToxicityModel, most_letters: int = 2_000_000):
+        self.model, self.most_letters, self.letters = model, most_letters, 0
+        self.known: dict[str, tuple[float, int]] = {}  # a word's part of the sum, and its number of subwords
 
     def learn(self, words: list[str]) -> None:
         owner, bucket = subwords(words, len(self.model.weight))
-        self.part.update(zip(words, np.bincount(owner, self.model.weight[bucket], len(words)).tolist()))
-        self.size.update(zip(words, np.bincount(owner, minlength=len(words)).tolist()))
+        parts, sizes = np.bincount(owner, self.model.weight[bucket], len(words)), np.bincount(owner, minlength=len(words))
+        self.known.update(zip(words, zip(parts.tolist(), sizes.tolist())))
+        self.letters += sum(map(len, words))
 
     def scores(self, texts: list[str]) -> list[float]:
-        if len(self.part) > self.most_words:
-            self.part.clear()
-            self.size.clear()
-        bags = [word_weights(t) for t in texts]
-        self.learn(list(set().union(*[words for words, _ in bags]).difference(self.part)))
+        if self.letters > self.most_letters:
+            self.known.clear()
+            self.letters = 0
+        lists = [t.lower().split() for t in texts]
+        self.learn(list(set().union(*lists).difference(self.known)))
         out, m = [], self.model
-        for words, weights in bags:
-            n = float(weights @ np.fromiter(map(self.size.__getitem__, words), np.float64, len(words)))
-            total = float(weights @ np.fromiter(map(self.part.__getitem__, words), np.float64, len(words)))
-            out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, m.scale * total / n + m.bias)))) if n else m.prior)
+        for words in lists:
+            z = np.zeros(0)
+            if words:
+                both = np.array(list(map(self.known.__getitem__, words)))
+                both = np.add.reduceat(both, window_edges(len(words))[:-1], axis=0)
+                both = both[both[:, 1] > 0]
+                z = both[:, 0] / both[:, 1]
+            out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, m.scale * pooled(z) + m.bias)))) if len(z) else m.prior)
         return out
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, most_words: int = MOST_WORDS) -> ToxicityModel:
+def fit_on(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, most_windows: int = MOST_WINDOWS) -> ToxicityModel:
     """Fit on documents (doc_id, text) of a bounded sample of labels (doc_id, toxic); other labels than 0 and 1 are left out.
 
     The sample is taken from the labels alone; at most 4 * rows_per_class ids are then broadcast to find their texts, and
-    of each text its words come back.
+    of each text its windows come back. Of an id with many texts, those that come first by hash are used.
     """
 
-    @F.arrow_udf("struct<words string, weights array<float>>")
-    def bag(texts: pa.Array) -> pa.Array:
-        bags = [drawn_words(t, most_words) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([" ".join(w) for w, _ in bags], pa.string()), pa.array([x for _, x in bags], pa.list_(pa.float32()))], ["words", "weights"])
+    @F.arrow_udf("array<string>")
+    def windows(texts: pa.Array) -> pa.Array:
+        return pa.array([drawn_windows(t, most_windows) for t in texts.to_pylist()], pa.list_(pa.string()))
 
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     chosen = bounded_sample(usable, "doc_id", "toxic", rows_per_class)
     texts = docs.where(F.length("text") >= 1).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("doc_id", "toxic", bag(F.col("text")).alias("bag")).limit(8 * rows_per_class).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.bag.words, r.toxic))
+    texts = texts.select("doc_id", "toxic", F.xxhash64("text").alias("spot"), windows(F.col("text")).alias("windows"))
+    rows = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "spot", "toxic").limit(8 * rows_per_class).collect()
     share = usable.agg(F.avg("toxic")).first()[0]
-    return fit_bags([(r.bag.words.split(), r.bag.weights) for r in rows], [r.toxic for r in rows], share)
+    return fit_windows([r.windows for r in rows], [r.toxic for r in rows], share)
 
 
 def toxic_score(text: Column, model: ToxicityModel, spark, batch: int = 64) -> Column:
