@@ -5,12 +5,15 @@ goes to a softmax. A text is cut into windows that cover all of it, and its lang
 windows, weighted by their letters. For scoring, embedding and filters are multiplied out into tables by byte pair, so
 that a filter's value at a place is one or two look-ups.
 
-Only fitting is bounded (rows_per_class, max_chars, windows_per_text). Null texts and texts without a letter are "und"
-with score 0; so is everything if no labelled text was there to learn from. Rows are scored one by one, with no shuffle.
+Only fitting is bounded: by rows_per_class labelled texts of each of the 1,000 most frequent languages, whatever their
+length, and windows_per_text windows of each, drawn from all of it. Null texts and texts without a letter are "und" with
+score 0; so is everything if no labelled text was there to learn from. Rows are scored one by one, with no shuffle, and
+repeated rows alike; of equal probabilities the language that comes first by name is given.
 """
 
 from __future__ import annotations
 
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from cvlake.llm.common import bounded_sample
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
-ROWS_PER_CLASS, MAX_CHARS, WINDOWS_PER_TEXT = 300, 12_000, 4
+ROWS_PER_CLASS, WINDOWS_PER_TEXT = 300, 4
 PAD = 0x20
 
 
@@ -58,17 +61,25 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.01, batch: int = 64, seed: int = 3) -> LangModel:
-    """Train on labelled texts (a bounded sample), with gradients through the maxima only."""
+def drawn_windows(text: str, most: int) -> np.ndarray:
+    """The windows of a text, or most of them drawn from all of it."""
+    data = text.encode("utf-8", "replace")
+    w = windows(data)
+    if len(w) > most:
+        w = w[np.sort(np.random.default_rng(zlib.crc32(data)).choice(len(w), most, replace=False))]
+    return w
+
+
+def fit(texts: list[str], labels: list[str], **how) -> LangModel:
+    """Train on labelled texts."""
+    return fit_windows([drawn_windows(t, WINDOWS_PER_TEXT) for t in texts], labels, **how)
+
+
+def fit_windows(xs: list[np.ndarray], labels: list[str], epochs: int = 4, rate: float = 0.01, batch: int = 64, seed: int = 3) -> LangModel:
+    """Train on windows of labelled texts (a bounded sample), with gradients through the maxima only."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
-    xs, ys = [], []
-    for text, label in zip(texts, labels):
-        w = windows(text.encode("utf-8", "replace"))
-        if len(w) > WINDOWS_PER_TEXT:
-            w = w[np.sort(rng.choice(len(w), WINDOWS_PER_TEXT, replace=False))]
-        xs.append(w)
-        ys += [languages.index(label)] * len(w)
+    ys = [languages.index(label) for x, label in zip(xs, labels) for _ in x]
     rand = lambda *s: rng.normal(0, 1, s).astype(np.float32)
     model = LangModel(languages, rand(256, EMBED) * 0.5, [rand(w, EMBED, FILTERS) / np.sqrt(w * EMBED) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), rand(FILTERS * len(WIDTHS), len(languages)) * 0.1, np.zeros(len(languages), np.float32))
     if len(languages) < 2:
@@ -161,13 +172,17 @@ class Scorer:
         return names, scores
 
 
-def fit_on(labelled: DataFrame, rows_per_class: int = ROWS_PER_CLASS, max_chars: int = MAX_CHARS) -> LangModel:
+def fit_on(labelled: DataFrame, rows_per_class: int = ROWS_PER_CLASS, windows_per_text: int = WINDOWS_PER_TEXT) -> LangModel:
     """Fit on a bounded sample of (doc_id, text, lang); rows with a null in text or lang are left out."""
-    usable = labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    chosen = bounded_sample(usable, "doc_id", "lang", rows_per_class)
-    rows = chosen.where(F.length("text").between(1, max_chars)).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return fit([r.text for r in rows], [r.lang for r in rows])
+
+    @F.arrow_udf("binary")
+    def drawn(texts: pa.Array) -> pa.Array:
+        return pa.array([drawn_windows(t, windows_per_text).tobytes() for t in texts.to_pylist()], pa.binary())
+
+    usable = labelled.where(F.col("lang").isNotNull() & (F.length("text") >= 1)).select("doc_id", "lang", "text")
+    chosen = bounded_sample(usable.select("doc_id", "lang", drawn(F.col("text")).alias("w")), "doc_id", "lang", rows_per_class)
+    rows = sorted(chosen.collect(), key=lambda r: (r.doc_id, r.lang, r.w))
+    return fit_windows([np.frombuffer(r.w, np.uint8).reshape(-1, WINDOW) for r in rows], [r.lang for r in rows])
 
 
 def language(text: Column, model: LangModel, spark) -> Column:
