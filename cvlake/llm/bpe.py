@@ -43,7 +43,7 @@ def byte_letters() -> dict[str, int]:
 class BpeVocabulary:
     """Merge tables of one tokenizer file. Tokens are numbered inside by age: bytes first, then merges in order."""
 
-    def __init__(self, spec: str, cache_words: int = 150_000):
+    def __init__(self, spec: str, cache_words: int = 150_000, cache_letters: int = 1_500_000):
         config = json.loads(spec)
         model, letters = config["model"], byte_letters()
         if model["type"] != "BPE" or (config["pre_tokenizer"] or {}).get("type") != "ByteLevel" or config["normalizer"]:
@@ -78,7 +78,7 @@ class BpeVocabulary:
         self.pair_keys, self.pair_token = keys[order], np.fromiter(self.merged.values(), np.int64)[order]
         self.sound = np.zeros(len(self.content), np.int8)  # 1: the BPE result of its own bytes; -1: not; 0: not known yet
         self.split, self.fast_split = regex.compile(SPLIT), re.compile(FAST_SPLIT)
-        self.cache, self.older, self.cache_words = {}, {}, cache_words
+        self.cache, self.older, self.cache_words, self.cache_letters, self.letters = {}, {}, cache_words, cache_letters, 0
         self.stats = {"words": 0, "failed": 0}
 
     def propose(self, word: bytes) -> list[int]:
@@ -181,8 +181,8 @@ class BpeVocabulary:
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         """Words of each text; afterwards the cache holds (ids as text, bytes decoded from them) of every word."""
-        if len(self.cache) > self.cache_words:
-            self.older, self.cache = self.cache, {}
+        if len(self.cache) > self.cache_words or self.letters > self.cache_letters:
+            self.older, self.cache, self.letters = self.cache, {}, 0
         cache, all_words = self.cache, []
         for text in texts:
             words, split = [], self.fast_split if ODD.isdisjoint(text) else self.split
@@ -190,6 +190,7 @@ class BpeVocabulary:
                 words.extend(["\0" + part] if special else split.findall(part))
             all_words.append(words)
         new = set().union(*all_words).difference(cache)
+        self.letters += sum(map(len, new))
         for w in new.intersection(self.older):
             cache[w] = self.older[w]
             new.discard(w)
