@@ -4,7 +4,8 @@ A text is put in canonical form - lower case, copyright and title lines dropped,
 spellings made one - and its SHA-256 is looked up among the digests of known licences. The same is done for each line,
 as a licence notice is a line that is wholly the notice. Only column functions are used, row by row, with no shuffle.
 
-Null and empty texts have no licence and no notices. The known texts are a fixed list, so their table is broadcast.
+Null and empty texts have no licence and no notices; repeated rows and paths give repeated results. Of several names for
+one text the first in the list is given. The known texts are a fixed list, so their table is broadcast.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,8 +67,8 @@ def _texts(known: dict) -> list[tuple[str, str]]:
 
 #: A line that only says whose the copyright is, or is a title. Matched on lower-cased text.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*((\(c\)|©|copyright[ \t]*(\(c\)|©|:|[0-9]|<|\[|by )|all rights reserved)[^\n]*$" + f"|{license_table.name_line([t for _, t in _texts(EDITIONS)])}|{license_table.title_line()})"
-#: What separates words: anything but ASCII letters, digits, and letters beyond ASCII.
-NOT_WORD = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+#: What separates words: anything but letters, marks that go with them, and digits, of any script.
+NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def canonical_words(text: Column) -> Column:
@@ -84,7 +86,7 @@ def _spell(words: Column) -> Column:
 def canonical_text(text: str) -> str:
     """The canonical form of one known text (the list of known texts is small and fixed)."""
     low = re.sub(COPYRIGHT_LINE, " ", text.lower())
-    return " ".join(SPELLINGS.get(w, w) for w in re.split(NOT_WORD, low) if w)
+    return " ".join(SPELLINGS.get(w, w) for w in regex.split(NOT_WORD, low) if w)
 
 
 def known_digests(known: dict[str, str | tuple[str, ...]] = EDITIONS) -> dict[str, str]:
