@@ -134,36 +134,67 @@ def _fold(i):
     return zlib.crc32(str(i).encode()) % 5
 
 
+def _toxic_figures(spark, sf):
+    """(scores of toxic held-out rows, scores of clean ones, length of each text) of op2 over a table."""
+    rows = queries.op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.length("text").alias("n")), "doc_id").collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL").collect()}
+    assert all(r.held_out == (_fold(r.doc_id) == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    held = [(r.score, labels[r.doc_id], r.n) for r in rows if r.held_out and r.doc_id in labels]
+    return tuple(np.array([(s, n) for s, t, n in held if t == want]) for want in (1, 0))
+
+
 def test_toxicity_on_held_out_labels(spark, sf_dir):
-    """At sf0.1, the smallest table with enough toxic labels (318) to learn from; at sf0.01 there are 39."""
-    sf = sf_dir.replace("sf0.001", "sf0.1")
-    scores = {r.doc_id: r for r in queries.op2_toxicity(spark, sf).collect()}
-    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL").collect() if _fold(r.doc_id) == 0]
-    assert all(r.held_out == (_fold(i) == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for i, r in scores.items())
-    toxic, clean = (np.array([scores[i].score for i, t in labels if i in scores and t == want]) for want in (1, 0))
-    assert (toxic[:, None] > clean[None]).mean() >= 0.9 and (clean >= 0.5).mean() <= 0.03
+    """At sf0.1, with some 350 toxic rows to learn from; long texts are found no worse than short ones."""
+    toxic, clean = _toxic_figures(spark, sf_dir.replace("sf0.001", "sf0.1"))
+    auc = lambda a, b: (a[:, None, 0] > b[None, :, 0]).mean()
+    assert auc(toxic, clean) >= 0.93 and (clean[:, 0] >= 0.5).mean() <= 0.03
+    assert (toxic[:, 0] >= 0.5).mean() >= 0.72 and (toxic[toxic[:, 1] > 6_000][:, 0] >= 0.5).mean() >= 0.72
+
+
+def test_toxicity_with_few_labels(spark, sf_dir):
+    """At sf0.01, with some 39 toxic rows to learn from: far better than chance."""
+    toxic, clean = _toxic_figures(spark, sf_dir.replace("sf0.001", "sf0.01"))
+    assert (toxic[:, None, 0] > clean[None, :, 0]).mean() >= 0.75
 
 
 def test_toxicity_hard_cases(spark):
     model = toxicity.fit(["you vile idiot", "a calm day"] * 8, [1, 0] * 8)
-    rows = docs_of(spark, [(1, None), (2, ""), (3, "... !!!"), (4, LONG), (5, "vile idiots"), (None, "a calm day")])
-    got = {r[0]: r[1] for r in rows.select("doc_id", toxicity.toxic_score(F.col("text"), model, spark)).collect()}
-    assert got[1] == got[2] == got[3] == model.prior and 0 <= got[4] <= 1
+    rows = docs_of(spark, [(1, None), (2, ""), (3, "... !!!"), (4, LONG), (5, "vile idiots"), (None, "a calm day"), (6, "x" * 100_000), (5, "vile idiots")]).withColumns({c: F.lit("clash") for c in ("score", "toxic", "windows", "spot")})
+    found = rows.select("doc_id", toxicity.toxic_score(F.col("text"), model, spark)).collect()
+    got = {r[0]: r[1] for r in found}
+    assert len(found) == 8 and got[1] == got[2] == got[3] == model.prior and 0 <= got[4] <= 1 and 0 <= got[6] <= 1
     assert got[5] > got[None]
     assert toxicity.fit([], []).prior > 0 and 0 < toxicity.fit(["x"], [1]).prior < 1
+    none, labels = rows.limit(0), spark.createDataFrame([(1, 1), (5, 0), (5, 1), (None, 1), (2, None), (3, 7)], "doc_id bigint, toxic int")
+    assert 0 < toxicity.fit_on(none, labels).prior < 1 and 0 < toxicity.fit_on(rows, labels.limit(0)).prior < 1
+    assert 0 < toxicity.fit_on(rows, labels).prior < 1 and none.select(toxicity.toxic_score(F.col("text"), model, spark)).count() == 0
+
+
+def test_toxicity_is_the_plain_average():
+    """A text's score from its windows' subwords one by one."""
+    model = toxicity.fit(["you vile idiot there", "a calm day here"] * 8, [1, 0] * 8)
+    text = LONG[:3_000] + " vile vile idiot ... " + LONG[:900]
+    words = text.lower().split()
+    edges, z = toxicity.window_edges(len(words)), []
+    assert all(len(words[a:b]) <= toxicity.WINDOW for a, b in itertools.pairwise(edges)) and len(edges) > 5
+    for a, b in itertools.pairwise(edges):
+        buckets = [x for w in words[a:b] for x in toxicity.subwords([w])[1].tolist()]
+        z.append(np.mean(model.weight[buckets], dtype=np.float64))
+    best = sorted(z)[-math.ceil(math.sqrt(len(z))) :]
+    assert toxicity.Scorer(model).scores([text]) == pytest.approx([1 / (1 + math.exp(-(model.scale * np.mean(best) + model.bias)))], rel=1e-4)
 
 
 def test_toxicity_learns_from_long_texts(spark):
-    """All labelled texts are long, and most words of a text are drawn from all of it."""
+    """All labelled texts are long, and most windows of a text are drawn from all of it."""
     plain = [f"plain{i % 9} account{i % 7}" for i in range(400)]
     texts = {i: " ".join([*plain, *(["vile idiot"] if i % 2 else ["calm day"]) * 60, *plain]) for i in range(40)}
     labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id bigint, toxic int")
     assert min(map(len, texts.values())) > 6_000
     scorer = toxicity.Scorer(toxicity.fit_on(docs_of(spark, texts.items()), labels))
     assert [s >= 0.5 for s in scorer.scores(list(texts.values()))] == [i % 2 == 1 for i in texts]
-    words, weights = toxicity.drawn_words(" ".join(f"w{i:05d} w{i:05d}" for i in range(20_000)), 1_000)
-    tenths = np.bincount([int(w[1:]) // 2_000 for w in words], minlength=10)
-    assert len(words) == len(weights) == 1_000 and tenths.min() > 50 and set(weights) == {1 + np.log(2)}
+    drawn = toxicity.drawn_windows(" ".join(f"w{i:05d}" for i in range(20_000)), 40)
+    tenths = np.bincount([int(w.split()[0][1:]) // 2_000 for w in drawn], minlength=10)
+    assert len(drawn) == 40 and (tenths > 0).sum() >= 8
 
 
 # 3: BPE
@@ -202,6 +233,19 @@ def test_bpe_speculation_and_round_trip(spark):
     assert all(r.text == r.back for r in rows.select("text", bpe.decoded_text(spec, F.col("ids")).alias("back")).collect())
 
 
+def test_bpe_of_any_table(spark, library):
+    """An empty table, repeated rows, clashing columns, and a cache that is renewed by letters."""
+    spec = bpe.read_spec(spark, BPE_FILE)
+    rows = docs_of(spark, [(1, "a b"), (1, "a b"), (None, None)]).withColumns({c: F.lit("clash") for c in ("d", "n_tokens", "ids_sha256")})
+    got = rows.select("doc_id", bpe.digests(spec, F.col("text")).alias("x")).select("doc_id", "x.n_tokens").collect()
+    assert sorted(map(str, map(tuple, got))) == ["(1, 2)", "(1, 2)", "(None, 0)"]
+    assert rows.limit(0).select(bpe.digests(spec, F.col("text"))).count() == 0
+    small = bpe.BpeVocabulary(open(BPE_FILE, encoding="utf-8").read(), cache_letters=50)
+    for text in (LONG[:500], "Zm9vYmFy" * 200, "a b c", LONG[:500]):
+        assert small.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert sum(map(len, small.cache)) < 2_000
+
+
 # 4: token counts
 
 
@@ -581,6 +625,20 @@ def test_language_hard_cases(spark):
     assert langid.Scorer(langid.fit([], [])).predict(["abc"]) == (["und"], [0.0])
 
 
+def test_language_of_any_table(spark):
+    """Repeated rows and ids, an empty table, columns with clashing names, ties, and a language with long texts only."""
+    mixed = [(i % 7, text * n, lang) for i, (text, n, lang) in enumerate([("the cat and the dog ", 30, "en"), ("der Hund und die Katze ", 2_000, "de")] * 12)]
+    rows = spark.createDataFrame(mixed, "doc_id bigint, text string, lang string").withColumns({c: F.lit("clash") for c in ("w", "l", "score", "lang_pred", "held_out")})
+    model = langid.fit_on(rows)
+    assert model.languages == ["de", "en"]
+    found = rows.select("lang", langid.language(F.col("text"), model, spark).alias("l")).collect()
+    assert len(found) == 24 and all(r.lang == r.l.lang_pred for r in found)
+    none = rows.limit(0)
+    assert none.select(langid.language(F.col("text"), model, spark)).count() == 0 and langid.fit_on(none).languages == []
+    same = langid.LangModel(["a", "b"], *model[1:4], np.zeros_like(model.out), np.zeros_like(model.bias))
+    assert langid.Scorer(same).predict(["tie"]) == (["a"], [0.5])
+
+
 def test_tables_give_what_the_network_gives():
     model = langid.fit(["the cat and the dog " * 20, "der Hund und die Katze " * 20] * 4, ["en", "de"] * 4)
     x = langid.windows(LONG[:5000].encode())
@@ -639,6 +697,21 @@ def test_license_text_in_one_line(spark):
     assert got == {n: (None, n) for n in names}
 
 
+def test_license_of_any_table(spark):
+    """An empty table, repeated rows, null paths, columns with clashing names."""
+    rows = spark.createDataFrame([("a", license_scan.KNOWN["MIT"]), ("a", license_scan.KNOWN["MIT"]), (None, "x")], "path string, text string").withColumns({c: F.lit("clash") for c in ("license", "digest", "notices")})
+    got = license_scan.scan_licenses(rows)
+    assert sorted(map(str, map(tuple, got.collect()))) == ["('a', 'MIT', '')", "('a', 'MIT', '')", "(None, None, '')"]
+    assert license_scan.scan_licenses(rows.limit(0)).count() == 0
+
+
+def test_license_punctuation(spark):
+    """Curly quotes, long dashes and other marks beyond ASCII are levelled."""
+    mit = license_scan.KNOWN["MIT"]
+    marks = mit.replace('"', "\u201c").replace("-", "\u2014").replace(",", "\uff0c").replace(" the ", "\u00a0the\u2003")
+    assert license_rows(spark, [("a", marks), ("b", "\ufeff" + mit), ("c", mit + " é")]) == {"a": ("MIT", ""), "b": ("MIT", ""), "c": (None, "")}
+
+
 # Pipeline
 
 
