@@ -1,16 +1,19 @@
 """Toxicity by averaged subword embeddings and a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (with marks at both ends) and itself; each is hashed to a row of an
-embedding table. A window of up to WINDOW words is the average over all its words' subwords, and a linear softmax scores
-the average. A misspelling the training never saw still shares most n-grams with the word meant. A text of n windows has
-the mean of its sqrt(n) highest scores, so a few toxic stretches are not lost in a long text; scale and bias of that mean
-are fitted to labels the training did not see. As the model is linear behind the average, a word's part of the score is
-two numbers, which workers keep for words they have met.
-
-Only fitting is bounded: by rows_per_class labels, chosen whatever the length of their texts, by most_windows windows of
-a text, drawn from all of it, and to words of at most FIT_LETTERS letters. Every text is scored whole. Null and empty
-texts, and texts without a letter or digit, score the model's prior. Rows are scored one by one with no shuffle of texts;
-repeated rows have the same score.
+embedding table. A text is the average over all its words' subwords, and a linear softmax scores the average. A
+misspelling the training never saw still shares most n-grams with the word meant. As the model is linear behind the
+average, a word's part of the score is two numbers, which workers keep for words they have met.
+
+The softmax is trained on the average of whole texts, where a word counts 1 + ln of its number, so that one word said a
+thousand times is no text. For the score, that average is joined by one over windows of up to WINDOW words: a text of n
+windows has the mean of its sqrt(n) highest, so a few toxic stretches are not lost in a long text. The weights of the two
+are fitted to labels that the training did not see.
+
+Only fitting is bounded: by rows_per_class labels, chosen whatever the length of their texts; to most_words different
+words and most_windows windows of a text, drawn from all of it; and to words of at least LEAST_TEXTS of these texts and
+at most FIT_LETTERS letters. Every text is scored whole. Null and empty texts, and texts without a letter or digit, score
+the model's prior. Rows are scored one by one with no shuffle of texts; repeated rows have the same score.
 """
 
 from __future__ import annotations
@@ -28,14 +31,14 @@ from pyspark.sql import functions as F
 
 from cvlake.llm.common import bounded_sample
 
-ROWS_PER_CLASS, MOST_WINDOWS, WINDOW, FIT_LETTERS, BUCKETS, DIM = 1200, 8, 96, 256, 1 << 17, 8
-ALPHA = 0.5
+ROWS_PER_CLASS, MOST_WORDS, MOST_WINDOWS, WINDOW = 1200, 2_500, 8, 96
+LEAST_TEXTS, FIT_LETTERS, BUCKETS, DIM, ALPHA = 2, 256, 1 << 17, 8, 0.5
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 class ToxicityModel(NamedTuple):
     weight: np.ndarray  # of each bucket: its embedding times the difference of the softmax's two rows
-    scale: float
+    scale: np.ndarray  # of the average of the text, and of that of its windows
     bias: float
     prior: float  # score of a text without words
 
@@ -60,7 +63,7 @@ def subwords(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
             h ^= h >> np.uint64(29)
         owners.append(owner[at])
         hashes.append(h)
-    return np.concatenate(owners), (np.concatenate(hashes) % np.uint64(buckets)).astype(np.int64)
+    return np.concatenate(owners).astype(np.int32), (np.concatenate(hashes) % np.uint64(buckets)).astype(np.int32)
 
 
 def window_edges(n: int) -> np.ndarray:
@@ -69,6 +72,26 @@ def window_edges(n: int) -> np.ndarray:
     return np.arange(parts + 1) * n // parts
 
 
+class Sample(NamedTuple):
+    """What the fit takes from a text."""
+
+    words: list[str]
+    weights: np.ndarray
+    windows: list[str]
+
+
+def drawn(text: str, most_words: int = MOST_WORDS, most_windows: int = MOST_WINDOWS) -> Sample:
+    """Words and windows of a text, or most of them drawn by hash from all of it; words of over FIT_LETTERS letters are left out."""
+    counts = Counter(w for w in text.lower().split() if len(w) <= FIT_LETTERS)
+    words, weights = list(counts), 1.0 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+    if len(words) > most_words:
+        salt = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+        spot = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass"), salt) for w in words), np.uint64, len(words))
+        at = np.sort(np.argsort(spot, kind="stable")[:most_words])
+        words, weights = [words[i] for i in at], weights[at]
+    return Sample(words, weights, drawn_windows(text, most_windows))
+
+
 def drawn_windows(text: str, most: int) -> list[str]:
     """The windows of a text, or most of them drawn from all of it; words of over FIT_LETTERS letters are left out."""
     words = text.lower().split()
@@ -86,9 +109,9 @@ def pooled(z: np.ndarray) -> float:
 
 
 class _Sparse:
-    """A sparse matrix in rows, with what its transposed product needs; numpy only."""
+    """A sparse matrix in rows, with what its transposed product needs; numpy only. Without values all are 1."""
 
-    def __init__(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, shape: tuple[int, int]):
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray | None, shape: tuple[int, int]):
         self.shape = shape
         self.by_row = self._order(rows, cols, values)
         self.by_col = self._order(cols, rows, values)
@@ -98,13 +121,20 @@ class _Sparse:
         at = np.argsort(key, kind="stable")
         key = key[at]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-        return key[starts] if len(key) else key, starts, other[at], values[at].astype(np.float32)[:, None]
+        return key[starts] if len(key) else key, np.r_[starts, len(key)], other[at], None if values is None else values[at].astype(np.float32)[:, None]
 
-    def _times(self, part, n: int, x: np.ndarray) -> np.ndarray:
+    def _times(self, part, n: int, x: np.ndarray, most: int = 500_000) -> np.ndarray:
         out = np.zeros((n, x.shape[1]), np.float32)
-        key, starts, other, values = part
-        if len(starts):
-            out[key] = np.add.reduceat(x[other] * values, starts, axis=0)
+        key, edges, other, values = part
+        first = 0
+        while first < len(key):  # in stretches of about most entries
+            last = max(first + 1, int(np.searchsorted(edges, edges[first] + most, "right")) - 1)
+            a, b = edges[first], edges[last]
+            rows = x[other[a:b]]
+            if values is not None:
+                rows *= values[a:b]
+            out[key[first:last]] = np.add.reduceat(rows, edges[first:last] - a, axis=0)
+            first = last
         return out
 
     def dot(self, x: np.ndarray) -> np.ndarray:
@@ -116,43 +146,42 @@ class _Sparse:
 
 def fit(texts: list[str], labels: list[int], base_rate: float | None = None, **how) -> ToxicityModel:
     """Train on whole labelled texts."""
-    return fit_windows([drawn_windows(t, len(t) + 1) for t in texts], labels, base_rate, **how)
+    return fit_samples([drawn(t, len(t) + 1, len(t) + 1) for t in texts], labels, base_rate, **how)
 
 
-def fit_windows(texts: list[list[str]], labels: list[int], base_rate: float | None = None, rounds: int = 40, rate: float = 0.1, seed: int = 7) -> ToxicityModel:
-    """Train on windows of labelled texts (a bounded sample). base_rate: share of label 1 among all labelled rows."""
-    of_text = np.array(labels, np.float32)
+def fit_samples(texts: list[Sample], labels: list[int], base_rate: float | None = None, rounds: int = 50, rate: float = 0.1, seed: int = 7) -> ToxicityModel:
+    """Train on labelled texts (a bounded sample). base_rate: share of label 1 among all labelled rows."""
+    y = np.array(labels, np.float32)
     if base_rate is None:
-        base_rate = float(of_text.mean()) if len(of_text) else 0.5
+        base_rate = float(y.mean()) if len(y) else 0.5
     base_rate = min(max(base_rate, 1e-3), 1 - 1e-3)
     if len(set(labels)) < 2:
         prior = (1.0 if labels[0] else 0.0) if labels else base_rate
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), 1.0, float(np.log(base_rate / (1 - base_rate))), min(max(prior, 1e-3), 1 - 1e-3))
-    text_of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    bags = [Counter(w.split()) for t in texts for w in t]
-    y = of_text[text_of]
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), np.zeros(2), float(np.log(base_rate / (1 - base_rate))), min(max(prior, 1e-3), 1 - 1e-3))
     vocabulary: dict[str, int] = {}
-    word = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in b), np.int32, len(b)) for b in bags]
-    count = np.concatenate([np.fromiter(b.values(), np.float32, len(b)) for b in bags])
-    doc = np.repeat(np.arange(len(bags), dtype=np.int32), [len(x) for x in word])
+    word = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in t.words), np.int32, len(t.words)) for t in texts]
+    count = np.concatenate([np.asarray(t.weights, np.float32) for t in texts])
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in word])
     word = np.concatenate(word)
-    owner, bucket = subwords(list(vocabulary))
+    # a word of one text teaches nothing that carries over but by its n-grams, which other words have, too
+    often = np.bincount(word, minlength=len(vocabulary)) >= min(LEAST_TEXTS, len(texts))
+    owner, bucket = subwords([w if o else "" for w, o in zip(vocabulary, often)])
     lengths = np.bincount(owner, minlength=len(vocabulary)).astype(np.float32)
-    total = np.maximum(np.bincount(doc, count * lengths[word], len(bags)), 1)
+    total = np.maximum(np.bincount(doc, count * lengths[word], len(texts)), 1)
     used, flat = np.unique(bucket, return_inverse=True)
-    of_docs = _Sparse(doc, word, count / total[doc], (len(bags), len(vocabulary)))
-    of_words = _Sparse(owner, flat, np.ones(len(flat)), (len(vocabulary), len(used)))
+    of_docs = _Sparse(doc, word, count / total[doc], (len(texts), len(vocabulary)))
+    of_words = _Sparse(owner, flat.astype(np.int32), None, (len(vocabulary), len(used)))
+    del owner, bucket, flat
     rng = np.random.default_rng(seed)
-    held = rng.random(len(texts)) < 0.25  # not trained on: gives the scale of the scores
-    if len(set(of_text[held])) < 2 or len(set(of_text[~held])) < 2:
-        held = np.zeros(len(texts), bool)
-    check = held[text_of]
+    check = rng.random(len(texts)) < 0.25  # not trained on: gives the weights of the averages
+    if len(set(y[check])) < 2 or len(set(y[~check])) < 2:
+        check = np.zeros(len(texts), bool)
     weight = np.where(y == 1, 0.5 / max(1, (y[~check] == 1).sum()), 0.5 / max(1, (y[~check] == 0).sum())) * ~check
     table = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
     out = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros((1, 2), np.float32)
     # a subword's step is the larger the less of the average it makes up, else "the" would outweigh all rare words
-    usage = of_words.t_dot(of_docs.t_dot(np.full((len(bags), 1), 1 / len(bags), np.float32)))
+    usage = of_words.t_dot(of_docs.t_dot(np.full((len(texts), 1), 1 / len(texts), np.float32)))
     pace = ((usage + usage.mean()) / usage.mean()) ** -ALPHA
     moments = [np.zeros_like(p) for p in (table, out, bias)]
     target = np.stack([1 - y, y], 1)
@@ -168,75 +197,101 @@ def fit_windows(texts: list[list[str]], labels: list[int], base_rate: float | No
             param -= r * m / (float(np.sqrt(np.square(m).mean())) + 1e-12) * (1 - step / (rounds + 1))
     line = np.zeros(BUCKETS, np.float32)
     line[used] = table @ (out[:, 1] - out[:, 0])
-    z = (of_docs.dot(of_words.dot(line[used][:, None]))[:, 0]).astype(np.float64)
-    starts = np.searchsorted(text_of, np.arange(len(texts) + 1))
-    own = np.flatnonzero((held if held.any() else ~held) & (np.diff(starts) > 0))
-    scale, shift = _calibrate(np.array([pooled(z[starts[i] : starts[i + 1]]) for i in own]), of_text[own], base_rate)
+    scorer = Scorer(ToxicityModel(line, np.zeros(2), 0.0, base_rate))
+    on = [i for i in np.flatnonzero(check if check.any() else ~check) if texts[i].words]
+    z = []
+    for i in on:
+        windows = [w.split() for w in texts[i].windows]
+        scorer.learn(list(set(texts[i].words).union(*windows).difference(scorer.spot)))
+        whole, size = scorer.sums(texts[i].words, texts[i].weights)
+        means = [a / n for a, n in (scorer.sums(w, np.ones(len(w))) for w in windows) if n]
+        z.append((whole / max(size, 1), pooled(np.array(means)) if means else 0.0))
+    scale, shift = _calibrate(np.array(z).reshape(-1, 2), y[on], base_rate)
     return ToxicityModel(line, scale, shift, base_rate)
 
 
-def _calibrate(z: np.ndarray, y: np.ndarray, base_rate: float) -> tuple[float, float]:
-    """Scale and bias of a logistic of z, with classes weighted as among all labelled rows."""
+def _calibrate(z: np.ndarray, y: np.ndarray, base_rate: float) -> tuple[np.ndarray, float]:
+    """Scales and bias of a logistic of the columns of z, with classes weighted as among all labelled rows."""
     w = np.where(y == 1, base_rate / max(1, (y == 1).sum()), (1 - base_rate) / max(1, (y == 0).sum()))
-    spread = max(float(z.std()), 1e-6)
-    x = np.stack([(z - z.mean()) / spread, np.ones_like(z)], 1)
-    beta = np.zeros(2)
+    spread = np.maximum(z.std(0), 1e-6)
+    x = np.column_stack([(z - z.mean(0)) / spread, np.ones(len(z))])
+    beta, ridge = np.zeros(x.shape[1]), 1e-3 * np.eye(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hess = (x * (w * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        beta += np.linalg.solve(hess, x.T @ (w * (y - p)) - 1e-3 * beta * np.array([1, 0]))
-    return float(beta[0] / spread), float(beta[1] - beta[0] * z.mean() / spread)
+        hess = (x * (w * p * (1 - p))[:, None]).T @ x + ridge
+        beta += np.linalg.solve(hess, x.T @ (w * (y - p)) - 1e-3 * np.r_[beta[:-1], 0])
+    scale = beta[:-1] / spread
+    return scale, float(beta[-1] - scale @ z.mean(0))
 
 
 class Scorer:
     """Scores texts by a model, with the parts of words met so far, of about most_letters letters."""
 
     def __init__(self, model: ToxicityModel, most_letters: int = 2_000_000):
-        self.model, self.most_letters, self.letters = model, most_letters, 0
-        self.known: dict[str, tuple[float, int]] = {}  # a word's part of the sum, and its number of subwords
+        self.model, self.most_letters = model, most_letters
+        self.clear()
+
+    def clear(self) -> None:
+        self.spot: dict[str, int] = {}
+        self.part, self.size, self.letters = np.zeros(1024), np.zeros(1024), 0
 
     def learn(self, words: list[str]) -> None:
+        """Of each new word its part of the sum and its number of subwords."""
         owner, bucket = subwords(words, len(self.model.weight))
-        parts, sizes = np.bincount(owner, self.model.weight[bucket], len(words)), np.bincount(owner, minlength=len(words))
-        self.known.update(zip(words, zip(parts.tolist(), sizes.tolist())))
+        at = len(self.spot)
+        while at + len(words) > len(self.part):
+            self.part, self.size = np.resize(self.part, 2 * len(self.part)), np.resize(self.size, 2 * len(self.size))
+        self.part[at : at + len(words)] = np.bincount(owner, self.model.weight[bucket], len(words))
+        self.size[at : at + len(words)] = np.bincount(owner, minlength=len(words))
+        self.spot.update(zip(words, range(at, at + len(words))))
         self.letters += sum(map(len, words))
 
+    def sums(self, words: list[str], weights: np.ndarray) -> tuple[float, float]:
+        at = np.fromiter(map(self.spot.__getitem__, words), np.int64, len(words))
+        return float(weights @ self.part[at]), float(weights @ self.size[at])
+
     def scores(self, texts: list[str]) -> list[float]:
         if self.letters > self.most_letters:
-            self.known.clear()
-            self.letters = 0
+            self.clear()
         lists = [t.lower().split() for t in texts]
-        self.learn(list(set().union(*lists).difference(self.known)))
+        self.learn(list(set().union(*lists).difference(self.spot)))
         out, m = [], self.model
         for words in lists:
-            z = np.zeros(0)
-            if words:
-                both = np.array(list(map(self.known.__getitem__, words)))
-                both = np.add.reduceat(both, window_edges(len(words))[:-1], axis=0)
-                both = both[both[:, 1] > 0]
-                z = both[:, 0] / both[:, 1]
-            out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, m.scale * pooled(z) + m.bias)))) if len(z) else m.prior)
+            at = np.fromiter(map(self.spot.__getitem__, words), np.int64, len(words))
+            part, size = self.part[at], self.size[at]
+            if not size.any():
+                out.append(m.prior)
+                continue
+            starts = window_edges(len(words))[:-1]
+            sums, sizes = np.add.reduceat(part, starts), np.add.reduceat(size, starts)
+            once, count = np.unique(at, return_counts=True)
+            weight = 1.0 + np.log(count)
+            whole = weight @ self.part[once] / (weight @ self.size[once])
+            z = m.bias + m.scale[0] * whole + m.scale[1] * pooled(sums[sizes > 0] / sizes[sizes > 0])
+            out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, z)))))
         return out
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, most_windows: int = MOST_WINDOWS) -> ToxicityModel:
+def fit_on(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> ToxicityModel:
     """Fit on documents (doc_id, text) of a bounded sample of labels (doc_id, toxic); other labels than 0 and 1 are left out.
 
     The sample is taken from the labels alone; at most 4 * rows_per_class ids are then broadcast to find their texts, and
-    of each text its windows come back. Of an id with many texts, those that come first by hash are used.
+    of each text its sample of words comes back. Of an id with many texts, those that come first by hash are used.
     """
 
-    @F.arrow_udf("array<string>")
-    def windows(texts: pa.Array) -> pa.Array:
-        return pa.array([drawn_windows(t, most_windows) for t in texts.to_pylist()], pa.list_(pa.string()))
+    @F.arrow_udf("struct<words:string,weights:array<float>,windows:array<string>>")
+    def sample(texts: pa.Array) -> pa.Array:
+        rows = [drawn(t) for t in texts.to_pylist()]
+        parts = [pa.array([" ".join(r.words) for r in rows], pa.string()), pa.array([r.weights for r in rows], pa.list_(pa.float32())), pa.array([r.windows for r in rows], pa.list_(pa.string()))]
+        return pa.StructArray.from_arrays(parts, ["words", "weights", "windows"])
 
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     chosen = bounded_sample(usable, "doc_id", "toxic", rows_per_class)
     texts = docs.where(F.length("text") >= 1).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    texts = texts.select("doc_id", "toxic", F.xxhash64("text").alias("spot"), windows(F.col("text")).alias("windows"))
+    texts = texts.select("doc_id", "toxic", F.xxhash64("text").alias("spot"), sample(F.col("text")).alias("s"))
     rows = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "spot", "toxic").limit(8 * rows_per_class).collect()
     share = usable.agg(F.avg("toxic")).first()[0]
-    return fit_windows([r.windows for r in rows], [r.toxic for r in rows], share)
+    return fit_samples([Sample(r.s.words.split(), np.array(r.s.weights), r.s.windows) for r in rows], [r.toxic for r in rows], share)
 
 
 def toxic_score(text: Column, model: ToxicityModel, spark, batch: int = 64) -> Column:
