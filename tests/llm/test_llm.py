@@ -148,7 +148,7 @@ def test_toxicity_on_held_out_labels(spark, sf_dir):
     toxic, clean = _toxic_figures(spark, sf_dir.replace("sf0.001", "sf0.1"))
     auc = lambda a, b: (a[:, None, 0] > b[None, :, 0]).mean()
     assert auc(toxic, clean) >= 0.93 and (clean[:, 0] >= 0.5).mean() <= 0.03
-    assert (toxic[:, 0] >= 0.5).mean() >= 0.72 and (toxic[toxic[:, 1] > 6_000][:, 0] >= 0.5).mean() >= 0.72
+    assert (toxic[:, 0] >= 0.5).mean() >= 0.8 and (toxic[toxic[:, 1] > 6_000][:, 0] >= 0.5).mean() >= 0.72
 
 
 def test_toxicity_with_few_labels(spark, sf_dir):
@@ -175,13 +175,15 @@ def test_toxicity_is_the_plain_average():
     model = toxicity.fit(["you vile idiot there", "a calm day here"] * 8, [1, 0] * 8)
     text = LONG[:3_000] + " vile vile idiot ... " + LONG[:900]
     words = text.lower().split()
+    buckets = lambda w: toxicity.subwords([w])[1].tolist()
     edges, z = toxicity.window_edges(len(words)), []
-    assert all(len(words[a:b]) <= toxicity.WINDOW for a, b in itertools.pairwise(edges)) and len(edges) > 5
+    assert all(b - a <= toxicity.WINDOW for a, b in itertools.pairwise(edges)) and len(edges) > 5
     for a, b in itertools.pairwise(edges):
-        buckets = [x for w in words[a:b] for x in toxicity.subwords([w])[1].tolist()]
-        z.append(np.mean(model.weight[buckets], dtype=np.float64))
-    best = sorted(z)[-math.ceil(math.sqrt(len(z))) :]
-    assert toxicity.Scorer(model).scores([text]) == pytest.approx([1 / (1 + math.exp(-(model.scale * np.mean(best) + model.bias)))], rel=1e-4)
+        z.append(np.mean(model.weight[[x for w in words[a:b] for x in buckets(w)]], dtype=np.float64))
+    pooled = np.mean(sorted(z)[-math.ceil(math.sqrt(len(z))) :])
+    weight = {w: 1 + math.log(words.count(w)) for w in set(words)}
+    whole = sum(v * model.weight[buckets(w)].sum() for w, v in weight.items()) / sum(v * len(buckets(w)) for w, v in weight.items())
+    assert toxicity.Scorer(model).scores([text]) == pytest.approx([1 / (1 + math.exp(-(model.scale[0] * whole + model.scale[1] * pooled + model.bias)))], rel=1e-4)
 
 
 def test_toxicity_learns_from_long_texts(spark):
@@ -192,9 +194,11 @@ def test_toxicity_learns_from_long_texts(spark):
     assert min(map(len, texts.values())) > 6_000
     scorer = toxicity.Scorer(toxicity.fit_on(docs_of(spark, texts.items()), labels))
     assert [s >= 0.5 for s in scorer.scores(list(texts.values()))] == [i % 2 == 1 for i in texts]
-    drawn = toxicity.drawn_windows(" ".join(f"w{i:05d}" for i in range(20_000)), 40)
-    tenths = np.bincount([int(w.split()[0][1:]) // 2_000 for w in drawn], minlength=10)
-    assert len(drawn) == 40 and (tenths > 0).sum() >= 8
+    part = toxicity.drawn(" ".join(f"w{i:05d} w{i:05d}" for i in range(20_000)), 1_000, 40)
+    for places, n in ((part.words, 1_000), ([w.split()[0] for w in part.windows], 40)):
+        tenths = np.bincount([int(w[1:]) // 2_000 for w in places], minlength=10)
+        assert len(places) == n and (tenths > 0).sum() >= 8
+    assert set(part.weights) == {1 + np.log(2)}
 
 
 # 3: BPE
