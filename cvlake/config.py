@@ -56,10 +56,18 @@ KEYWORD_STOP = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "f
 STREET_WORDS = ("road", "rd", "street", "st", "lane", "ln", "avenue", "ave", "drive", "dr", "close", "cl", "way", "court", "ct", "flat", "house")
 QUERY_STOP = ("years", "yrs", "year", "experience", "exp")
 
-#: Stop words of the TF-IDF score. A parameter: any list can be given instead.
-SEARCH_STOP = (
-    "a about above after again all also am an and any are as at be because been before being below between both but by can cannot could did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our ours out over own same she should so some such than that the their theirs them then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your yours"
-).split()
+# The English stop words of Spark's own StopWordsRemover, for the TF-IDF score. A parameter: any list can be given.
+SEARCH_STOP = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
+itself they them their theirs themselves what which who whom this that these those am is are was were be been being
+have has had having do does did doing a an the and but if or because as until while of at by for with about against
+between into through during before after above below to from up down in out on off over under again further then once
+here there when where why how all any both each few more most other some such no nor not only own same so than too
+very s t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm
+you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't
+doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's
+there's what's when's where's who's why's would
+""".split()
 
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"(\+44[ \t\n\x0B\f\r]?[0-9][0-9 \t\n\x0B\f\r]{8,13}|\b0[0-9][0-9 \t\n\x0B\f\r]{8,13})"
@@ -89,6 +97,7 @@ class Config:
     sectors: tuple[str, ...] = ("security", "warehouse", "hospitality")
     search_stop: tuple[str, ...] = tuple(SEARCH_STOP)
     listing_items: int = 20_000
+    folder_types: tuple[str, ...] = ()  # MIME types that a store gives its folders, besides plain "folder"
 
 
 CONFIG = Config()

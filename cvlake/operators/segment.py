@@ -31,14 +31,15 @@ def section_lines(text: Column) -> Column:
     lines = F.transform(F.split(text, "\n"), lambda x, i: let(strip(x), lambda s: F.struct(i.alias("no"), s.alias("line"), heading_section(s).alias("opens"))))
 
     def carry(ls: Column) -> Column:
-        heads = F.filter(ls, lambda x: x["opens"].isNotNull())
-        plain = F.filter(ls, lambda x: x["opens"].isNull() & (x["line"] != ""))
+        opened = F.transform(F.filter(ls, lambda x: x["opens"].isNotNull()), lambda x: F.struct(x["no"].alias("no"), x["opens"].alias("section")))
+        heads = F.concat(F.array(F.struct(F.lit(-1).alias("no"), F.lit("header").alias("section"))), opened)
 
-        def place(hs: Column) -> Column:
-            above = lambda x: F.element_at(F.filter(hs, lambda h: h["no"] < x["no"]), -1)["opens"]
-            return F.transform(plain, lambda x: F.struct(F.when(F.exists(hs, lambda h: h["no"] < x["no"]), above(x)).otherwise(F.lit("header")).alias("section"), x["line"].alias("line")))
+        def below(hs: Column) -> Column:
+            after = lambda k: F.coalesce(F.get(hs, k + 1)["no"], F.size(ls))
+            own = lambda h, k: F.filter(F.slice(ls, h["no"] + 2, after(k) - h["no"] - 1), lambda x: x["line"] != "")
+            return F.flatten(F.transform(hs, lambda h, k: F.transform(own(h, k), lambda x: F.struct(h["section"].alias("section"), x["line"].alias("line")))))
 
-        return let(heads, place)
+        return let(heads, below)
 
     return let(lines, carry)
 
@@ -52,6 +53,11 @@ def text_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), strip), lambda s: s != "")
 
 
+def has_date_range(line: Column) -> Column:
+    """A line without four digits in a row has no year, which spares it the long pattern."""
+    return line.rlike("[0-9]{4}") & line.rlike(DATE_RANGE)
+
+
 def role_blocks(lines: Column) -> Column:
     """array<array<string>>.
 
@@ -59,7 +65,7 @@ def role_blocks(lines: Column) -> Column:
     joins the one before it.
     """
     n = F.size(lines)
-    dated = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(DATE_RANGE), i)), lambda i: i.isNotNull())
+    dated = F.filter(F.transform(lines, lambda x, i: F.when(has_date_range(x), i)), lambda i: i.isNotNull())
     starts = F.aggregate(dated, F.array(F.lit(0)), lambda acc, i: F.when(i - F.element_at(acc, -1) >= 2, F.concat(acc, F.array(i))).otherwise(acc))
 
     def cut(starts: Column) -> Column:

@@ -250,7 +250,7 @@ def oracle_sql() -> dict[str, str]:
         "s3": f"WITH {ITEM} SELECT o_orderkey, o_orderkey::VARCHAR AS id, CASE WHEN k = 3 THEN '' ELSE 'n' || ck END AS name FROM it",
         "s4": f"WITH {ITEM} SELECT o_orderkey, k IN (0, 1, 4, 5) AS is_folder FROM it",
         "s5": f"WITH {ITEM} SELECT o_orderkey, k IN (2, 6) AS is_file FROM it",
-        "s6": "SELECT o_orderkey % 300 AS page, CAST(count(*) AS INT) AS n_items, count(*) >= 50 AS has_more FROM orders GROUP BY ALL",
+        "s6": "SELECT CAST(o_orderkey // 50 AS BIGINT) AS page, CAST(count(*) AS INT) AS n_items, count(*) >= 50 AS has_more FROM orders GROUP BY ALL",
         "s7": f"""WITH RECURSIVE {EDGES}, walk AS (SELECT 'root' AS id, '' AS prefix, 0 AS depth, ['root'] AS seen UNION ALL
             SELECT e.id, w.prefix || e.name || '/', w.depth + 1, list_append(w.seen, e.id) FROM walk w JOIN edges e ON e.parent_id = w.id AND e.is_folder AND NOT list_contains(w.seen, e.id)),
           fol AS (SELECT id, arg_min(prefix, (depth, prefix)) AS prefix FROM walk GROUP BY id)
@@ -267,6 +267,18 @@ def oracle_sql() -> dict[str, str]:
         "k1": f"WITH {CV} SELECT doc_id, sector, filename AS file_name FROM cv WHERE sector <> 'warehouse' OR doc_id % 2 = 0",
         "k2": "SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 <> 0",
         "k3": f"WITH {CV} SELECT sector, count(*) AS total_files_seen, count(*) FILTER (WHERE doc_id % 3 > 0) AS total_candidates, count(*) FILTER (WHERE doc_id % 10 = 0) AS errors FROM cv GROUP BY sector",
-        "o1": f"WITH {CV} SELECT doc_id AS file_id, sector, filename AS file_name, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS run FROM cv WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
+        "o1": f"WITH {CV} SELECT doc_id AS file_id, sector, filename AS file_name, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 2 ELSE 1 END AS run FROM cv WHERE doc_id % 2 = 0 OR (doc_id % 3 = 0 AND doc_id % 5 <> 0)",
+        "o1_stream": "SELECT o_orderkey AS file_id, o_orderstatus AS sector, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS synced_at FROM orders",
+        "x2": "SELECT n_nationkey, CASE WHEN n_nationkey % 5 <> 0 THEN n_name || '~' || lower(n_name) || ' & more~' || n_nationkey || ' | ' || n_name || '~' || n_nationkey * 2 END AS text, n_nationkey % 5 = 0 AS failed FROM nation",
+        "x3": """WITH pg AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_partkey % 3) AS page, [l_returnflag || ' flag', 'line ' || l_linenumber, 'part ' || l_partkey % 3] AS ls FROM lineitem),
+          n AS (SELECT l_orderkey, count(*) AS n FROM pg GROUP BY 1),
+          l AS (SELECT l_orderkey, page, unnest(ls) AS line, unnest([1, 2, 3]) AS p FROM pg),
+          k AS (SELECT l.*, n.n, count(*) OVER (PARTITION BY l.l_orderkey, line) AS c FROM l JOIN n ON n.l_orderkey = l.l_orderkey),
+          t AS (SELECT l_orderkey, page, coalesce(string_agg(line, '~' ORDER BY p) FILTER (WHERE n < 2 OR c < greatest(2, ceil(n * 0.6::DOUBLE))), '') AS t FROM k GROUP BY ALL)
+          SELECT l_orderkey, trim(string_agg(t, '~~' ORDER BY page), '~') AS text FROM t GROUP BY l_orderkey""",
+        "s12": f"WITH {CV} SELECT doc_id, filename AS file_name, true AS missing_fails, true AS broken_fails FROM cv WHERE sector = 'security'",
+        "s14": "SELECT * FROM (VALUES ('green tea', 'Green Tea', 0.98::DOUBLE, 'exact'), ('SENCHA', 'Green Tea', 0.95, 'variant'), ('b.t.', 'Black Tea', 0.88, 'abbrev'), ('T', 'Black Tea', 0.7, 'abbrev'), ('coffee  bean', 'coffee bean', 0.55, 'passthrough')) AS t(w, canonical, confidence, method)",
     }
-    return out
+    from cvlake.oracle_records import records_sql  # which builds on this module
+
+    return out | records_sql(out)

@@ -167,13 +167,18 @@ def in_sectors(candidates: DataFrame, sectors: tuple[str, ...]) -> DataFrame:
     return candidates.where(F.col("sector").isin(*sectors))
 
 
+def _best_first(config: Config) -> list[Column]:
+    """Scores that differ by less than 1e-9 are ties, as sums come in any order."""
+    sector = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in config.sectors]), F.col("sector")), F.lit(0))
+    return [F.round("score", 9).desc(), sector, F.lower("file_name"), F.col("file_id")]
+
+
 def rank(candidates: DataFrame, query: str, top_k: int = CONFIG.top_k, catalogue: Catalogue | None = None, config: Config = CONFIG, min_score: float | None = None, query_vector: list[float] | None = None) -> DataFrame:
     """H8, H9: the best candidates with score and explain; ties by sector order, then file name, then id.
 
     candidates should be a stored table, as it is read for the term counts and for the result. Term statistics are of all candidates given; hard filters come after. min_score (H11) is applied before the limit,
     which gives the same rows and sorts fewer. A column vector (array<float>) takes part if query_vector is given.
     """
-    order = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in config.sectors]), F.col("sector")), F.lit(0)).alias("sector_order")
     if not (query or "").strip():
         return candidates.limit(0).select(F.lit(0.0).alias("score"), "*")
     scores = tfidf_scores(candidates, query, "file_id", "_search_text", config)
@@ -191,10 +196,10 @@ def rank(candidates: DataFrame, query: str, top_k: int = CONFIG.top_k, catalogue
     })
     score = hybrid(F.col("tfidf"), F.col("_embed"), F.col("_overlap"), F.col("_bonus"), config)
     explain = F.struct("tfidf", F.col("_embed").alias("embed"), F.col("_overlap").alias("overlap"), F.col("_bonus").alias("skill_bonus"), F.round(years, 2).alias("years"), own.alias("postcode"), F.col("q.skills").alias("query_skills"))
-    ranked = rows.select(score.alias("score"), explain.alias("explain"), order, *[F.col(c) for c in candidates.columns])
+    ranked = rows.select(score.alias("score"), explain.alias("explain"), *[F.col(c) for c in candidates.columns])
     if min_score is not None:
         ranked = ranked.where(F.col("score") >= min_score)
-    return ranked.orderBy(F.desc("score"), "sector_order", F.lower("file_name"), "file_id").limit(top_k).drop("sector_order")
+    return ranked.orderBy(*_best_first(config)).limit(top_k)
 
 
 def result_table(ranked: DataFrame) -> DataFrame:
@@ -207,8 +212,8 @@ def result_table(ranked: DataFrame) -> DataFrame:
     )
 
 
-def result_details(ranked: DataFrame) -> DataFrame:
+def result_details(ranked: DataFrame, config: Config = CONFIG) -> DataFrame:
     """Of the best ten, more skills, the summary and the explanation."""
-    best = ranked.orderBy(F.desc("score"), F.lower("file_name"), "file_id").limit(10)
+    best = ranked.orderBy(*_best_first(config)).limit(10)
     name = F.coalesce(F.col("parsed.personal_information.full_name"), F.col("file_name"))
     return best.select(name.alias("name"), F.round("score", 3).alias("score"), "sector", F.col("file_url").alias("resume_url"), F.array_join(F.slice("parsed.skills.all_skills", 1, 25), ", ").alias("top_skills"), F.col("parsed.summary").alias("summary"), "explain")

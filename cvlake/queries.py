@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +20,12 @@ from cvlake.plans import parse, search
 from cvlake.plans.corpus import cv_corpus
 from cvlake.sources import documents as d
 from cvlake.sources import listing, store
+from cvlake.streaming import upsert
 
 #: The queries of the search box that results are shown for.
 DOC_QUERY = "the education and report of nation"
 CV_QUERY = "SIA Door Supervisor, CCTV, 5 years customer service"
+QUERIES = ("SIA Door Supervisor 5 years TW3 3NU", "door supervisor, forklift, 3 years", CV_QUERY, "10+yrs picker / packer; M1 1AE", "  ", "3.5 years reach truck", "C.C.T.V and first aid, 100 years")
 
 
 def _table(name: str):
@@ -220,7 +229,7 @@ def r2(spark, sf):
 
 def r3(spark, sf):
     lines = _lines(cv_corpus(spark, sf)).select("line").distinct()
-    return lines.where(experience.has_date_range(F.col("line")))
+    return lines.where(segment.has_date_range(F.col("line")))
 
 
 def r4(spark, sf):
@@ -272,8 +281,7 @@ def a4(spark, sf):
 
 
 def _queries(spark, sf):
-    rows = ["SIA Door Supervisor 5 years TW3 3NU", "door supervisor, forklift, 3 years", CV_QUERY, "10+yrs picker / packer; M1 1AE", "  ", "3.5 years reach truck", "C.C.T.V and first aid, 100 years"]
-    return spark.createDataFrame(list(enumerate(rows)), "id int, q string")
+    return spark.createDataFrame(list(enumerate(QUERIES)), "id int, q string")
 
 
 def q1(spark, sf):
@@ -422,8 +430,8 @@ def s5(spark, sf):
 
 
 def s6(spark, sf):
-    """Pages of up to 50 items as JSON text, read back."""
-    pages = _store_items(spark, sf).groupBy((F.col("o_orderkey") % 300).alias("page")).agg(F.to_json(F.struct(F.collect_list("item").alias("data"))).alias("body"))
+    """Pages of at most 50 items as JSON text, read back."""
+    pages = _store_items(spark, sf).groupBy(F.floor(F.col("o_orderkey") / 50).alias("page")).agg(F.to_json(F.struct(F.collect_list("item").alias("data"))).alias("body"))
     return listing.page_items(pages).select("page", F.size("items").alias("n_items"), "has_more")
 
 
@@ -498,13 +506,81 @@ def k3(spark, sf):
 
 
 def o1(spark, sf):
-    """A sector synced twice: half of the files first, then files that overlap with it."""
+    """A sector synced twice: half of the files first, then files that overlap with it, some of which could not be read."""
     path, rows = store.scratch(spark, "synced"), cv_corpus(spark, sf).select(F.col("doc_id").alias("file_id"), "sector", F.col("filename").alias("file_name"))
-    store.sync(spark, path, rows.where("file_id % 2 = 0").withColumn("run", F.lit(1)), first=True)
-    return store.sync(spark, path, rows.where("file_id % 3 = 0").withColumn("run", F.lit(2))).select("file_id", "sector", "file_name", "run")
+    store.sync(spark, path, rows.where("file_id % 2 = 0").withColumn("run", F.lit(1)))
+    second = rows.where("file_id % 3 = 0").withColumns({"run": F.lit(2), "error": F.when(F.col("file_id") % 5 == 0, "unreadable")})
+    return store.sync(spark, path, second).select("file_id", "sector", "file_name", "run")
+
+
+def o1_stream(spark, sf):
+    """Changes of orders as a stream, an order more than once, merged by micro-batches: the latest change of each wins."""
+    path, source = store.scratch(spark, "streamed"), store.scratch(spark, "changes")
+    o = _orders(spark, sf).select(F.col("o_orderkey").alias("file_id"), F.col("o_orderstatus").alias("sector"), F.col("o_totalprice").alias("price"))
+    early, late = o.withColumn("synced_at", F.lit(1)), o.where("file_id % 3 = 0").withColumns({"synced_at": F.lit(2), "price": F.col("price") + 1})
+    early.unionByName(late).write.parquet(source)
+    changes = spark.readStream.schema("file_id bigint, sector string, price double, synced_at int").parquet(source)
+    upsert.start_upserts(changes, path, store.scratch(spark, "stream-checkpoint")).awaitTermination()
+    return store.synced(spark, path).select("file_id", "sector", "price", "synced_at")
+
+
+def _docx(lines: list[str], rows: list[list[str]]) -> bytes:
+    """A small word processing file of paragraphs and one table."""
+    p = lambda s: f"<w:p><w:r><w:t>{escape(s)}</w:t></w:r></w:p>"
+    table = "".join("<w:tr>" + "".join(f"<w:tc>{p(c)}</w:tc>" for c in r) + "</w:tr>" for r in rows)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{d.W[1:-1]}"><w:body>{"".join(map(p, lines))}<w:tbl>{table}</w:tbl></w:body></w:document>')
+    return out.getvalue()
+
+
+def x2(spark, sf):
+    """Files with paragraphs and a table, made from nations; every fifth is cut short, which is that row's error only."""
+
+    @F.pandas_udf("binary")
+    def made(key: pd.Series, name: pd.Series) -> pd.Series:
+        files = [_docx([n, "", f" {n.lower()} & more "], [[str(k), n], ["", str(k * 2)], ["", ""]]) for k, n in zip(key, name)]
+        return pd.Series([f[:40] if k % 5 == 0 else f for k, f in zip(key, files)])
+
+    nation = _table("nation")(spark, sf).select("n_nationkey", d.docx_text(made("n_nationkey", "n_name")).alias("d"))
+    return nation.select("n_nationkey", F.regexp_replace("d.text", "\n", "~").alias("text"), F.col("d.error").isNotNull().alias("failed"))
+
+
+def x3(spark, sf):
+    """Orders as documents of pages of placed words: page lines, without those that most pages have, joined."""
+    word = lambda text, top, x0: F.struct(text.alias("text"), F.lit(top).alias("top"), F.lit(x0).alias("x0"))
+    words = F.array(word(F.col("l_returnflag"), 1.0, 50.0), word(F.lit("flag"), 1.5, 10.0), word(F.concat(F.lit("line "), F.col("l_linenumber").cast("string")), 9.0, 10.0), word(F.concat(F.lit("part "), (F.col("l_partkey") % 3).cast("string")), 20.0, 10.0))
+    pages = _items(spark, sf).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", words.alias("words")))).alias("p"))
+    return pages.select("l_orderkey", F.regexp_replace(d.page_text(F.transform("p", lambda x: x["words"])), "\n", "~").alias("text"))
+
+
+def s12(spark, sf):
+    """One sector read by itself, and the errors of a sector that isn't there and of one that is broken."""
+    path, rows = store.scratch(spark, "candidates"), cv_corpus(spark, sf).select("doc_id", "sector", F.col("filename").alias("file_name"))
+    store.save_candidates(rows, path)
+    broken = store.scratch(spark, "broken")
+    rows.limit(1).select(F.lit("no table").alias("value")).write.text(f"{broken}/sector=security")
+
+    def fails(where: str) -> bool:
+        try:
+            store.load_candidates(spark, where, ("security",)).collect()
+        except (PySparkException, Py4JJavaError):
+            return True
+        return False
+
+    return store.load_candidates(spark, path, ("security",)).select("doc_id", "file_name", F.lit(fails(store.scratch(spark, "missing"))).alias("missing_fails"), F.lit(fails(broken)).alias("broken_fails"))
+
+
+def s14(spark, sf):
+    """A catalogue from a file in shared storage."""
+    path = store.scratch(spark, "catalogue")
+    spark.range(1).select(F.lit('{"canonical": ["Green Tea", "Black Tea"], "variants": {"Green Tea": ["sencha", "gyokuro"]}, "abbreviations": {"BT": ["Black Tea"], "T": ["Black Tea", "Green Tea"]}}').alias("value")).write.text(path)
+    found = cat.canonicalise(F.col("w"), cat.Catalogue.read(spark, path))
+    words = F.explode(F.array(*[F.lit(w) for w in ("green tea", "SENCHA", "b.t.", "T", "coffee  bean")])).alias("w")
+    return spark.range(1).select(words).select("w", found.alias("c")).select("w", "c.*")
 
 
-ALL = (n1, n2, n3, n4, n5, n6, n7, n8, n9, n10, c1, c2, c2_embed, g1, g2, g3, g4, e1, e2, e3, e4, e5, p1, p2, p3, p4, p5, p6, l1, l2, l3, l4, l5, r1, r2, r3, r4, r5, r6, r7, a1, a2, a3, a4, q1, q2, q3, q4, q5, h1, h1_fast, h2, h3, h4, h5, h6, h7, h8, h8_full, h9, h10, h11, h12, h13, s1, s2, s3, s4, s5, s6, s7, s8, s9, s13, x1, x4, x5, x6, k1, k2, k3, o1)
+ALL = (n1, n2, n3, n4, n5, n6, n7, n8, n9, n10, c1, c2, c2_embed, g1, g2, g3, g4, e1, e2, e3, e4, e5, p1, p2, p3, p4, p5, p6, l1, l2, l3, l4, l5, r1, r2, r3, r4, r5, r6, r7, a1, a2, a3, a4, q1, q2, q3, q4, q5, h1, h1_fast, h2, h3, h4, h5, h6, h7, h8, h8_full, h9, h10, h11, h12, h13, s1, s2, s3, s4, s5, s6, s7, s8, s9, s12, s13, s14, x1, x2, x3, x4, x5, x6, k1, k2, k3, o1, o1_stream)
 
 
 def queries() -> dict:

@@ -96,12 +96,18 @@ def lines_from_words(words: Column) -> Column:
 
 def drop_repeated_lines(pages: Column, config: Config = CONFIG) -> Column:
     """array<array<string>> without short lines that most pages have; one page alone is left as it is."""
-    each = F.flatten(F.transform(pages, lambda p: F.array_distinct(F.filter(p, lambda x: F.length(x) <= 80))))
+    each = F.array_sort(F.flatten(F.transform(pages, lambda p: F.array_distinct(F.filter(p, lambda x: F.length(x) <= 80)))))
     most = F.greatest(F.lit(2), F.ceil(F.size(pages) * config.header_footer_share).cast("int"))
-    common = let(each, lambda e: F.filter(F.array_distinct(e), lambda x: F.size(F.filter(e, lambda y: y == x)) >= most))
+    # in sorted order, a line that is there so often equals the one so many places on
+    common = let(each, lambda e: F.array_distinct(F.filter(e, lambda x, i: F.coalesce(F.get(e, i + most - 1) == x, F.lit(False)))))
     return F.when(F.size(pages) < 2, pages).otherwise(let(common, lambda c: F.transform(pages, lambda p: F.filter(p, lambda x: ~F.array_contains(c, x)))))
 
 
+def page_text(pages: Column, config: Config = CONFIG) -> Column:
+    """The text of array<array<struct<text, top, x0>>>: lines of each page, without headers and footers, joined."""
+    return join_pages(let(F.transform(pages, lines_from_words), lambda p: drop_repeated_lines(p, config)))
+
+
 def join_pages(pages: Column) -> Column:
     """Pages of lines as one text, a blank line between pages."""
     return strip(F.array_join(F.transform(pages, lambda p: F.array_join(p, "\n")), "\n\n"))

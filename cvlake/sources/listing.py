@@ -9,12 +9,11 @@ from pyspark.sql import types as T
 from cvlake.config import CONFIG, Config
 from cvlake.functions.text import let, strip
 from cvlake.operators.names import file_stem
+from cvlake.sources.store import scratch, written
 
 #: M1, and a page of them.
 ITEM = "struct<id:string,type:string,name:string,attributes:struct<name:string,is_folder:boolean,type:string,mime_type:string,file_type:string>>"
 PAGE = f"struct<data:array<{ITEM}>,included:array<{ITEM}>,links:struct<next:string>>"
-#: Fixed value: the store's MIME type of a folder, besides plain "folder".
-FOLDER_MIME = "application/vnd.zoho.folder"
 ID = "[A-Za-z0-9]{8,}"
 
 
@@ -58,10 +57,10 @@ def item_id(item: Column) -> Column:
     return strip(_text(item["id"]))
 
 
-def is_folder(item: Column) -> Column:
+def is_folder(item: Column, config: Config = CONFIG) -> Column:
     """S4."""
     a = item["attributes"]
-    return (F.lower(_text(item["type"])) == "folders") | F.coalesce(a["is_folder"], F.lit(False)) | (F.lower(_text(a["type"])) == "folder") | F.lower(_text(a["mime_type"])).isin("folder", FOLDER_MIME) | (F.lower(_text(a["file_type"])) == "folder")
+    return (F.lower(_text(item["type"])) == "folders") | F.coalesce(a["is_folder"], F.lit(False)) | (F.lower(_text(a["type"])) == "folder") | F.lower(_text(a["mime_type"])).isin("folder", *config.folder_types) | (F.lower(_text(a["file_type"])) == "folder")
 
 
 def is_file(item: Column) -> Column:
@@ -78,25 +77,25 @@ def page_items(pages: DataFrame, body: str = "body", limit: int = 50) -> DataFra
     return pages.withColumn("_p", page).withColumns({"items": F.filter(items, lambda x: x.isNotNull()), "has_more": more}).drop("_p")
 
 
-def list_resumes(edges: DataFrame, root: str, include_subfolders: bool = True, config: Config = CONFIG, exact: str = "", max_depth: int = 50) -> DataFrame:
+def list_resumes(edges: DataFrame, root: str, include_subfolders: bool = True, config: Config = CONFIG, exact: str = "") -> DataFrame:
     """(id, name, virtual_path) of the résumé files below a folder.
 
-    edges: (parent_id, id, name, is_folder). The tree is walked by a recursive query, level by level; a path never enters
-    a folder twice, and a folder that several paths reach counts where it is reached first (fewest levels, then path).
+    edges: (parent_id, id, name, is_folder). The tree is walked level by level, as deep as it goes; a folder that several
+    paths reach, or that lies in a cycle, is entered once, where it is reached first (fewest levels, then path). Each
+    level is one join and is written to the shared folder, and only the question whether it is empty comes to the driver.
     """
     spark = edges.sparkSession
-    edges.where("id <> '' AND name <> ''").createOrReplaceTempView("cvlake_edges")
-    deeper = "AND e.is_folder" if include_subfolders else "AND false"
-    literal = root.replace("\\", "\\\\").replace("'", "\\'")
-    folders = spark.sql(f"""
-        WITH RECURSIVE walk(id, prefix, depth, seen) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT '{literal}', '', 0, array('{literal}')
-          UNION ALL
-          SELECT e.id, concat(w.prefix, e.name, '/'), w.depth + 1, array_append(w.seen, e.id)
-          FROM walk w JOIN cvlake_edges e ON e.parent_id = w.id {deeper} AND NOT array_contains(w.seen, e.id))
-        SELECT id AS folder, min_by(prefix, struct(depth, prefix)) AS prefix FROM walk GROUP BY id""")
-    files = edges.where("NOT is_folder AND id <> '' AND name <> ''").where(is_resume_filename(F.col("name"), config, exact))
-    found = files.join(folders, files.parent_id == folders.folder).select("id", "name", strip(F.concat("prefix", "name")).alias("virtual_path"))
+    named = edges.where("id <> '' AND name <> ''")
+    level = spark.createDataFrame([(root, "")], "folder string, prefix string")
+    seen = level
+    while include_subfolders:
+        below = named.where("is_folder").join(level, F.col("parent_id") == F.col("folder")).select(F.col("id").alias("folder"), F.concat("prefix", "name", F.lit("/")).alias("prefix"))
+        level = written(below.groupBy("folder").agg(F.min("prefix").alias("prefix")).join(seen.select("folder"), "folder", "left_anti"), scratch(spark, "folders"))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    files = named.where("NOT is_folder").where(is_resume_filename(F.col("name"), config, exact))
+    found = files.join(seen, files.parent_id == seen.folder).select("id", "name", strip(F.concat("prefix", "name")).alias("virtual_path"))
     return found.orderBy(F.lower("virtual_path"), "id")
 
 

@@ -4,24 +4,48 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cvlake.config import CONFIG
 
+#: Used only by a session in one process that names no shared folder, as in tests.
+LOCAL_SHARED = "/tmp/cvlake-shared"
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/cvlake-shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or LOCAL_SHARED).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write df and read it back: lineage ends there."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table is at path; any other trouble than that it isn't there is raised."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no folder, or an empty one
+            raise
+        return False
+    return True
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str = "file_id") -> DataFrame:
-    """K2: rows of new replace those of existing with the same key; rows that new lacks stay.
+def upsert(existing: DataFrame, new: DataFrame, *key: str) -> DataFrame:
+    """K2: rows of new replace those of existing with the same key (file_id, if none is named); rows that new lacks stay.
 
     A key that is twice in new must not differ there. Two shuffles by key, or one broadcast if new is small.
     """
-    return existing.join(new.select(key).distinct(), key, "left_anti").select(*new.columns).unionByName(new)
+    key = list(key or ("file_id",))
+    return existing.join(new.select(*key).distinct(), key, "left_anti").select(*new.columns).unionByName(new)
 
 
 def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -52,15 +76,38 @@ def load_candidates(spark: SparkSession, path: str, sectors: tuple[str, ...] = C
     return spark.read.parquet(path).where(F.col("sector").isin(*sectors))
 
 
-def sync(spark: SparkSession, path: str, new: DataFrame, first: bool = False) -> DataFrame:
-    """O1: upsert parsed candidates into the table at path and give the new state.
+def _versions(spark: SparkSession, path: str) -> dict[str, tuple[str, int]]:
+    """Of each sector (a handful) the version that counts, and its turn."""
+    if not exists(spark, f"{path}/commits"):
+        return {}
+    rows = spark.read.schema("sector string, version string, turn bigint").parquet(f"{path}/commits")
+    return {r.sector: (r.v.version, r.v.turn) for r in rows.groupBy("sector").agg(F.max(F.struct("turn", "version")).alias("v")).collect()}
+
+
+def synced(spark: SparkSession, path: str, sectors: list[str] | None = None) -> DataFrame | None:
+    """The state of a table that sync() keeps, or None before the first sync."""
+    out = None
+    for sector, (version, _) in sorted(_versions(spark, path).items(), key=str):
+        if sectors is None or sector in sectors:
+            part = spark.read.parquet(f"{path}/data/{version}").where(F.col("sector").eqNullSafe(sector))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def sync(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
+    """O1: upsert parsed candidates (sector, file_id, ...) into the table at path and give its new state.
 
-    The merged rows are written beside the table before they replace it, as a table cannot be overwritten while it is read.
+    Rows with a non-null column error (files that could not be read) change nothing: what was known of such a file stays.
+    The sectors that new has are merged into a new version, which one small file then puts in the place of their last
+    one. A crash at any point leaves the earlier state, and a sync that is run again gives the same state.
     """
-    if first:
-        save_candidates(new, path)
-        return spark.read.parquet(path)
-    merged, staged = upsert(spark.read.parquet(path), new), scratch(spark, "sync")
-    merged.write.parquet(staged)
-    save_candidates(spark.read.parquet(staged), path)
-    return spark.read.parquet(path)
+    if "error" in new.columns:
+        new = new.where(F.col("error").isNull()).drop("error")
+    mine = [r.sector for r in new.select("sector").distinct().collect()]
+    if mine:
+        turn, version = 1 + max([t for _, t in _versions(spark, path).values()], default=0), uuid.uuid4().hex
+        old = synced(spark, path, mine)
+        (new if old is None else upsert(old, new, "sector", "file_id")).write.partitionBy("sector").parquet(f"{path}/data/{version}")
+        spark.createDataFrame([(s, version, turn) for s in mine], "sector string, version string, turn bigint").coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    state = synced(spark, path)
+    return new if state is None else state

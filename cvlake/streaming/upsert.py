@@ -18,12 +18,6 @@ def start_upserts(changes: DataFrame, path: str, checkpoint: str, order: str = "
     def merge(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        rows, spark = latest(batch, "file_id", F.col(order)), batch.sparkSession
-        try:
-            spark.read.parquet(path)
-            first = False
-        except Exception:  # no table yet
-            first = True
-        sync(spark, path, rows, first)
+        sync(batch.sparkSession, path, latest(batch, "file_id", F.col(order)))
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
