@@ -86,8 +86,8 @@ def choose_pivots(classes: DataFrame, n: int, plan: Plan, most: int = 4096) -> P
     """Pivots, and the level of posting, from a sample chosen by hash: at most 8 sqrt(n) + most vectors reach the driver."""
     wanted = plan.pivots + most
     spot = F.pmod(F.xxhash64("k1", "k2"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    rows = classes.where(spot < min(1.0, 1.5 * wanted / n)).orderBy(F.xxhash64("k1", "k2"), "k1", "k2").select("embedding").limit(wanted).collect()
-    x = padded([np.array(r.embedding) for r in rows])
+    rows = classes.where(spot < min(1.0, 1.5 * wanted / n)).orderBy(F.xxhash64("k1", "k2"), "k1", "k2").select("embedding").limit(wanted)
+    x = matrix(rows.toArrow().column("embedding").combine_chunks())
     unit = x[: plan.pivots] / np.linalg.norm(x[: plan.pivots], axis=1, keepdims=True)
     best = []
     for at in range(0, len(x), 1024):  # the sample's own vectors stand for all: how near are their first pivots?
