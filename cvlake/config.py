@@ -72,6 +72,10 @@ there's what's when's where's who's why's would
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"(\+44[ \t\n\x0B\f\r]?[0-9][0-9 \t\n\x0B\f\r]{8,13}|\b0[0-9][0-9 \t\n\x0B\f\r]{8,13})"
 POSTCODE = r"(?i)\b([A-Z]{1,2}[0-9]{1,2}[A-Z]?)[ \t\n\x0B\f\r]*([0-9][A-Z]{2})\b"
+PROFILE_LINKS = (r"(?i)(?:https?://)?(?:www\.)?linkedin\.com/\S+", r"(?i)(?:https?://)?(?:www\.)?github\.com/\S+")
+NAME = r"[A-Za-z][A-Za-z'’-]+(?:[ \t]+[A-Za-z][A-Za-z'’-]+){1,4}"
+#: What makes a name of a file name, in order: patterns and what takes their place.
+FILE_NAME_STEPS = ((r"(?i)\b(resume|cv)\b", " "), (r"(?i)\b(final|latest|updated)\b", " "), (r"[_.\-]+", " "), ("([a-z])([A-Z])", "$1 $2"), (r"\b[0-9]+\b", " "))
 MONTH_NAME = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t)?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 MOMENT = MONTH_NAME + r"\s+[0-9]{4}|\b(?:19|20)[0-9]{2}\b"
 #: Group 1 is the start, group 2 the end.

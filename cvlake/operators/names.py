@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cvlake.config import EMAIL, NOT_A_NAME, PHONE
+from cvlake.config import EMAIL, FILE_NAME_STEPS, NAME, NOT_A_NAME, PHONE, PROFILE_LINKS
 from cvlake.functions.text import clip01, contains_any, first_spellings, let, n_words, one_line, words
 from cvlake.operators.segment import text_lines
 
-NAME = r"[A-Za-z][A-Za-z'’-]+(?:[ \t]+[A-Za-z][A-Za-z'’-]+){1,4}"
-
 
 def _name(value: Column, confidence: Column) -> Column:
     return F.struct(value.cast("string").alias("name"), confidence.cast("double").alias("confidence"))
@@ -24,7 +22,7 @@ def file_stem(filename: Column) -> Column:
 def name_from_filename(filename: Column) -> Column:
     """struct<name, confidence>."""
     s = file_stem(filename)
-    for pattern, by in ((r"(?i)\b(resume|cv)\b", " "), (r"(?i)\b(final|latest|updated)\b", " "), (r"[_.\-]+", " "), ("([a-z])([A-Z])", "$1 $2"), (r"\b[0-9]+\b", " ")):
+    for pattern, by in FILE_NAME_STEPS:
         s = F.regexp_replace(s, pattern, by)
 
     def build(tokens: Column) -> Column:
@@ -36,7 +34,7 @@ def name_from_filename(filename: Column) -> Column:
 
 def strip_noise(s: Column) -> Column:
     """Without email addresses, telephone numbers and profile links."""
-    for pattern in ("(?i)" + EMAIL, PHONE, r"(?i)(?:https?://)?(?:www\.)?linkedin\.com/\S+", r"(?i)(?:https?://)?(?:www\.)?github\.com/\S+"):
+    for pattern in ("(?i)" + EMAIL, PHONE, *PROFILE_LINKS):
         s = F.regexp_replace(s, pattern, " ")
     return one_line(s)
 
