@@ -53,8 +53,15 @@ def search_terms(text: Column, stop: tuple[str, ...] = CONFIG.search_stop) -> Co
 
 
 def _counts(docs: DataFrame, key: str, text: str, stop: tuple[str, ...]) -> DataFrame:
-    terms = docs.select(F.col(key).alias("key"), F.explode(search_terms(F.col(text), stop)).alias("term"))
-    return terms.groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, tf) of each row, counted inside the row by runs of its sorted terms, so without a shuffle."""
+
+    def runs(t: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == F.size(t)) | (F.get(t, i - 1) != F.get(t, i)))
+        return let(ends, lambda e: F.transform(e, lambda i, k: F.struct(F.get(t, i - 1).alias("term"), (i - F.coalesce(F.get(e, k - 1), F.lit(0))).cast("bigint").alias("tf"))))
+
+    sorted_terms = F.array_sort(search_terms(F.col(text), stop))
+    counted = let(sorted_terms, lambda t: F.when(F.size(t) > 0, runs(t)))
+    return docs.select(F.col(key).alias("key"), F.explode(counted).alias("c")).select("key", "c.term", "c.tf")
 
 
 def _query_counts(docs: DataFrame, query: str, stop: tuple[str, ...]) -> DataFrame:
@@ -68,7 +75,11 @@ def _idf(n: Column, df: Column) -> Column:
 
 
 def tfidf_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", config: Config = CONFIG) -> DataFrame:
-    """H1: (key, tfidf) of every document: cosine of its terms' weights with the query's, which counts as a document."""
+    """H1: (key, tfidf) of every document: cosine of its terms' weights with the query's, which counts as a document.
+
+    key must name a row. One shuffle of postings by term, to weigh them, and one of sums by key; a term that most documents
+    have makes a long partition of the first, which adaptive execution splits, as the other side has a row for each term.
+    """
     stop = config.search_stop
     counts, asked = _counts(docs, key, text, stop), F.broadcast(_query_counts(docs, query, stop))
     n = docs.agg((F.count(F.lit(1)) + 1).alias("n"))
