@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cvlake.llm import ann, bpe, decontam, langid, license_scan, ngram_join, secrets, simhash, token_rollup, toxicity, url_filter
+from cvlake.llm import ann, bpe, decontam, langid, license_scan, ngram_join, secrets, simhash, token_rollup, toxicity, turn_repair, url_filter
 from cvlake.llm.common import held_out, may_learn, shared_path, table
 
 #: URL rules (host, then path).
@@ -121,6 +121,10 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_conversations(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -128,7 +132,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_url_filter, op2_toxicity, op3_bpe, op4_token_counts, op5_secrets, op6_ann, op7_decontamination, op8_ngram_join, op9_language, op10_licenses, op12_simhash, pipeline)
+    own = (op1_url_filter, op2_toxicity, op3_bpe, op4_token_counts, op5_secrets, op6_ann, op7_decontamination, op8_ngram_join, op9_language, op10_licenses, op12_simhash, op13_turn_repair, pipeline)
     return {f.__name__: f for f in own}
 
 
