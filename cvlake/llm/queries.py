@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cvlake.llm import ann, bpe, decontam, langid, license_scan, ngram_join, secrets, simhash, token_rollup, toxicity, turn_repair, url_filter
+from cvlake.llm import ann, bpe, conversation_trie, decontam, langid, license_scan, ngram_join, secrets, simhash, token_rollup, toxicity, turn_repair, url_filter
 from cvlake.llm.common import held_out, may_learn, shared_path, table
 
 #: URL rules (host, then path).
@@ -116,6 +116,10 @@ FROM documents d
 """
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -132,7 +136,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_url_filter, op2_toxicity, op3_bpe, op4_token_counts, op5_secrets, op6_ann, op7_decontamination, op8_ngram_join, op9_language, op10_licenses, op12_simhash, op13_turn_repair, pipeline)
+    own = (op1_url_filter, op2_toxicity, op3_bpe, op4_token_counts, op5_secrets, op6_ann, op7_decontamination, op8_ngram_join, op9_language, op10_licenses, op11_conversation_trie, op12_simhash, op13_turn_repair, pipeline)
     return {f.__name__: f for f in own}
 
 
