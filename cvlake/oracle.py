@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from cvlake import config as c
 from cvlake.plans.corpus import CORPUS_SQL
-from cvlake.queries import DOC_QUERY, EDGES_SQL
+from cvlake.queries import CHOICES, CV_QUERY, DOC_QUERY, EDGES_SQL
 
 WS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 
@@ -102,12 +102,17 @@ blocks AS (SELECT doc_id, block, ls[s + 1 : e] AS lines FROM kp)"""
 EXP_LINES = "xl AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS ord, line FROM sec WHERE section = 'experience')"
 
 
-def _tfidf(query: str) -> str:
+def _term_counts(docs: str, query: str) -> str:
+    """CTE tf: how often each term is in each document, and as document -1 in the query."""
     stop = _list(c.SEARCH_STOP)
     terms = lambda x: f"list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({stop}, w))"
     pairs = "list_concat(tk, list_transform(range(1, greatest(len(tk), 1)), lambda i: tk[i] || ' ' || tk[i + 1]))"
-    return f"""tok AS (SELECT doc_id, {terms("text")} AS tk FROM documents UNION ALL SELECT -1, {terms(_q(query))}),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({pairs}) AS term FROM tok) GROUP BY ALL),
+    return f"""tok AS (SELECT doc_id, {terms("text")} AS tk FROM {docs} UNION ALL SELECT -1, {terms(query)}),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({pairs}) AS term FROM tok) GROUP BY ALL)"""
+
+
+def _tfidf(query: str) -> str:
+    return f"""{_term_counts("documents", _q(query))},
 n AS (SELECT count(*) + 1 AS n FROM documents),
 idf AS (SELECT term, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), n WHERE df <= 0.98::DOUBLE * n),
 w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
@@ -236,6 +241,8 @@ def oracle_sql() -> dict[str, str]:
           f AS (SELECT conv_id, turn, array_to_string(list(item ORDER BY pos)[:30], '|') AS terms FROM m GROUP BY ALL) SELECT t.conv_id, t.turn, coalesce(f.terms, '') AS terms FROM conversations t LEFT JOIN f ON f.conv_id = t.conv_id AND f.turn = t.turn""",
         "h1": TFIDF_OUT,
         "h1_fast": TFIDF_OUT,
+        "h1_index": f"WITH {_term_counts('documents', _q(DOC_QUERY))} SELECT d.lang, tf.term, count(*) AS df, CAST(sum(tf.tf) AS BIGINT) AS tf FROM tf JOIN documents d ON d.doc_id = tf.doc_id WHERE term IN (SELECT term FROM tf WHERE doc_id = -1) GROUP BY ALL",
+        "h10_index": " UNION ALL ".join(f"SELECT * FROM (WITH {CV}, cd AS (SELECT doc_id, text FROM cv WHERE sector IN ({', '.join(map(_q, chosen))})), {_tfidf(CV_QUERY).replace('documents', 'cd')} SELECT {_q('+'.join(chosen))} AS sectors, doc_id::VARCHAR AS file_id, round(tfidf, 6) AS tfidf FROM tfidf WHERE round(tfidf, 6) > 0)" for chosen in CHOICES),
         "h2": "SELECT a.vec_id, round(least(1, greatest(0, (list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2)), 6) AS embed FROM embeddings a, embeddings b WHERE b.vec_id = 7",
         "h3": f"SELECT doc_id, round({_overlap('text')}, 6) AS overlap FROM documents",
         "h4": "WITH x AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS held FROM part) SELECT p_partkey, round(least(1, len(list_filter(['cctv monitoring', 'order', 'access control', 'red', 'steel'], lambda s: list_contains(held, s)))::DOUBLE / 5), 6) AS bonus FROM x",
@@ -268,7 +275,11 @@ def oracle_sql() -> dict[str, str]:
         "k2": "SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 <> 0",
         "k3": f"WITH {CV} SELECT sector, count(*) AS total_files_seen, count(*) FILTER (WHERE doc_id % 3 > 0) AS total_candidates, count(*) FILTER (WHERE doc_id % 10 = 0) AS errors FROM cv GROUP BY sector",
         "o1": f"WITH {CV} SELECT doc_id AS file_id, sector, filename AS file_name, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 2 ELSE 1 END AS run FROM cv WHERE doc_id % 2 = 0 OR (doc_id % 3 = 0 AND doc_id % 5 <> 0)",
-        "o1_stream": "SELECT o_orderkey AS file_id, o_orderstatus AS sector, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS synced_at FROM orders",
+        "o1_stream": """WITH ch AS (SELECT o_orderkey AS file_id, o_orderstatus AS sector, o_totalprice AS price, 1 AS synced_at FROM orders
+            UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice + 1, 5 FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice + 2, 3 FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'Z', o_totalprice + 3, 2 FROM orders WHERE o_orderkey % 5 = 0)
+          SELECT file_id, sector, arg_max(price, synced_at) AS price, max(synced_at) AS synced_at FROM ch GROUP BY file_id, sector""",
+        "k2_index": f"""WITH {CV}, last AS (SELECT text || CASE WHEN doc_id % 3 = 0 THEN ' forklift night shifts' ELSE '' END AS text FROM cv WHERE sector <> 'warehouse' AND (doc_id % 2 = 0 OR doc_id % 3 = 0) UNION ALL SELECT text FROM cv WHERE sector = 'warehouse' AND doc_id % 5 = 0),
+          numbered AS (SELECT row_number() OVER () AS doc_id, text FROM last), {_term_counts('numbered', "''")} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM tf WHERE doc_id <> -1 GROUP BY term""",
         "x2": "SELECT n_nationkey, CASE WHEN n_nationkey % 5 <> 0 THEN n_name || '~' || lower(n_name) || ' & more~' || n_nationkey || ' | ' || n_name || '~' || n_nationkey * 2 END AS text, n_nationkey % 5 = 0 AS failed FROM nation",
         "x3": """WITH pg AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_partkey % 3) AS page, [l_returnflag || ' flag', 'line ' || l_linenumber, 'part ' || l_partkey % 3] AS ls FROM lineitem),
           n AS (SELECT l_orderkey, count(*) AS n FROM pg GROUP BY 1),

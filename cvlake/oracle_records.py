@@ -179,6 +179,7 @@ def records_sql(sql: dict[str, str]) -> dict[str, str]:
         "a3": f"WITH {_candidates(sql)} SELECT file_id, search_text FROM ca",
         "a4": f"WITH {_candidates(sql)} SELECT doc_id, full_name, email, postcode, CAST(len(all_skills) AS INT) AS n_skills, CAST(n_roles AS INT) AS n_roles, CAST(n_licences AS INT) AS n_licences, array_to_string(kws, '|') AS keywords FROM ca",
         "h8_full": f"{ranked} SELECT file_id, round(score, 6) AS score FROM rk",
+        "h8_index": f"{ranked} SELECT file_id, round(score, 6) AS score FROM rk",
         "h9": f"{ranked} SELECT file_id, round(tfidf, 6) AS tfidf, 0::DOUBLE AS embed, round(overlap, 6)::DOUBLE AS overlap, bonus::DOUBLE AS skill_bonus, {years} AS years, postcode, query_skills FROM rk",
         "h11": f"{_ranked(sql, 'forklift, customer service', 25, 0.1)} SELECT file_id, round(score, 6) AS score FROM rk",
         "h12": f"{_ranked(sql, CV_QUERY, 20, 0.05)} SELECT round(score, 4) AS score, sector, full_name AS name, email, phone, postcode, {years} AS years_est, {skills(12)}, file_name AS file, '/file/' || file_id AS resume_url FROM rk",

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cvlake.config import CONFIG, POSTCODE, QUERY_STOP, Config
 from cvlake.functions.text import clip01, cosine, first_spellings, let, postcode, strip
+from cvlake.functions.terms import search_terms, term_counts
 from cvlake.operators.catalogue import Catalogue, canonicalise
 
+if TYPE_CHECKING:
+    from cvlake.plans.index import View
+
 YEARS = r"(?i)\b([0-9]{1,2})\s*\+?\s*(?:years|yrs|year)\b"
 SKILL_TOKEN = r"[A-Za-z0-9][A-Za-z0-9\-+/& ]{1,40}"
 
@@ -46,31 +50,13 @@ def parse_query(q: Column, catalogue: Catalogue | None = None) -> Column:
     return let(strip(F.coalesce(q, F.lit(""))), parsed)
 
 
-def search_terms(text: Column, stop: tuple[str, ...] = CONFIG.search_stop) -> Column:
-    """Single words and neighbouring pairs, after stop words are gone (pairs may bridge them)."""
-    tokens = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*stop))
-    return let(tokens, lambda t: F.when(F.size(t) < 2, t).otherwise(F.concat(t, F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t)), lambda a, b: F.concat(a, F.lit(" "), b)))))
-
-
-def _counts(docs: DataFrame, key: str, text: str, stop: tuple[str, ...]) -> DataFrame:
-    """(key, term, tf) of each row, counted inside the row by runs of its sorted terms, so without a shuffle."""
-
-    def runs(t: Column) -> Column:
-        ends = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == F.size(t)) | (F.get(t, i - 1) != F.get(t, i)))
-        return let(ends, lambda e: F.transform(e, lambda i, k: F.struct(F.get(t, i - 1).alias("term"), (i - F.coalesce(F.get(e, k - 1), F.lit(0))).cast("bigint").alias("tf"))))
-
-    sorted_terms = F.array_sort(search_terms(F.col(text), stop))
-    counted = let(sorted_terms, lambda t: F.when(F.size(t) > 0, runs(t)))
-    return docs.select(F.col(key).alias("key"), F.explode(counted).alias("c")).select("key", "c.term", "c.tf")
-
-
-def _query_counts(docs: DataFrame, query: str, stop: tuple[str, ...]) -> DataFrame:
+def query_counts(spark: SparkSession, query: str, stop: tuple[str, ...]) -> DataFrame:
     """(term, qtf) of a query: a string of the user's, so a few rows."""
-    one = docs.sparkSession.range(1).select(F.explode(search_terms(F.lit(query), stop)).alias("term"))
+    one = spark.range(1).select(F.explode(search_terms(F.lit(query), stop)).alias("term"))
     return one.groupBy("term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def _idf(n: Column, df: Column) -> Column:
+def idf(n: Column, df: Column) -> Column:
     return F.log((1 + n) / (1 + df)) + 1.0
 
 
@@ -81,11 +67,11 @@ def tfidf_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "
     have makes a long partition of the first, which adaptive execution splits, as the other side has a row for each term.
     """
     stop = config.search_stop
-    counts, asked = _counts(docs, key, text, stop), F.broadcast(_query_counts(docs, query, stop))
+    counts, asked = term_counts(docs, text, F.col(key).alias("key"), stop=stop), F.broadcast(query_counts(docs.sparkSession, query, stop))
     n = docs.agg((F.count(F.lit(1)) + 1).alias("n"))
     frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     frequency = frequency.join(asked, "term", "full").select("term", F.coalesce("qtf", F.lit(0)).alias("qtf"), (F.coalesce("df", F.lit(0)) + F.col("qtf").isNotNull().cast("int")).alias("df"))
-    vocabulary = frequency.join(F.broadcast(n), F.col("df") <= config.max_df * F.col("n")).select("term", "qtf", _idf(F.col("n"), F.col("df")).alias("idf"))
+    vocabulary = frequency.join(F.broadcast(n), F.col("df") <= config.max_df * F.col("n")).select("term", "qtf", idf(F.col("n"), F.col("df")).alias("idf"))
     weights = counts.join(vocabulary, "term").select("key", (F.col("tf") * F.col("idf")).alias("w"), (F.col("qtf") * F.col("idf")).alias("q"))
     sums = weights.groupBy("key").agg(F.sum(F.col("w") * F.col("w")).alias("ww"), F.sum(F.col("w") * F.col("q")).alias("wq"))
     whole = vocabulary.where("qtf > 0").agg(F.sum((F.col("qtf") * F.col("idf")) ** 2).alias("qq"))
@@ -93,52 +79,6 @@ def tfidf_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "
     return docs.select(F.col(key).alias("key")).join(scored, "key", "left").select(F.col("key").alias(key), F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"))
 
 
-@dataclass(frozen=True)
-class SearchIndex:
-    """Term counts and norms of a corpus, so that a query touches the postings of its own terms only."""
-
-    docs: DataFrame
-    key: str
-    counts: DataFrame  # key, term, tf
-    frequency: DataFrame  # term, df
-    norms: DataFrame  # key, ww: squared norms for a query that shares no term
-    n: int
-    config: Config
-
-    @staticmethod
-    def build(docs: DataFrame, key: str = "doc_id", text: str = "text", config: Config = CONFIG, folder: str | None = None) -> SearchIndex:
-        """folder: where to keep the three tables; without it they are computed anew for each query."""
-        keep = lambda df, name: df if folder is None else _written(df, f"{folder}/{name}")
-        counts = keep(_counts(docs, key, text, config.search_stop), "counts")
-        frequency = keep(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequency")
-        n = docs.count() + 1
-        common = frequency.where(F.col("df") <= config.max_df * n).withColumn("idf", _idf(F.lit(n), F.col("df")))
-        norms = keep(counts.join(common, "term").groupBy("key").agg(F.sum((F.col("tf") * F.col("idf")) ** 2).alias("ww")), "norms")
-        return SearchIndex(docs, key, counts, frequency, norms, n, config)
-
-    def scores(self, query: str) -> DataFrame:
-        """The same numbers as tfidf_scores: norms are corrected for the terms whose frequency the query changes."""
-        n, top = F.lit(self.n), self.config.max_df * self.n
-        asked = F.broadcast(_query_counts(self.docs, query, self.config.search_stop))
-        mine = asked.join(self.frequency, "term", "left").select("term", "qtf", F.coalesce("df", F.lit(0)).alias("df"))
-        old = F.when(F.col("df") <= top, _idf(n, F.col("df"))).otherwise(0.0)
-        new = F.when(F.col("df") + 1 <= top, _idf(n, F.col("df") + 1)).otherwise(0.0)
-        mine = mine.select("term", "qtf", old.alias("old"), new.alias("new"))
-        whole = mine.agg(F.sum((F.col("qtf") * F.col("new")) ** 2).alias("qq"))
-        hits = self.counts.join(F.broadcast(mine), "term").groupBy("key").agg(
-            F.sum(F.col("tf") * F.col("new") * F.col("qtf") * F.col("new")).alias("wq"),
-            F.sum(F.col("tf") * F.col("tf") * (F.col("new") * F.col("new") - F.col("old") * F.col("old"))).alias("more"),
-        )
-        scored = hits.join(self.norms, "key", "left").join(F.broadcast(whole))
-        scored = scored.select("key", F.when(F.col("wq") > 0, clip01(F.col("wq") / F.sqrt((F.coalesce("ww", F.lit(0.0)) + F.col("more")) * F.col("qq")))).otherwise(0.0).alias("tfidf"))
-        return self.docs.select(F.col(self.key).alias("key")).join(scored, "key", "left").select(F.col("key").alias(self.key), F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"))
-
-
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def embed_score(query_vector: Column, vector: Column) -> Column:
     """H2: cosine moved to 0..1; 0 where there is no vector at all."""
     return F.when(vector.isNull() | query_vector.isNull(), 0.0).otherwise(clip01((cosine(query_vector, vector) + 1.0) / 2.0))
@@ -184,19 +124,10 @@ def _best_first(config: Config) -> list[Column]:
     return [F.round("score", 9).desc(), sector, F.lower("file_name"), F.col("file_id")]
 
 
-def rank(candidates: DataFrame, query: str, top_k: int = CONFIG.top_k, catalogue: Catalogue | None = None, config: Config = CONFIG, min_score: float | None = None, query_vector: list[float] | None = None) -> DataFrame:
-    """H8, H9: the best candidates with score and explain; ties by sector order, then file name, then id.
-
-    candidates should be a stored table, as it is read for the term counts and for the result. Term statistics are of all candidates given; hard filters come after. min_score (H11) is applied before the limit,
-    which gives the same rows and sorts fewer. A column vector (array<float>) takes part if query_vector is given.
-    """
-    if not (query or "").strip():
-        return candidates.limit(0).select(F.lit(0.0).alias("score"), "*")
-    scores = tfidf_scores(candidates, query, "file_id", "_search_text", config)
-    q = parse_query(F.lit(query), catalogue)
-    asked = candidates.sparkSession.range(1).select(q.alias("q"))
+def _scored(candidates: DataFrame, scores: DataFrame, on: list[str], asked: DataFrame, config: Config, query_vector: list[float] | None) -> DataFrame:
+    """Candidates that pass the hard filters, with score and explain; those that scores lacks have no TF-IDF."""
     vector = F.array(*[F.lit(float(x)) for x in query_vector]) if query_vector is not None else None
-    rows = candidates.join(scores, "file_id").join(F.broadcast(asked))
+    rows = candidates.join(scores, on, "left").withColumn("tfidf", F.coalesce("tfidf", F.lit(0.0))).join(F.broadcast(asked))
     own = F.col("parsed.contact_information.postcode.value")
     years = F.coalesce(F.col("total_experience_months"), F.lit(0)) / 12.0
     rows = rows.where(postcode_ok(F.col("q.postcodes"), own) & years_ok(F.col("q.years_min"), F.col("total_experience_months")))
@@ -207,12 +138,56 @@ def rank(candidates: DataFrame, query: str, top_k: int = CONFIG.top_k, catalogue
     })
     score = hybrid(F.col("tfidf"), F.col("_embed"), F.col("_overlap"), F.col("_bonus"), config)
     explain = F.struct("tfidf", F.col("_embed").alias("embed"), F.col("_overlap").alias("overlap"), F.col("_bonus").alias("skill_bonus"), F.round(years, 2).alias("years"), own.alias("postcode"), F.col("q.skills").alias("query_skills"))
-    ranked = rows.select(score.alias("score"), explain.alias("explain"), *[F.col(c) for c in candidates.columns])
+    return rows.select(score.alias("score"), explain.alias("explain"), *[F.col(c) for c in candidates.columns])
+
+
+def rank(candidates: DataFrame, query: str, top_k: int = CONFIG.top_k, catalogue: Catalogue | None = None, config: Config = CONFIG, min_score: float | None = None, query_vector: list[float] | None = None, index: View | None = None) -> DataFrame:
+    """H8, H9: the best candidates with score and explain; ties by sector order, then file name, then id.
+
+    candidates should be a stored table, as it is read for the term counts and for the result. Term statistics are of all
+    candidates given; hard filters come after. min_score (H11) is applied before the limit, which gives the same rows and
+    sorts fewer. A column vector (array<float>) takes part if query_vector is given.
+
+    With index (a view of the same candidates) no text is tokenised: the postings of the query's terms are read, and blocks of
+    candidates that can't have one of the best are skipped (see best_blocks). The rows are the same.
+    """
+    if not (query or "").strip():
+        return candidates.limit(0).select(F.lit(0.0).alias("score"), "*")
+    asked = candidates.sparkSession.range(1).select(parse_query(F.lit(query), catalogue).alias("q"))
+    if index is None:
+        ranked = _scored(candidates, tfidf_scores(candidates, query, "file_id", "_search_text", config), ["file_id"], asked, config, query_vector)
+    else:
+        terms, keep = index.asked(query), best_blocks(candidates, query, top_k, asked, config, min_score, query_vector, index)
+        if keep is not None:
+            candidates = candidates.withColumn("block", index.block()).join(keep, "block", "left_semi").drop("block")
+        ranked = _scored(candidates, index.scores(terms, keep), ["sector", "file_id"], asked, config, query_vector)
     if min_score is not None:
         ranked = ranked.where(F.col("score") >= min_score)
     return ranked.orderBy(*_best_first(config)).limit(top_k)
 
 
+def best_blocks(candidates: DataFrame, query: str, top_k: int, asked: DataFrame, config: Config, min_score: float | None, query_vector: list[float] | None, index: View) -> DataFrame | None:
+    """The blocks (column block) that can hold one of the best; None if it takes all of them.
+
+    A block's bound is its largest TF-IDF by the maxima of the query's terms, and what keyword overlap, skills and vector can
+    add at most. The blocks with the best bounds are scored first; the score of the last of the best found there, which
+    is a true candidate's, is what the bound of any other block must reach.
+    """
+    terms, w, q = index.asked(query), config.weights, asked.first().q
+    share = lambda xs, least: min(1.0, len(xs) / max(least, len(xs))) if xs else 0.0
+    rest = w["embed"] * (query_vector is not None) + w["overlap"] * share(q.must_terms, 6) + w["skill_bonus"] * share(q.skills, 2)
+    bounds = index.bounds(terms).withColumn("bound", w["tfidf"] * F.col("bound") + F.lit(rest))
+    first = [r.block for r in bounds.orderBy(F.desc("bound"), "block").limit(FIRST_BLOCKS).collect()]
+    mine = candidates.where(index.block().isin(*first)) if first else candidates.limit(0)
+    best = _scored(mine, index.scores(terms, first), ["sector", "file_id"], asked, config, query_vector).select("score").orderBy(F.desc("score")).limit(top_k).collect()
+    least = max(best[-1].score if len(best) == top_k else -1.0, -1.0 if min_score is None else min_score) - 1e-9
+    return None if rest >= least else bounds.where(F.col("bound") >= least).select("block")
+
+
+#: Blocks that a search scores before it knows which others it can skip.
+FIRST_BLOCKS = 16
+
+
 def result_table(ranked: DataFrame) -> DataFrame:
     """The ten columns shown."""
     who, where, skills = F.col("parsed.personal_information"), F.col("parsed.contact_information"), F.col("parsed.skills.all_skills")

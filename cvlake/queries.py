@@ -16,7 +16,7 @@ from cvlake.config import CANONICAL_SKILLS
 from cvlake.functions import text as t
 from cvlake.operators import catalogue as cat
 from cvlake.operators import contact, experience, names, segment, skills, summary
-from cvlake.plans import parse, search
+from cvlake.plans import index, parse, search
 from cvlake.plans.corpus import cv_corpus
 from cvlake.sources import documents as d
 from cvlake.sources import listing, store
@@ -25,6 +25,7 @@ from cvlake.streaming import upsert
 #: The queries of the search box that results are shown for.
 DOC_QUERY = "the education and report of nation"
 CV_QUERY = "SIA Door Supervisor, CCTV, 5 years customer service"
+CHOICES = (("security",), ("warehouse",), ("hospitality",), ("security", "warehouse"), ("security", "hospitality"), ("warehouse", "hospitality"), ("security", "warehouse", "hospitality"))
 QUERIES = ("SIA Door Supervisor 5 years TW3 3NU", "door supervisor, forklift, 3 years", CV_QUERY, "10+yrs picker / packer; M1 1AE", "  ", "3.5 years reach truck", "C.C.T.V and first aid, 100 years")
 
 
@@ -310,9 +311,24 @@ def h1(spark, sf):
     return s.select("doc_id", F.round("tfidf", 6).alias("tfidf"))
 
 
+def _documents_index(spark, sf):
+    """Documents as candidates of one sector each language, with an index of their terms."""
+    docs = _docs(spark, sf).select(F.col("lang").alias("sector"), F.col("doc_id").alias("file_id"), F.col("text").alias("_search_text"))
+    return index.TermIndex.build(spark, store.scratch(spark, "document-index"), docs)
+
+
 def h1_fast(spark, sf):
-    s = search.SearchIndex.build(_docs(spark, sf), folder=store.scratch(spark, "search-index")).scores(DOC_QUERY)
-    return s.select("doc_id", F.round("tfidf", 6).alias("tfidf"))
+    """The scores of all documents from an index."""
+    view = _documents_index(spark, sf).view()
+    scores = view.scores(view.asked(DOC_QUERY)).select(F.col("file_id").cast("bigint").alias("doc_id"), "tfidf")
+    return _docs(spark, sf).select("doc_id").join(scores, "doc_id", "left").select("doc_id", F.round(F.coalesce("tfidf", F.lit(0.0)), 6).alias("tfidf"))
+
+
+def h1_index(spark, sf):
+    """What the index has of the query's terms: in how many documents of each language, and how often."""
+    made = _documents_index(spark, sf)
+    terms = list(made.view().asked(DOC_QUERY).terms)
+    return made.counts().where(F.col("term").isin(*terms)).groupBy(F.col("sector").alias("lang"), "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 def h2(spark, sf):
@@ -361,6 +377,28 @@ def h8_full(spark, sf):
     return r.select("file_id", F.round("score", 6).alias("score"))
 
 
+def h8_index(spark, sf):
+    """The same best candidates, synced with an index and found by it; blocks without a chance are skipped."""
+    path = store.scratch(spark, "indexed")
+    candidates = store.sync(spark, path, _candidates(spark, sf), index=True)
+    view = index.TermIndex(spark, path).view(block_docs=16)
+    return search.rank(candidates, CV_QUERY, 20, index=view).select("file_id", F.round("score", 6).alias("score"))
+
+
+def _cv_rows(spark, sf):
+    return cv_corpus(spark, sf).select("sector", F.col("doc_id").cast("string").alias("file_id"), F.col("text").alias("_search_text"))
+
+
+def h10_index(spark, sf):
+    """Scores in every choice of sectors, from one index: each choice is a corpus of its own."""
+    made, out = index.TermIndex.build(spark, store.scratch(spark, "sector-index"), _cv_rows(spark, sf)), None
+    for chosen in CHOICES:
+        view = made.view(chosen)
+        scores = view.scores(view.asked(CV_QUERY)).select(F.lit("+".join(chosen)).alias("sectors"), "file_id", F.round("tfidf", 6).alias("tfidf")).where("tfidf > 0")
+        out = scores if out is None else out.unionByName(scores)
+    return out
+
+
 def h9(spark, sf):
     r = search.rank(_stored_candidates(spark, sf), CV_QUERY, 20)
     return r.select("file_id", F.round("explain.tfidf", 6).alias("tfidf"), "explain.embed", F.round("explain.overlap", 6).alias("overlap"), "explain.skill_bonus", "explain.years", "explain.postcode", _join(F.col("explain.query_skills")).alias("query_skills"))
@@ -514,16 +552,27 @@ def o1(spark, sf):
 
 
 def o1_stream(spark, sf):
-    """Changes of orders as a stream, an order more than once, merged by micro-batches: the latest change of each wins."""
+    """Changes of orders as a stream of four batches; changes that come late are older, and an order may be in two sectors."""
     path, source = store.scratch(spark, "streamed"), store.scratch(spark, "changes")
     o = _orders(spark, sf).select(F.col("o_orderkey").alias("file_id"), F.col("o_orderstatus").alias("sector"), F.col("o_totalprice").alias("price"))
-    early, late = o.withColumn("synced_at", F.lit(1)), o.where("file_id % 3 = 0").withColumns({"synced_at": F.lit(2), "price": F.col("price") + 1})
-    early.unionByName(late).write.parquet(source)
-    changes = spark.readStream.schema("file_id bigint, sector string, price double, synced_at int").parquet(source)
+    at = lambda rows, when, more: rows.withColumns({"synced_at": F.lit(when), "price": F.col("price") + more})
+    batches = (at(o.where("file_id % 3 = 0"), 5, 1), at(o, 1, 0), at(o.where("file_id % 2 = 0"), 3, 2), at(o.where("file_id % 5 = 0").withColumn("sector", F.lit("Z")), 2, 3))
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(source)
+    changes = spark.readStream.schema("file_id bigint, sector string, price double, synced_at int").option("maxFilesPerTrigger", 1).parquet(source)
     upsert.start_upserts(changes, path, store.scratch(spark, "stream-checkpoint")).awaitTermination()
     return store.synced(spark, path).select("file_id", "sector", "price", "synced_at")
 
 
+def k2_index(spark, sf):
+    """Document frequencies of an index after a sync, one that replaces and adds candidates, and one that replaces a sector."""
+    path, rows = store.scratch(spark, "indexed"), _cv_rows(spark, sf)
+    store.sync(spark, path, rows.where("file_id % 2 = 0"), index=True)
+    store.sync(spark, path, rows.where("file_id % 3 = 0").withColumn("_search_text", F.concat("_search_text", F.lit(" forklift night shifts"))))
+    store.replace_sectors(spark, path, rows.where("sector = 'warehouse' AND file_id % 5 = 0"))
+    return index.TermIndex(spark, path).counts().where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
 def _docx(lines: list[str], rows: list[list[str]]) -> bytes:
     """A small word processing file of paragraphs and one table."""
     p = lambda s: f"<w:p><w:r><w:t>{escape(s)}</w:t></w:r></w:p>"
@@ -580,7 +629,7 @@ def s14(spark, sf):
     return spark.range(1).select(words).select("w", found.alias("c")).select("w", "c.*")
 
 
-ALL = (n1, n2, n3, n4, n5, n6, n7, n8, n9, n10, c1, c2, c2_embed, g1, g2, g3, g4, e1, e2, e3, e4, e5, p1, p2, p3, p4, p5, p6, l1, l2, l3, l4, l5, r1, r2, r3, r4, r5, r6, r7, a1, a2, a3, a4, q1, q2, q3, q4, q5, h1, h1_fast, h2, h3, h4, h5, h6, h7, h8, h8_full, h9, h10, h11, h12, h13, s1, s2, s3, s4, s5, s6, s7, s8, s9, s12, s13, s14, x1, x2, x3, x4, x5, x6, k1, k2, k3, o1, o1_stream)
+ALL = (n1, n2, n3, n4, n5, n6, n7, n8, n9, n10, c1, c2, c2_embed, g1, g2, g3, g4, e1, e2, e3, e4, e5, p1, p2, p3, p4, p5, p6, l1, l2, l3, l4, l5, r1, r2, r3, r4, r5, r6, r7, a1, a2, a3, a4, q1, q2, q3, q4, q5, h1, h1_fast, h1_index, h2, h3, h4, h5, h6, h7, h8, h8_full, h8_index, h9, h10, h10_index, h11, h12, h13, s1, s2, s3, s4, s5, s6, s7, s8, s9, s12, s13, s14, x1, x2, x3, x4, x5, x6, k1, k2, k2_index, k3, o1, o1_stream)
 
 
 def queries() -> dict:

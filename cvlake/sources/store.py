@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cvlake.config import CONFIG
+from cvlake.functions.terms import index_changes, merged_counts
+from cvlake.sources.commits import Commits
 
 #: Used only by a session in one process that names no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/cvlake-shared"
@@ -48,9 +51,9 @@ def upsert(existing: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     return existing.join(new.select(*key).distinct(), key, "left_anti").select(*new.columns).unionByName(new)
 
 
-def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+def latest(rows: DataFrame, key: str | list[str], *order: Column) -> DataFrame:
     """One row for each key: the last by order. For change logs in which a key occurs more than once."""
-    best = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_r"))
+    best = rows.groupBy(*([key] if isinstance(key, str) else key)).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_r"))
     return best.select("_r.*")
 
 
@@ -76,38 +79,94 @@ def load_candidates(spark: SparkSession, path: str, sectors: tuple[str, ...] = C
     return spark.read.parquet(path).where(F.col("sector").isin(*sectors))
 
 
-def _versions(spark: SparkSession, path: str) -> dict[str, tuple[str, int]]:
-    """Of each sector (a handful) the version that counts, and its turn."""
-    if not exists(spark, f"{path}/commits"):
-        return {}
-    rows = spark.read.schema("sector string, version string, turn bigint").parquet(f"{path}/commits")
-    return {r.sector: (r.v.version, r.v.turn) for r in rows.groupBy("sector").agg(F.max(F.struct("turn", "version")).alias("v")).collect()}
+def _versions(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """Number and content of the state that counts: of each sector the version of its rows, and the versions of the index."""
+    return Commits(spark, path).last()
 
 
-def synced(spark: SparkSession, path: str, sectors: list[str] | None = None) -> DataFrame | None:
-    """The state of a table that sync() keeps, or None before the first sync."""
-    out = None
-    for sector, (version, _) in sorted(_versions(spark, path).items(), key=str):
+def _rows(spark: SparkSession, path: str, state: dict, sectors: list[str] | None = None) -> DataFrame | None:
+    """Candidates of a state; one read for each version, each of which has whole sectors."""
+    by_version: dict[str, list] = {}
+    for sector, version in state.get("sectors", []):
         if sectors is None or sector in sectors:
-            part = spark.read.parquet(f"{path}/data/{version}").where(F.col("sector").eqNullSafe(sector))
-            out = part if out is None else out.unionByName(part)
+            by_version.setdefault(version, []).append(sector)
+    out = None
+    for version, mine in sorted(by_version.items()):
+        of = F.col("sector").isin(*[s for s in mine if s is not None])
+        part = spark.read.parquet(f"{path}/data/{version}").where(F.coalesce(of, F.lit(None in mine)))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def sync(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
-    """O1: upsert parsed candidates (sector, file_id, ...) into the table at path and give its new state.
+def synced(spark: SparkSession, path: str, sectors: list[str] | None = None) -> DataFrame | None:
+    """The state of a table that sync() keeps, or None before the first sync."""
+    return _rows(spark, path, _versions(spark, path)[1], sectors)
+
+
+def sync(spark: SparkSession, path: str, new: DataFrame, order: str | None = None, index: bool = False) -> DataFrame:
+    """O1, K2: upsert parsed candidates (sector, file_id, ...) into the table at path and give its new state.
 
     Rows with a non-null column error (files that could not be read) change nothing: what was known of such a file stays.
-    The sectors that new has are merged into a new version, which one small file then puts in the place of their last
-    one. A crash at any point leaves the earlier state, and a sync that is run again gives the same state.
+    A row replaces that of the same sector and file_id; with order (a column, such as a time), only if it isn't older, and
+    rows may come in any order and any number of calls: of equal ones the greater hash wins, so the result is the same.
+
+    What comes in is written once, its sectors are merged into a new version, and a numbered state puts that in the place of
+    their last ones. If another sync was faster, the sectors that it changed are merged again from its result, so overlapping
+    syncs keep the changes of both. A crash at any point leaves the earlier state, and a sync that is run again gives the
+    same state. index keeps term counts of _search_text up to date in the same state (see TermIndex); a table that has
+    them keeps them.
     """
     if "error" in new.columns:
         new = new.where(F.col("error").isNull()).drop("error")
-    mine = [r.sector for r in new.select("sector").distinct().collect()]
-    if mine:
-        turn, version = 1 + max([t for _, t in _versions(spark, path).values()], default=0), uuid.uuid4().hex
-        old = synced(spark, path, mine)
-        (new if old is None else upsert(old, new, "sector", "file_id")).write.partitionBy("sector").parquet(f"{path}/data/{version}")
-        spark.createDataFrame([(s, version, turn) for s in mine], "sector string, version string, turn bigint").coalesce(1).write.mode("append").parquet(f"{path}/commits")
-    state = synced(spark, path)
-    return new if state is None else state
+    return _commit(spark, path, new, lambda old, came: _merge(old, came, order), index)
+
+
+def replace_sectors(spark: SparkSession, path: str, candidates: DataFrame, index: bool = False) -> DataFrame:
+    """K1 by the same states as sync(): the sectors that candidates has are replaced as a whole, others stay."""
+    return _commit(spark, path, candidates, lambda old, came: came, index)
+
+
+KEY = ["sector", "file_id"]
+#: Versions of signed term counts that are kept apart at most.
+MOST_CHANGES = 16
+
+
+def _merge(old: DataFrame | None, came: DataFrame, order: str | None) -> DataFrame:
+    if order is None:
+        return came if old is None else upsert(old, came, *KEY)
+    rows = came if old is None else old.select(*came.columns).unionByName(came)
+    return latest(rows, KEY, F.col(order), F.xxhash64(*[F.to_json(F.struct(c)) for c in sorted(came.columns)]))
+
+
+def _commit(spark: SparkSession, path: str, new: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], index: bool) -> DataFrame:
+    came_in = uuid.uuid4().hex
+    came = written(new, f"{path}/incoming/{came_in}")
+    mine = [r.sector for r in came.select("sector").distinct().collect()]
+    done: dict = {}
+    while mine:
+        turn, state = _versions(spark, path)
+        before = {s: v for s, v in state.get("sectors", [])}
+        seen = [before.get(s) for s in mine]
+        if done.get("seen") != seen:  # of another sync that was faster, only one that changed these sectors matters
+            version = uuid.uuid4().hex
+            old = _rows(spark, path, state, mine)
+            merge(old, came).write.partitionBy("sector").parquet(f"{path}/data/{version}")
+            done = {"seen": seen, "version": version}
+            if index or "terms" in state:
+                index_changes(old, spark.read.parquet(f"{path}/data/{version}")).write.partitionBy("sector").parquet(f"{path}/terms/{version}")
+        after = {"sectors": [*[[s, v] for s, v in before.items() if s not in mine], *[[s, done["version"]] for s in mine]]}
+        if index or "terms" in state:
+            if before and "terms" not in state:
+                raise ValueError("a table gets an index by its first sync or by TermIndex.build")
+            terms = [*state.get("terms", []), done["version"]]
+            if len(terms) > MOST_CHANGES:  # one version in place of many, in the same state
+                version = uuid.uuid4().hex
+                merged_counts(spark, [f"{path}/terms/{v}" for v in terms]).write.partitionBy("sector").parquet(f"{path}/terms/{version}")
+                terms = [version]
+            after["terms"] = terms
+        log = Commits(spark, path)
+        if log.put(turn + 1, state | after):
+            log.drop(f"incoming/{came_in}")
+            break
+    out = synced(spark, path)
+    return came if out is None else out
