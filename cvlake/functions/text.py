@@ -57,9 +57,9 @@ def contains_any(c: Column, keys: tuple[str, ...]) -> Column:
 
 def first_by(rows: Column, key: Callable[[Column], Column]) -> Column:
     """The first row of each key, in order: sorted by key once, so long arrays take no more than n log n steps."""
-    tagged = F.array_sort(F.transform(rows, lambda r, i: F.struct(key(r).alias("key"), i.alias("i"))))
+    tagged = F.sort_array(F.transform(rows, lambda r, i: F.struct(key(r).alias("key"), i.alias("i"))))
     heads = let(tagged, lambda t: F.filter(t, lambda x, i: (i == 0) | (x["key"] != F.get(t, i - 1)["key"])))
-    places = F.array_sort(F.transform(heads, lambda x: x["i"]))
+    places = F.sort_array(F.transform(heads, lambda x: x["i"]))
     return let(F.struct(rows.alias("rows"), places.alias("places")), lambda s: F.transform(s["places"], lambda i: F.get(s["rows"], i)))
 
 

@@ -43,5 +43,7 @@ FROM p
 
 def cv_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, sector, filename, text) of invented résumés, one for each customer."""
-    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
+    # only keys are dealt out; texts are made where they land, so that one small file doesn't make one task of all parsing
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").repartition(spark.sparkContext.defaultParallelism)
+    keys.createOrReplaceTempView("customer")
     return spark.sql(CORPUS_SQL)

@@ -253,12 +253,12 @@ def r7(spark, sf):
 
 
 def a1(spark, sf):
-    return summary.keywords(_docs(spark, sf), "doc_id").select("doc_id", _join(F.col("keywords")).alias("keywords"))
+    return _docs(spark, sf).select("doc_id", _join(summary.keywords(F.col("text"))).alias("keywords"))
 
 
 def a2(spark, sf):
-    docs = _docs(spark, sf).select("doc_id", "text")
-    return docs.join(summary.keywords(docs, "doc_id"), "doc_id").select("doc_id", summary.summary(F.col("text"), F.col("keywords")).alias("summary"))
+    docs = _docs(spark, sf).select("doc_id", "text", summary.keywords(F.col("text")).alias("keywords"))
+    return docs.select("doc_id", summary.summary(F.col("text"), F.col("keywords")).alias("summary"))
 
 
 def _candidates(spark, sf):

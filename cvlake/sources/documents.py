@@ -79,7 +79,7 @@ def choose_ocr(text: Column, ocr_text: Column, config: Config = CONFIG) -> Colum
 
 def lines_from_words(words: Column) -> Column:
     """Lines of a page from array<struct<text, top, x0>>: a gap of over 2 below a line's first word opens a new line."""
-    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(F.round(w["top"], 1).alias("top"), w["x0"].alias("x0"), i.alias("i"), w["text"].alias("text"))))
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(F.round(w["top"], 1).alias("top"), w["x0"].alias("x0"), i.alias("i"), w["text"].alias("text"))))
     start = F.struct(F.lit(None).cast("double").alias("top"), F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("line"))
 
     def add(acc: Column, w: Column) -> Column:
@@ -96,7 +96,7 @@ def lines_from_words(words: Column) -> Column:
 
 def drop_repeated_lines(pages: Column, config: Config = CONFIG) -> Column:
     """array<array<string>> without short lines that most pages have; one page alone is left as it is."""
-    each = F.array_sort(F.flatten(F.transform(pages, lambda p: F.array_distinct(F.filter(p, lambda x: F.length(x) <= 80)))))
+    each = F.sort_array(F.flatten(F.transform(pages, lambda p: F.array_distinct(F.filter(p, lambda x: F.length(x) <= 80)))))
     most = F.greatest(F.lit(2), F.ceil(F.size(pages) * config.header_footer_share).cast("int"))
     # in sorted order, a line that is there so often equals the one so many places on
     common = let(each, lambda e: F.array_distinct(F.filter(e, lambda x, i: F.coalesce(F.get(e, i + most - 1) == x, F.lit(False)))))
