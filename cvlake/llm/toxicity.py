@@ -10,10 +10,13 @@ thousand times is no text. For the score, that average is joined by one over win
 windows has the mean of its sqrt(n) highest, so a few toxic stretches are not lost in a long text. The weights of the two
 are fitted to labels that the training did not see.
 
-Only fitting is bounded: by rows_per_class labels, chosen whatever the length of their texts; to most_words different
-words and most_windows windows of a text, drawn from all of it; and to words of at least LEAST_TEXTS of these texts and
-at most FIT_LETTERS letters. Every text is scored whole. Null and empty texts, and texts without a letter or digit, score
-the model's prior. Rows are scored one by one with no shuffle of texts; repeated rows have the same score.
+A text is cut at white space; a run of over RUN letters, as in languages without blanks, is cut on into pieces of PIECE letters.
+
+Only the number of rows to fit on is bounded: by rows_per_class labels, and of these by as many as have letters_per_class
+letters together, chosen by hash whatever the length of their texts (see fit_on). Their texts are learned from whole, as every
+text is scored whole; a word of less than LEAST_TEXTS of them is no feature of its own (other words have its n-grams), unless
+a text has no other words. The fit doesn't depend on the order of its rows. Null and empty texts, and texts without a letter or
+digit, score the model's prior. Rows are scored one by one with no shuffle of texts; repeated rows have the same score.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 
 from cvlake.llm.common import bounded_sample
 
-ROWS_PER_CLASS, MOST_WORDS, MOST_WINDOWS, WINDOW = 1200, 2_500, 8, 96
-LEAST_TEXTS, FIT_LETTERS, BUCKETS, DIM, ALPHA = 2, 256, 1 << 17, 8, 0.5
+ROWS_PER_CLASS, LETTERS_PER_CLASS, WINDOW, RUN, PIECE = 1200, 4_000_000, 96, 48, 16
+LEAST_TEXTS, BUCKETS, DIM, ALPHA, FOLDS = 2, 1 << 17, 8, 0.5, 3
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -72,34 +75,28 @@ def window_edges(n: int) -> np.ndarray:
     return np.arange(parts + 1) * n // parts
 
 
+def pieces(text: str) -> list[str]:
+    """The words of a text in lower case, with long runs cut."""
+    out: list[str] = []
+    for w in text.lower().split():
+        out += [w] if len(w) <= RUN else [w[i : i + PIECE] for i in range(0, len(w), PIECE)]
+    return out
+
+
 class Sample(NamedTuple):
     """What the fit takes from a text."""
 
     words: list[str]
     weights: np.ndarray
-    windows: list[str]
+    windows: list[list[str]]
 
 
-def drawn(text: str, most_words: int = MOST_WORDS, most_windows: int = MOST_WINDOWS) -> Sample:
-    """Words and windows of a text, or most of them drawn by hash from all of it; words of over FIT_LETTERS letters are left out."""
-    counts = Counter(w for w in text.lower().split() if len(w) <= FIT_LETTERS)
-    words, weights = list(counts), 1.0 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
-    if len(words) > most_words:
-        salt = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-        spot = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass"), salt) for w in words), np.uint64, len(words))
-        at = np.sort(np.argsort(spot, kind="stable")[:most_words])
-        words, weights = [words[i] for i in at], weights[at]
-    return Sample(words, weights, drawn_windows(text, most_windows))
-
-
-def drawn_windows(text: str, most: int) -> list[str]:
-    """The windows of a text, or most of them drawn from all of it; words of over FIT_LETTERS letters are left out."""
-    words = text.lower().split()
-    edges = window_edges(len(words))
-    at = np.arange(len(edges) - 1)
-    if len(at) > most:
-        at = np.sort(np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass"))).choice(at, most, replace=False))
-    return [" ".join(w for w in words[edges[i] : edges[i + 1]] if len(w) <= FIT_LETTERS) for i in at]
+def sample(text: str) -> Sample:
+    """The different words of a text with 1 + ln of their number, and its windows."""
+    words = pieces(text)
+    counts, edges = Counter(words), window_edges(len(words)).tolist()
+    weights = 1.0 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+    return Sample(list(counts), weights, [words[a:b] for a, b in zip(edges, edges[1:]) if b > a])
 
 
 def pooled(z: np.ndarray) -> float:
@@ -144,72 +141,96 @@ class _Sparse:
         return self._times(self.by_col, self.shape[1], x)
 
 
-def fit(texts: list[str], labels: list[int], base_rate: float | None = None, **how) -> ToxicityModel:
-    """Train on whole labelled texts."""
-    return fit_samples([drawn(t, len(t) + 1, len(t) + 1) for t in texts], labels, base_rate, **how)
-
+def fit(texts: list[str], labels: list[int], base_rate: float | None = None, rounds: int = 50, rate: float = 0.1, seed: int = 7, folds: int = FOLDS) -> ToxicityModel:
+    """Train on labelled texts (a bounded sample), in any order. base_rate: share of label 1 among all labelled rows.
 
-def fit_samples(texts: list[Sample], labels: list[int], base_rate: float | None = None, rounds: int = 50, rate: float = 0.1, seed: int = 7) -> ToxicityModel:
-    """Train on labelled texts (a bounded sample). base_rate: share of label 1 among all labelled rows."""
-    y = np.array(labels, np.float32)
+    Rows are put in an order of their own. Each of some folds, by a checksum of the text, is scored by a model of the others;
+    scales and bias are fitted to these scores of all rows. The model itself is then trained on all.
+    """
+    rows = sorted(zip(texts, labels), key=lambda r: (zlib.crc32(r[0].encode("utf-8", "surrogatepass")), r))
+    y = np.array([r[1] for r in rows], np.float32)
     if base_rate is None:
         base_rate = float(y.mean()) if len(y) else 0.5
     base_rate = min(max(base_rate, 1e-3), 1 - 1e-3)
-    if len(set(labels)) < 2:
-        prior = (1.0 if labels[0] else 0.0) if labels else base_rate
+    samples = [sample(t) for t, _ in rows]
+    training = _Training(samples, y, rounds, rate, seed) if 0 < y.sum() < len(y) else None
+    if training is None or not len(training.used):
+        prior = base_rate if training or not len(y) else float(y[0])
         return ToxicityModel(np.zeros(BUCKETS, np.float32), np.zeros(2), float(np.log(base_rate / (1 - base_rate))), min(max(prior, 1e-3), 1 - 1e-3))
-    vocabulary: dict[str, int] = {}
-    word = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in t.words), np.int32, len(t.words)) for t in texts]
-    count = np.concatenate([np.asarray(t.weights, np.float32) for t in texts])
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in word])
-    word = np.concatenate(word)
-    # a word of one text teaches nothing that carries over but by its n-grams, which other words have, too
-    often = np.bincount(word, minlength=len(vocabulary)) >= min(LEAST_TEXTS, len(texts))
-    owner, bucket = subwords([w if o else "" for w, o in zip(vocabulary, often)])
-    lengths = np.bincount(owner, minlength=len(vocabulary)).astype(np.float32)
-    total = np.maximum(np.bincount(doc, count * lengths[word], len(texts)), 1)
-    used, flat = np.unique(bucket, return_inverse=True)
-    of_docs = _Sparse(doc, word, count / total[doc], (len(texts), len(vocabulary)))
-    of_words = _Sparse(owner, flat.astype(np.int32), None, (len(vocabulary), len(used)))
-    del owner, bucket, flat
-    rng = np.random.default_rng(seed)
-    check = rng.random(len(texts)) < 0.25  # not trained on: gives the weights of the averages
-    if len(set(y[check])) < 2 or len(set(y[~check])) < 2:
-        check = np.zeros(len(texts), bool)
-    weight = np.where(y == 1, 0.5 / max(1, (y[~check] == 1).sum()), 0.5 / max(1, (y[~check] == 0).sum())) * ~check
-    table = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
-    out = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
-    bias = np.zeros((1, 2), np.float32)
-    # a subword's step is the larger the less of the average it makes up, else "the" would outweigh all rare words
-    usage = of_words.t_dot(of_docs.t_dot(np.full((len(texts), 1), 1 / len(texts), np.float32)))
-    pace = ((usage + usage.mean()) / usage.mean()) ** -ALPHA
-    moments = [np.zeros_like(p) for p in (table, out, bias)]
-    target = np.stack([1 - y, y], 1)
-    for step in range(1, rounds + 1):
-        hidden = of_docs.dot(of_words.dot(table))
-        z = hidden @ out + bias
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        dz = ((p - target) * weight[:, None]).astype(np.float32)
-        grads = of_words.t_dot(of_docs.t_dot(dz @ out.T)), hidden.T @ dz, dz.sum(0, keepdims=True)
-        for param, grad, m, r in zip((table, out, bias), grads, moments, (rate * pace, rate, rate)):
-            m += 0.2 * (grad - m)
-            param -= r * m / (float(np.sqrt(np.square(m).mean())) + 1e-12) * (1 - step / (rounds + 1))
-    line = np.zeros(BUCKETS, np.float32)
-    line[used] = table @ (out[:, 1] - out[:, 0])
-    scorer = Scorer(ToxicityModel(line, np.zeros(2), 0.0, base_rate))
-    on = [i for i in np.flatnonzero(check if check.any() else ~check) if texts[i].words]
-    z = []
-    for i in on:
-        windows = [w.split() for w in texts[i].windows]
-        scorer.learn(list(set(texts[i].words).union(*windows).difference(scorer.spot)))
-        whole, size = scorer.sums(texts[i].words, texts[i].weights)
-        means = [a / n for a, n in (scorer.sums(w, np.ones(len(w))) for w in windows) if n]
-        z.append((whole / max(size, 1), pooled(np.array(means)) if means else 0.0))
-    scale, shift = _calibrate(np.array(z).reshape(-1, 2), y[on], base_rate)
+    fold = np.array([zlib.crc32(r[0].encode("utf-8", "surrogatepass"), 1) % folds for r in rows])
+    z = np.full((len(rows), 2), np.nan)
+    for f in range(folds):
+        out = fold == f
+        if len(set(y[out])) == 2 and len(set(y[~out])) == 2:
+            z[out] = training.averages(training.line(~out), out)
+    line = training.line(np.ones(len(rows), bool))
+    if np.isnan(z).all():  # too few rows for folds
+        z = training.averages(line, np.ones(len(rows), bool))
+    on = ~np.isnan(z).any(1)
+    scale, shift = _calibrate(z[on], y[on], base_rate)
     return ToxicityModel(line, scale, shift, base_rate)
 
 
+class _Training:
+    """Labelled samples as sparse matrices, to train on any part of them."""
+
+    def __init__(self, texts: list[Sample], y: np.ndarray, rounds: int, rate: float, seed: int):
+        self.texts, self.y, self.rounds, self.rate, self.seed = texts, y, rounds, rate, seed
+        vocabulary: dict[str, int] = {}
+        word = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in t.words), np.int32, len(t.words)) for t in texts]
+        count = np.concatenate([np.asarray(t.weights, np.float32) for t in texts])
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in word])
+        word = np.concatenate(word)
+        often = np.bincount(word, minlength=len(vocabulary)) >= LEAST_TEXTS
+        often[word[np.isin(doc, doc[often[word]], invert=True)]] = True
+        owner, bucket = subwords([w if o else "" for w, o in zip(vocabulary, often)])
+        lengths = np.bincount(owner, minlength=len(vocabulary)).astype(np.float32)
+        total = np.maximum(np.bincount(doc, count * lengths[word], len(texts)), 1)
+        self.used, flat = np.unique(bucket, return_inverse=True)
+        del bucket
+        self.of_docs = _Sparse(doc, word, count / total[doc], (len(texts), len(vocabulary)))
+        self.of_words = _Sparse(owner, flat.astype(np.int32), None, (len(vocabulary), len(self.used)))
+        # a subword's step is the larger the less of the average it makes up, else "the" would outweigh all rare words
+        usage = self.of_words.t_dot(self.of_docs.t_dot(np.full((len(texts), 1), 1 / len(texts), np.float32)))
+        self.pace = ((usage + usage.mean()) / max(usage.mean(), 1e-12)) ** -ALPHA
+
+    def line(self, on: np.ndarray) -> np.ndarray:
+        """The weight of each bucket, by gradient steps on the rows of on."""
+        y, rng = self.y, np.random.default_rng(self.seed)
+        weight = np.where(y == 1, 0.5 / max(1, (y[on] == 1).sum()), 0.5 / max(1, (y[on] == 0).sum())) * on
+        table = rng.normal(0, 0.01, (len(self.used), DIM)).astype(np.float32)
+        out = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
+        bias = np.zeros((1, 2), np.float32)
+        moments = [np.zeros_like(p) for p in (table, out, bias)]
+        target = np.stack([1 - y, y], 1)
+        for step in range(1, self.rounds + 1):
+            hidden = self.of_docs.dot(self.of_words.dot(table))
+            z = hidden @ out + bias
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            dz = ((p - target) * weight[:, None]).astype(np.float32)
+            grads = self.of_words.t_dot(self.of_docs.t_dot(dz @ out.T)), hidden.T @ dz, dz.sum(0, keepdims=True)
+            for param, grad, m, r in zip((table, out, bias), grads, moments, (self.rate * self.pace, self.rate, self.rate)):
+                m += 0.2 * (grad - m)
+                param -= r * m / (float(np.sqrt(np.square(m).mean())) + 1e-12) * (1 - step / (self.rounds + 1))
+        line = np.zeros(BUCKETS, np.float32)
+        line[self.used] = table @ (out[:, 1] - out[:, 0])
+        return line
+
+    def averages(self, line: np.ndarray, on: np.ndarray) -> np.ndarray:
+        """The averages over the text and over its windows, of the rows of on; those of a text without subwords are not a number."""
+        scorer, z = Scorer(ToxicityModel(line, np.zeros(2), 0.0, 0.5)), []
+        for i in np.flatnonzero(on):
+            text = self.texts[i]
+            if scorer.letters > scorer.most_letters:
+                scorer.clear()
+            scorer.learn([w for w in text.words if w not in scorer.spot])
+            whole, size = scorer.sums(text.words, text.weights)
+            means = [a / n for a, n in (scorer.sums(w, np.ones(len(w))) for w in text.windows) if n]
+            z.append((whole / size, pooled(np.array(means))) if means else (np.nan, np.nan))
+        return np.array(z).reshape(-1, 2)
+
+
 def _calibrate(z: np.ndarray, y: np.ndarray, base_rate: float) -> tuple[np.ndarray, float]:
     """Scales and bias of a logistic of the columns of z, with classes weighted as among all labelled rows."""
     w = np.where(y == 1, base_rate / max(1, (y == 1).sum()), (1 - base_rate) / max(1, (y == 0).sum()))
@@ -220,8 +241,16 @@ def _calibrate(z: np.ndarray, y: np.ndarray, base_rate: float) -> tuple[np.ndarr
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         hess = (x * (w * p * (1 - p))[:, None]).T @ x + ridge
         beta += np.linalg.solve(hess, x.T @ (w * (y - p)) - 1e-3 * np.r_[beta[:-1], 0])
+    # the score to part these rows at, which is to be 0.5: the best by precision and recall, precision (clean texts stay) counting double
+    line = x @ beta
+    order = np.argsort(-line, kind="stable")
+    hit, miss = np.cumsum((w * (y == 1))[order]), np.cumsum((w * (y == 0))[order])
+    f = 1.25 * hit / (hit + miss + 0.25 * (w * (y == 1)).sum())
+    f[:-1][line[order][:-1] == line[order][1:]] = 0  # not between equal scores
+    k = int(f.argmax())
+    cut = (line[order][k] + line[order][min(k + 1, len(line) - 1)]) / 2
     scale = beta[:-1] / spread
-    return scale, float(beta[-1] - scale @ z.mean(0))
+    return scale, float(beta[-1] - scale @ z.mean(0) - cut)
 
 
 class Scorer:
@@ -253,7 +282,7 @@ class Scorer:
     def scores(self, texts: list[str]) -> list[float]:
         if self.letters > self.most_letters:
             self.clear()
-        lists = [t.lower().split() for t in texts]
+        lists = [pieces(t) for t in texts]
         self.learn(list(set().union(*lists).difference(self.spot)))
         out, m = [], self.model
         for words in lists:
@@ -272,26 +301,26 @@ class Scorer:
         return out
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> ToxicityModel:
+def fit_on(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, letters_per_class: int = LETTERS_PER_CLASS) -> ToxicityModel:
     """Fit on documents (doc_id, text) of a bounded sample of labels (doc_id, toxic); other labels than 0 and 1 are left out.
 
-    The sample is taken from the labels alone; at most 4 * rows_per_class ids are then broadcast to find their texts, and
-    of each text its sample of words comes back. Of an id with many texts, those that come first by hash are used.
+    The sample is taken from the labels alone; at most 4 * rows_per_class ids are then broadcast to find their texts. Of these,
+    in an order by hash, each label has as many as letters_per_class letters hold (the last may go over), and of an id
+    with many texts those that come first. Lengths come to the driver first, then the texts of the rows chosen, as Arrow.
     """
-
-    @F.arrow_udf("struct<words:string,weights:array<float>,windows:array<string>>")
-    def sample(texts: pa.Array) -> pa.Array:
-        rows = [drawn(t) for t in texts.to_pylist()]
-        parts = [pa.array([" ".join(r.words) for r in rows], pa.string()), pa.array([r.weights for r in rows], pa.list_(pa.float32())), pa.array([r.windows for r in rows], pa.list_(pa.string()))]
-        return pa.StructArray.from_arrays(parts, ["words", "weights", "windows"])
-
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     chosen = bounded_sample(usable, "doc_id", "toxic", rows_per_class)
-    texts = docs.where(F.length("text") >= 1).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    texts = texts.select("doc_id", "toxic", F.xxhash64("text").alias("spot"), sample(F.col("text")).alias("s"))
-    rows = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "spot", "toxic").limit(8 * rows_per_class).collect()
+    texts = docs.where(F.length("text") >= 1).select("doc_id", "text", F.xxhash64("text").alias("spot")).join(F.broadcast(chosen), "doc_id")
+    spots = texts.select("doc_id", "toxic", "spot", F.length("text").alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "spot", "toxic").limit(8 * rows_per_class).toArrow()
+    taken, letters = [], {0: 0, 1: 0}
+    for r in spots.to_pylist():
+        if letters[r["toxic"]] < letters_per_class:
+            letters[r["toxic"]] += r["n"]
+            taken.append((r["doc_id"], r["spot"], r["toxic"]))
+    few = docs.sparkSession.createDataFrame(sorted(set(taken)), "doc_id bigint, spot bigint, toxic int") if taken else None
+    rows = texts.join(F.broadcast(few), ["doc_id", "spot", "toxic"]).select("text", "toxic").toArrow().to_pylist() if taken else []
     share = usable.agg(F.avg("toxic")).first()[0]
-    return fit_samples([Sample(r.s.words.split(), np.array(r.s.weights), r.s.windows) for r in rows], [r.toxic for r in rows], share)
+    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], share)
 
 
 def toxic_score(text: Column, model: ToxicityModel, spark, batch: int = 64) -> Column:

@@ -144,17 +144,19 @@ def _toxic_figures(spark, sf):
 
 
 def test_toxicity_on_held_out_labels(spark, sf_dir):
-    """At sf0.1, with some 350 toxic rows to learn from; long texts are found no worse than short ones."""
+    """The query at sf0.1, with some 350 toxic rows to learn from; long texts are found no worse than short ones."""
     toxic, clean = _toxic_figures(spark, sf_dir.replace("sf0.001", "sf0.1"))
     auc = lambda a, b: (a[:, None, 0] > b[None, :, 0]).mean()
-    assert auc(toxic, clean) >= 0.93 and (clean[:, 0] >= 0.5).mean() <= 0.03
-    assert (toxic[:, 0] >= 0.5).mean() >= 0.8 and (toxic[toxic[:, 1] > 6_000][:, 0] >= 0.5).mean() >= 0.72
+    found, flagged = (toxic[:, 0] >= 0.5).sum(), (clean[:, 0] >= 0.5).sum()
+    assert auc(toxic, clean) >= 0.93 and flagged <= 0.03 * len(clean)
+    assert found >= 0.85 * len(toxic) and found >= 0.8 * (found + flagged) and (toxic[toxic[:, 1] > 6_000][:, 0] >= 0.5).mean() >= 0.8
 
 
 def test_toxicity_with_few_labels(spark, sf_dir):
-    """At sf0.01, with some 39 toxic rows to learn from: far better than chance."""
+    """The query at sf0.01, with some 45 toxic rows to learn from."""
     toxic, clean = _toxic_figures(spark, sf_dir.replace("sf0.001", "sf0.01"))
-    assert (toxic[:, None, 0] > clean[None, :, 0]).mean() >= 0.75
+    assert (toxic[:, None, 0] > clean[None, :, 0]).mean() >= 0.85
+    assert (toxic[:, 0] >= 0.5).mean() >= 0.5 and (clean[:, 0] >= 0.5).mean() <= 0.1
 
 
 def test_toxicity_hard_cases(spark):
@@ -194,11 +196,29 @@ def test_toxicity_learns_from_long_texts(spark):
     assert min(map(len, texts.values())) > 6_000
     scorer = toxicity.Scorer(toxicity.fit_on(docs_of(spark, texts.items()), labels))
     assert [s >= 0.5 for s in scorer.scores(list(texts.values()))] == [i % 2 == 1 for i in texts]
-    part = toxicity.drawn(" ".join(f"w{i:05d} w{i:05d}" for i in range(20_000)), 1_000, 40)
-    for places, n in ((part.words, 1_000), ([w.split()[0] for w in part.windows], 40)):
-        tenths = np.bincount([int(w[1:]) // 2_000 for w in places], minlength=10)
-        assert len(places) == n and (tenths > 0).sum() >= 8
-    assert set(part.weights) == {1 + np.log(2)}
+    part = toxicity.sample(" ".join(f"w{i:05d} w{i:05d}" for i in range(20_000)))
+    assert len(part.words) == 20_000 and sum(part.windows, [])[::2] == part.words and set(part.weights) == {1 + np.log(2)}
+    assert toxicity.pieces("A" * 100 + " b") == ["a" * 16] * 6 + ["a" * 4, "b"]
+
+
+def test_toxicity_of_texts_without_blanks(spark):
+    """Labelled texts of one long run each teach as others do, and nothing is not a number."""
+    rng = np.random.default_rng(2)
+    letters = [chr(0x4E00 + i) for i in range(300)]
+    said = lambda i, bad: "".join(rng.choice(letters, 150 + i)) + ("凶惡語" if bad else "平安日") * 6 + "".join(rng.choice(letters, 150))
+    texts = {i: said(i, i % 2) for i in range(120)}
+    model = toxicity.fit_on(docs_of(spark, texts.items()), spark.createDataFrame([(i, i % 2) for i in texts], "doc_id bigint, toxic int"))
+    assert all(np.isfinite(x).all() for x in model)
+    new = [said(i, i % 2) for i in range(40)]
+    assert [s >= 0.5 for s in toxicity.Scorer(model).scores(new)] == [i % 2 == 1 for i in range(40)]
+
+
+def test_toxicity_fit_has_no_order():
+    rows = [(f"word{i % 7} of {i} " + ("vile idiot" if i % 3 == 0 else "calm day"), int(i % 3 == 0)) for i in range(60)]
+    first = toxicity.fit(*zip(*rows))
+    for seed in range(3):
+        mixed = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
+        assert all(np.array_equal(a, b) for a, b in zip(first, toxicity.fit(*zip(*mixed))))
 
 
 # 3: BPE
