@@ -52,7 +52,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH kept AS (
   SELECT *, CASE WHEN lang <> 'en' THEN 'pieces-2' ELSE 'words-1' END AS version
-  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL))
+  FROM documents WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL))
 SELECT source, lang, version, CAST(count(*) AS BIGINT) AS docs,
   CAST(sum(CASE WHEN version = 'words-1' THEN len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+'))
       ELSE len(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ɏ]+|[0-9]+|[^A-Za-zÀ-ɏ0-9 \t\n\r]')) END) AS BIGINT) AS tokens,

@@ -56,7 +56,7 @@ class TokenRollup:
     def counted(self, docs: DataFrame, version: str, sign: int = 1) -> DataFrame:
         """Signed ledger rows of documents (doc_id, text, source, lang)."""
         text = F.coalesce(F.col("text"), F.lit(""))
-        return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "lang", F.lit(version).alias("version"), F.lit(sign).cast("bigint").alias("docs"), (sign * self.tokenizers[version](text)).cast("bigint").alias("tokens"), (sign * F.length(text)).cast("bigint").alias("chars"))
+        return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "lang", F.lit(version).alias("version"), F.lit(sign).cast("bigint").alias("docs"), (sign * self.tokenizers[version](text)).cast("bigint").alias("tokens"), (sign * F.length(text)).cast("bigint").alias("chars"))
 
     def ledger(self) -> DataFrame:
         return self.log.read("ledger", LEDGER)
