@@ -145,14 +145,14 @@ def scan_versions(versions: DataFrame, ledger: str, batch: str, path: str = "pat
 def redacted(files: DataFrame, ledger: str, batch: str, path: str = "path", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """files with every secret in text replaced by its kind in brackets; other columns, and null texts, as they were.
 
-    The findings of scan_blobs() are broadcast if they are surely small. Beyond that each text is scanned where it lies,
-    which gives the same spans and shuffles nothing.
+    The findings of scan_blobs() are joined back by blob at every size, so each pair of blob and rule is scanned once. They are
+    broadcast if they are surely small; else texts go through a shuffle by blob, whose partitions adaptive execution splits
+    where a blob is that of very many rows (a blob has one row of findings).
     """
     found = scan_blobs(files, ledger, batch, path, text, rules)
-    if not is_small(found.select(F.explode("spans"))):
-        return files.withColumn(text, redact(F.col(text), spans_of(F.col(text), rules)))
     blob, spans = fresh(files, "_blob"), fresh(files, "_spans")
-    cut = files.withColumn(blob, blob_name(F.col(text))).join(F.broadcast(found.toDF(blob, spans)), blob, "left")
+    found = F.broadcast(found.toDF(blob, spans)) if is_small(found.select(F.explode("spans"))) else found.toDF(blob, spans)
+    cut = files.withColumn(blob, blob_name(F.col(text))).join(found, blob, "left")
     return cut.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(redact(F.col(text), F.col(spans)))).select(*[f"`{c}`" for c in files.columns])
 
 
