@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cvlake.llm.common import stored
+from cvlake.llm.common import is_small, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS, STEP, TOLERANCE = 4, 20, 8, 1e-5
@@ -327,9 +327,11 @@ def row_classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD,
     members = members.repartition("cell").sortWithinPartitions("cell", "key")
     left = stored(members.mapInPandas(_survivors, "cell bigint, key binary, doc_id bigint, spot bigint, size bigint, place int, partners array<int>"), "survivors")
 
-    # a row of each id and text; copies go before the shuffle
+    # only texts of what pruning left, a row of each id and text; copies go before the shuffle
+    names = left.select("doc_id", "spot").distinct()
+    names = F.broadcast(names) if is_small(names) else names
     once = Window.partitionBy("doc_id", "spot").orderBy(F.length("text"))
-    texts = rows.withColumn("spot", F.xxhash64("text")).withColumn("turn", F.row_number().over(once)).where("turn = 1").drop("turn")
+    texts = rows.withColumn("spot", F.xxhash64("text")).join(names, ["doc_id", "spot"], "left_semi").withColumn("turn", F.row_number().over(once)).where("turn = 1").drop("turn")
     with_text = left.hint("merge").join(texts, ["doc_id", "spot"]).repartition("cell").sortWithinPartitions("cell", "place")
     links = stored(with_text.mapInPandas(_verifier(n, threshold), "key binary, links bigint, root binary"), "links")
 
