@@ -284,6 +284,19 @@ def test_rollup_is_idempotent_and_reversible(spark):
     assert rollup.insert("5", docs.limit(0), "words-1") and rollup.totals().count() == 0
 
 
+def test_rollup_without_ids(spark):
+    """Rows without an id are counted by no change, so nothing is left when all is taken back."""
+    rollup = token_rollup.TokenRollup(spark, shared_path(spark, "rollup"))
+    docs = docs_of(spark, [(1, "a b"), (None, "c d e"), (None, None)])
+    totals = lambda: {r.version: (r.docs, r.tokens) for r in rollup.totals().collect()}
+    rollup.insert("1", docs, "words-1")
+    assert totals() == {"words-1": (1, 2)}
+    rollup.revise("2", docs, "pieces-2", without=docs.where("doc_id IS NULL"))
+    assert totals() == {"pieces-2": (1, 2)}
+    rollup.delete("3", docs)
+    assert totals() == {}
+
+
 class Crash(Exception):
     pass
 
@@ -404,7 +417,10 @@ def test_ledger_after_a_crash(spark, monkeypatch):
 def test_redacted_files(spark, monkeypatch, room):
     monkeypatch.setattr(secrets, "is_small", lambda df: df.limit(room + 1).count() <= room)
     rows = docs_of(spark, [(1, SECRET_TEXTS[0]), (1, SECRET_TEXTS[0]), (2, None), (3, ""), (None, "key 0123456789abcdef")]).withColumns({"_blob": F.lit("a"), "_spans": F.lit("b"), "spans": F.lit("c"), "a.b": F.lit("d")})
-    out = secrets.redacted(rows, secrets.new_ledger(spark), "1", "doc_id")
+    ledger, scans, scan = secrets.new_ledger(spark), [], secrets.spans_of
+    monkeypatch.setattr(secrets, "spans_of", lambda *a: scans.append(a) or scan(*a))
+    out = secrets.redacted(rows, ledger, "1", "doc_id")
+    assert len(scans) == 1 and len({b for b, _ in _scans(spark, ledger, "1")}) == 3  # the ledger's scan is the only one
     assert out.columns == rows.columns and {(r._blob, r._spans, r.spans, r["a.b"]) for r in out.collect()} == {("a", "b", "c", "d")}
     cut = "[assign]' api_key=short [assign]"
     assert sorted(map(str, [(r.doc_id, r.text) for r in out.collect()])) == sorted(map(str, [(1, cut), (1, cut), (2, None), (3, ""), (None, "key [hex]")]))
