@@ -6,7 +6,7 @@ import public_tokenizers
 from cvlake.llm import bpe, decontam, ngram_join, secrets
 from cvlake.llm import queries as q
 from cvlake.llm import toxicity
-from cvlake.llm.common import fresh, shared_path, table
+from cvlake.llm.common import fresh, is_small, shared_path, stored, table
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +29,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     group = F.coalesce("root", F.encode(F.col("spot").cast("string"), "UTF-8"))
     least = rows.where(F.col("class_id") == F.col("doc_id")).groupBy(group.alias("group"), "doc_id").agg(F.min("spot").alias("spot"))
     stay = least.select("doc_id", F.col("spot").alias(spot)).distinct()
-    # copies of a row go before the shuffle: the window keeps one on the map side
+    # names decide, so texts are only joined with them: those that go, and those of rows that are there more than once
+    names = rows.groupBy("doc_id", F.col("spot").alias(spot)).agg(F.count(F.lit(1)).alias("n")).join(stay.withColumn("stays", F.lit(True)), ["doc_id", spot], "left")
+    noted = stored(names.where(F.col("stays").isNull() | (F.col("n") > 1)), "noted")
+    noted = noted.select(F.col("doc_id"), F.col(spot), F.col("stays").isNotNull().alias(turn))
+    noted = F.broadcast(noted) if is_small(noted) else noted
+    told = docs.withColumn(spot, F.xxhash64("text")).join(noted, ["doc_id", spot], "left")
     once = Window.partitionBy("doc_id", spot).orderBy(F.length("text"))
-    known = docs.where(F.col("doc_id").isNotNull()).withColumn(spot, F.xxhash64("text")).withColumn(turn, F.row_number().over(once)).where(F.col(turn) == 1)
-    kept = known.join(stay, ["doc_id", spot], "left_semi")
+    repeated = told.where(F.col(turn)).withColumn(turn, F.row_number().over(once)).where(F.col(turn) == 1)
     names = [f"`{c}`" for c in docs.columns]
-    return kept.select(*names).unionByName(docs.where(F.col("doc_id").isNull()).select(*names))
+    return told.where(F.col(turn).isNull()).select(*names).unionByName(repeated.select(*names))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
