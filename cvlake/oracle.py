@@ -207,6 +207,9 @@ def oracle_sql() -> dict[str, str]:
           ab(ord, key, name) AS (VALUES {_rows((200 + i, k, v[0]) for i, (k, v) in enumerate(c.SKILL_ABBREVIATIONS.items()))}),
           h AS (SELECT doc_id, ord, d.text || ':' || name || ':' || conf || ':' || method AS x FROM cv JOIN dict d ON contains(lower(cv.text), d.key) UNION ALL SELECT doc_id, ord, key || ':' || name || ':0.75:abbrev' FROM cv JOIN ab ON regexp_matches(cv.text, '(?i)\\b' || key || '\\b'))
           SELECT cv.doc_id, coalesce(string_agg(x, '|' ORDER BY ord), '') AS hits FROM cv LEFT JOIN h ON h.doc_id = cv.doc_id GROUP BY cv.doc_id""",
+        "l4_table": """WITH k AS (SELECT DISTINCT unnest([lower(p_type), lower(p_brand || ' ' || p_size), lower(p_name)]) AS key FROM part),
+          t AS (SELECT p_partkey AS doc_id, lower('We sell ' || upper(p_name) || ' of ' || p_type || ' in ' || p_brand || ' ' || p_size || ' today') AS text FROM part)
+          SELECT doc_id, count(*) AS n, string_agg(upper(key), '|' ORDER BY upper(key)) AS hits FROM t JOIN k ON contains(text, key) GROUP BY doc_id""",
         "l5": f"""WITH {CV_LINES}, u AS (SELECT DISTINCT line FROM ln WHERE line <> ''), t AS (SELECT line,
             list_filter(list_transform(string_split_regex(line, '[;,/|]+'), lambda x: trim(x)), lambda x: x <> '' AND lower(x) NOT IN ('skills', 'technical skills')) AS a,
             list_filter(list_transform(string_split_regex(line, '\\s*,\\s*'), lambda x: trim(x)), lambda x: x <> '') AS b,
@@ -262,6 +265,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT e.id, w.prefix || e.name || '/', w.depth + 1, list_append(w.seen, e.id) FROM walk w JOIN edges e ON e.parent_id = w.id AND e.is_folder AND NOT list_contains(w.seen, e.id)),
           fol AS (SELECT id, arg_min(prefix, (depth, prefix)) AS prefix FROM walk GROUP BY id)
           SELECT e.id, e.name, f.prefix || e.name AS virtual_path FROM edges e JOIN fol f ON f.id = e.parent_id WHERE NOT e.is_folder AND regexp_matches(lower(e.name), '^(resume|cv)([-_ ].*)?\\.(pdf|docx)$')""",
+        "s7_paged": f"""WITH RECURSIVE {EDGES}, walk AS (SELECT 'root' AS id, '' AS prefix, 0 AS depth, ['root'] AS seen UNION ALL
+            SELECT e.id, w.prefix || e.name || '/', w.depth + 1, list_append(w.seen, e.id) FROM walk w JOIN edges e ON e.parent_id = w.id AND e.is_folder AND NOT list_contains(w.seen, e.id)),
+          fol AS (SELECT id, arg_min(prefix, (depth, prefix)) AS prefix FROM walk GROUP BY id)
+          SELECT e.id, e.name, f.prefix || e.name AS virtual_path FROM edges e JOIN fol f ON f.id = e.parent_id WHERE NOT e.is_folder AND regexp_matches(lower(e.name), '^(resume|cv)([-_ ].*)?\\.(pdf|docx)$')""",
         "s8": "SELECT item_id || chr(9) || replace(text, chr(10), ' ') AS line FROM benchmark",
         "s9": f"WITH {EDGES} SELECT id, 'https://store.example/file/' || id AS url FROM edges WHERE NOT is_folder",
         "s13": f"WITH {CV} SELECT doc_id, sector, filename AS file_name FROM cv WHERE sector IN ('security', 'hospitality')",

@@ -9,17 +9,17 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cvlake.config import CANONICAL_SKILLS
 from cvlake.functions import text as t
 from cvlake.operators import catalogue as cat
-from cvlake.operators import contact, experience, names, segment, skills, summary
+from cvlake.operators import automaton, contact, experience, names, segment, skills, summary
 from cvlake.plans import index, parse, search
 from cvlake.plans.corpus import cv_corpus
 from cvlake.sources import documents as d
-from cvlake.sources import listing, store
+from cvlake.sources import listing, paged, store
 from cvlake.streaming import upsert
 
 #: The queries of the search box that results are shown for.
@@ -212,6 +212,15 @@ def l4(spark, sf):
     return cv_corpus(spark, sf).select("doc_id", _join(F.transform(hits, lambda m: F.concat_ws(":", m["text"], m["canonical"], m["confidence"].cast("string"), m["method"]))).alias("hits"))
 
 
+def l4_table(spark, sf):
+    """Parts' names and types as a catalogue of many entries, in texts made of suppliers and parts; one pass over each text."""
+    part = _part(spark, sf)
+    word = part.select(F.explode(F.array(F.lower("p_type"), F.lower(F.concat_ws(" ", "p_brand", "p_size")), F.lower("p_name"))).alias("key")).distinct()
+    entries = word.select(F.row_number().over(Window.orderBy("key")).alias("ord"), "key", F.col("key").alias("text"), F.upper("key").alias("canonical"), F.lit(0.82).alias("confidence"), F.lit("dictionary").alias("method"))
+    docs = part.select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", F.lit("We sell"), F.upper("p_name"), F.lit("of"), "p_type", F.lit("in"), "p_brand", "p_size", F.lit("today")).alias("text"))
+    return automaton.dictionary_matches(docs, entries).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("canonical")), "|").alias("hits"))
+
+
 def l5(spark, sf):
     lines = _lines(cv_corpus(spark, sf)).where("line <> ''").select("line").distinct()
     return lines.select("line", _join(skills.skill_parts(F.col("line")), "~").alias("parts"))
@@ -473,6 +482,19 @@ def s6(spark, sf):
     return listing.page_items(pages).select("page", F.size("items").alias("n_items"), "has_more")
 
 
+def s7_paged(spark, sf):
+    """The same listing from pages in shared storage: five items a page, read by the paged source until a page says that no more follow."""
+    edges = _edges(spark, sf).withColumn("at", F.row_number().over(Window.partitionBy("parent_id").orderBy("id", "name")) - 1)
+    item = F.struct("at", F.struct(F.col("id"), F.when(F.col("is_folder"), "folders").otherwise("files").alias("type"), F.struct("name", "is_folder").alias("attributes")).alias("item"))
+    pages = edges.groupBy(F.col("parent_id").alias("folder"), (F.floor(F.col("at") / 5) * 5).alias("offset")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    full = F.when(F.size("items") == 5, F.struct(F.lit("next").alias("next")))
+    body = F.to_json(F.struct(F.col("items.item").alias("data"), full.alias("links")))
+    ends = pages.groupBy("folder").agg(F.sum(F.size("items")).alias("offset")).where("offset % 5 = 0").select("folder", "offset", F.lit('{"data": []}').alias("body"))
+    path = store.scratch(spark, "pages")
+    pages.select("folder", "offset", body.alias("body")).unionByName(ends).repartition("folder", "offset").write.partitionBy("folder", "offset").text(path)
+    return listing.within_limit(listing.list_resumes(paged.listed_edges(spark, path, limit=5).where("error IS NULL"), "root"))
+
+
 def s7(spark, sf):
     return listing.within_limit(listing.list_resumes(_edges(spark, sf), "root"))
 
@@ -629,7 +651,7 @@ def s14(spark, sf):
     return spark.range(1).select(words).select("w", found.alias("c")).select("w", "c.*")
 
 
-ALL = (n1, n2, n3, n4, n5, n6, n7, n8, n9, n10, c1, c2, c2_embed, g1, g2, g3, g4, e1, e2, e3, e4, e5, p1, p2, p3, p4, p5, p6, l1, l2, l3, l4, l5, r1, r2, r3, r4, r5, r6, r7, a1, a2, a3, a4, q1, q2, q3, q4, q5, h1, h1_fast, h1_index, h2, h3, h4, h5, h6, h7, h8, h8_full, h8_index, h9, h10, h10_index, h11, h12, h13, s1, s2, s3, s4, s5, s6, s7, s8, s9, s12, s13, s14, x1, x2, x3, x4, x5, x6, k1, k2, k2_index, k3, o1, o1_stream)
+ALL = (n1, n2, n3, n4, n5, n6, n7, n8, n9, n10, c1, c2, c2_embed, g1, g2, g3, g4, e1, e2, e3, e4, e5, p1, p2, p3, p4, p5, p6, l1, l2, l3, l4, l4_table, l5, r1, r2, r3, r4, r5, r6, r7, a1, a2, a3, a4, q1, q2, q3, q4, q5, h1, h1_fast, h1_index, h2, h3, h4, h5, h6, h7, h8, h8_full, h8_index, h9, h10, h10_index, h11, h12, h13, s1, s2, s3, s4, s5, s6, s7, s7_paged, s8, s9, s12, s13, s14, x1, x2, x3, x4, x5, x6, k1, k2, k2_index, k3, o1, o1_stream)
 
 
 def queries() -> dict:
