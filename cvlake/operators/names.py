@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,15 +78,18 @@ def merged_name(a: Column, b: Column) -> Column:
     return F.array_join(first_spellings(F.concat(words(a), words(b))), " ")
 
 
-def reconcile(content: Column, file: Column) -> Column:
-    """struct<full_name, name_source, name_confidence> from two struct<name, confidence>."""
+def reconcile(content: Column, file: Column, similarity: Callable[[Column, Column], Column] = token_similarity) -> Column:
+    """struct<full_name, name_source, name_confidence> from two struct<name, confidence>.
+
+    similarity: of two names; fuzzy.token_set_ratio also finds names that are spelled a little differently.
+    """
     out = lambda n, s, x: F.struct(n.cast("string").alias("full_name"), F.lit(s).alias("name_source"), clip01(x).alias("name_confidence"))
 
     def decide(x: Column) -> Column:
         c, f, cc, fc = x["c"]["name"], x["f"]["name"], x["c"]["confidence"], x["f"]["confidence"]
         has_c, has_f = F.coalesce(c != "", F.lit(False)), F.coalesce(f != "", F.lit(False))
         return let(
-            token_similarity(c, f),
+            similarity(c, f),
             lambda sim: F.when(has_c & ~has_f, out(c, "content", cc))
             .when(has_f & ~has_c, out(f, "filename", fc))
             .when(~has_c & ~has_f, out(F.lit(None), "none", F.lit(0.0)))

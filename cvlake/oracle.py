@@ -195,6 +195,16 @@ def oracle_sql() -> dict[str, str]:
           w AS (SELECT doc_id, {_words('s')}[:6] AS ws FROM a),
           n AS (SELECT doc_id, len(ws) AS k, list_aggregate(list_transform(ws, lambda x: CASE WHEN upper(x) = x AND regexp_matches(x, '[A-Z]') THEN x ELSE upper(x[1]) || lower(x[2:]) END), 'string_agg', ' ') AS name FROM w)
           SELECT doc_id, CASE WHEN k >= 2 AND NOT regexp_matches(name, '[^A-Za-z\\s''’-]') THEN name END AS name, CASE WHEN k < 2 OR regexp_matches(name, '[^A-Za-z\\s''’-]') THEN 0.0::DOUBLE WHEN k <= 4 THEN 0.8::DOUBLE ELSE 0.65::DOUBLE END AS confidence FROM n""",
+        "p3_tokens": f"""WITH RECURSIVE {CV}, w AS (SELECT doc_id,string_split_regex(filename, '[-_ .]+')[2] AS f, sector FROM cv),
+          n AS (SELECT doc_id, concat_ws(' ', f, translate(sector, 's', 'z'), 'Of') AS a, concat_ws(' ', upper(sector[1]) || sector[2:], replace(f, 'a', 'e'), CASE WHEN doc_id % 3 = 0 THEN 'Of' END) AS b FROM w),
+          t AS (SELECT doc_id, a, b, list_distinct(list_filter(string_split(a, ' '), lambda x: x <> '')) AS ta, list_distinct(list_filter(string_split(b, ' '), lambda x: x <> '')) AS tb FROM n),
+          s AS (SELECT doc_id, a, b, array_to_string(list_sort(list_filter(ta, lambda x: list_contains(tb, x))), ' ') AS sect, array_to_string(list_sort(list_filter(ta, lambda x: NOT list_contains(tb, x))), ' ') AS x, array_to_string(list_sort(list_filter(tb, lambda x: NOT list_contains(ta, x))), ' ') AS y FROM t),
+          bits AS (SELECT DISTINCT x, y, ((1::HUGEINT << length(x)) - 1) AS m FROM s),
+          walk AS (SELECT x, y, m, m AS v, 0 AS i FROM bits UNION ALL
+            SELECT x, y, m, ((v + (v & u)) | (v - (v & u))) & m, i + 1 FROM (SELECT *, list_sum(list_transform(range(length(x)), lambda k: CASE WHEN x[k + 1] = y[i + 1] THEN 1::HUGEINT << k ELSE 0 END))::HUGEINT AS u FROM walk WHERE i < length(y) AND length(x) > 0)),
+          lcs AS (SELECT x, y, length(x) - bit_count(arg_max(v, i)) AS c FROM walk GROUP BY x, y, m),
+          g AS (SELECT s.*, length(sect) AS n, CASE WHEN sect <> '' THEN 1 ELSE 0 END AS gap, length(s.x) AS na, length(s.y) AS nb, coalesce(c, 0) AS c FROM s LEFT JOIN lcs ON lcs.x = s.x AND lcs.y = s.y)
+          SELECT doc_id, a, b, round(CASE WHEN n > 0 AND (na = 0 OR nb = 0) THEN 1 ELSE greatest(1 - (na + nb - 2 * c)::DOUBLE / (2 * n + 2 * gap + na + nb), CASE WHEN n > 0 THEN greatest(1 - (gap + na)::DOUBLE / (2 * n + gap + na), 1 - (gap + nb)::DOUBLE / (2 * n + gap + nb)) ELSE 0 END) END::DOUBLE, 6) AS ratio FROM g""",
         "p4": "WITH x AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type || ' ' || p_name), ' ')) AS b FROM part) SELECT p_partkey, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM x",
         "p5": f"SELECT p_partkey, replace(items, '|', ' ') AS merged FROM ({_first_spellings(_numbered('part', 'p_partkey', chr(34)).replace(chr(34), _words(chr(35)).replace(chr(35), 'p_name || chr(32) || upper(p_type || chr(32) || p_name)')), 'p_partkey')})",
         "l1": f"""WITH {CV_SEC}, own AS (SELECT DISTINCT doc_id FROM sec WHERE section = 'certifications'),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cvlake.config import CANONICAL_SKILLS
 from cvlake.functions import text as t
 from cvlake.operators import catalogue as cat
-from cvlake.operators import automaton, contact, experience, names, segment, skills, summary
+from cvlake.operators import automaton, contact, experience, fuzzy, names, segment, skills, summary
 from cvlake.plans import index, parse, search
 from cvlake.plans.corpus import cv_corpus
 from cvlake.sources import documents as d
@@ -179,6 +179,14 @@ def p3(spark, sf):
     return rows.select("doc_id", "n.full_name", "n.name_source", F.round("n.name_confidence", 6).alias("name_confidence"))
 
 
+def p3_tokens(spark, sf):
+    """Similarity of customers' names, as they are spelled in the corpus, with names spelled a little differently and of other words."""
+    name = F.concat_ws(" ", F.get(F.split("filename", r"[-_ .]+"), F.lit(1)), F.translate("sector", "s", "z"), F.lit("Of"))
+    own = F.concat_ws(" ", F.initcap("sector"), F.regexp_replace(F.get(F.split("filename", r"[-_ .]+"), F.lit(1)), "a", "e"), F.when(F.col("doc_id") % 3 == 0, "Of"))
+    rows = cv_corpus(spark, sf).select("doc_id", name.alias("a"), own.alias("b"))
+    return rows.select("doc_id", "a", "b", F.round(fuzzy.token_set_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
 def p4(spark, sf):
     return _part(spark, sf).select("p_partkey", F.round(names.token_similarity(F.col("p_name"), F.concat_ws(" ", "p_type", "p_name")), 6).alias("similarity"))
 
@@ -651,7 +659,7 @@ def s14(spark, sf):
     return spark.range(1).select(words).select("w", found.alias("c")).select("w", "c.*")
 
 
-ALL = (n1, n2, n3, n4, n5, n6, n7, n8, n9, n10, c1, c2, c2_embed, g1, g2, g3, g4, e1, e2, e3, e4, e5, p1, p2, p3, p4, p5, p6, l1, l2, l3, l4, l4_table, l5, r1, r2, r3, r4, r5, r6, r7, a1, a2, a3, a4, q1, q2, q3, q4, q5, h1, h1_fast, h1_index, h2, h3, h4, h5, h6, h7, h8, h8_full, h8_index, h9, h10, h10_index, h11, h12, h13, s1, s2, s3, s4, s5, s6, s7, s7_paged, s8, s9, s12, s13, s14, x1, x2, x3, x4, x5, x6, k1, k2, k2_index, k3, o1, o1_stream)
+ALL = (n1, n2, n3, n4, n5, n6, n7, n8, n9, n10, c1, c2, c2_embed, g1, g2, g3, g4, e1, e2, e3, e4, e5, p1, p2, p3, p3_tokens, p4, p5, p6, l1, l2, l3, l4, l4_table, l5, r1, r2, r3, r4, r5, r6, r7, a1, a2, a3, a4, q1, q2, q3, q4, q5, h1, h1_fast, h1_index, h2, h3, h4, h5, h6, h7, h8, h8_full, h8_index, h9, h10, h10_index, h11, h12, h13, s1, s2, s3, s4, s5, s6, s7, s7_paged, s8, s9, s12, s13, s14, x1, x2, x3, x4, x5, x6, k1, k2, k2_index, k3, o1, o1_stream)
 
 
 def queries() -> dict:

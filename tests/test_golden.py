@@ -112,3 +112,34 @@ def test_later_rows_replace_earlier_ones(spark):
     old = spark.createDataFrame([("a", 1), ("b", 1)], "file_id string, n int")
     new = spark.createDataFrame([("b", 2), ("c", 2)], "file_id string, n int")
     assert sorted(map(tuple, store.upsert(old, new).collect())) == [("a", 1), ("b", 2), ("c", 2)]
+
+
+def test_token_set_ratio(spark):
+    """Against the definition by plain code, and known cases."""
+    import itertools
+
+    from cvlake.operators.fuzzy import token_set_ratio
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = list(itertools.accumulate(range(1, len(b) + 1), lambda last, j, row=row, x=x: row[j - 1] + 1 if x == b[j - 1] else max(row[j], last), initial=0))
+        return row[-1]
+
+    def plain(a, b):
+        ta, tb = set(a.split()), set(b.split())
+        if not ta or not tb:
+            return 0.0
+        both, x, y = (" ".join(sorted(s)) for s in (ta & tb, ta - tb, tb - ta))
+        if both and (not x or not y):
+            return 1.0
+        xs, ys = f"{both} {x}".strip(), f"{both} {y}".strip()
+        of = lambda s, t, c: 2 * c / (len(s) + len(t))
+        gap = len(both) + bool(both)
+        return max(of(xs, ys, gap + lcs(x, y)), of(both, xs, len(both)) if both else 0, of(both, ys, len(both)) if both else 0)
+
+    names = ["Maria Smith", "Smith Maria", "Maria J Smith", "María Smyth", "maria smith", "", "  ", "A B C", "Jon Smithe", "Zed"]
+    pairs = [(a, b) for a in names for b in names]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", token_set_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    assert all(abs(r.r - plain(r.a, r.b)) < 1e-9 for r in got)
+    assert {(r.a, r.b): r.r for r in got}["Maria Smith", "Maria J Smith"] == 1.0
