@@ -164,7 +164,7 @@ def oracle_sql() -> dict[str, str]:
         "n8": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders",
         "n9": "SELECT o_orderkey, CAST((year(o_orderdate) - 1993) * 12 + month(o_orderdate) - 5 AS BIGINT) AS months FROM orders",
         "n10": "WITH x AS (SELECT p_partkey, regexp_replace(trim(CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END || ' ' || p_type), '\\s+', ' ', 'g') AS s FROM part) SELECT p_partkey, CASE WHEN s = upper(s) AND regexp_matches(s, '[A-Z]') THEN list_aggregate(list_transform(string_split(lower(s), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') ELSE s END AS title FROM x",
-        "c1": f"SELECT * FROM (VALUES {_rows((v, k) for k, vs in c.SKILL_VARIANTS.items() for v in vs)}) AS t(variant, canonical)",
+        "c1": f"WITH {CV}, t(variant, canonical) AS (VALUES {_rows((v, k) for k, vs in c.SKILL_VARIANTS.items() for v in vs)}) SELECT variant, canonical, CAST(sum(CASE WHEN contains(lower(text), variant) THEN 1 ELSE 0 END) AS BIGINT) AS n FROM t, cv GROUP BY ALL",
         "c2": f"WITH {CV_LINES}, tok AS (SELECT DISTINCT unnest(list_concat([line], list_concat(string_split(line, ','), list_concat(string_split(line, '|'), string_split(line, '/'))))) AS token FROM ln), {CATALOGUE} {_canonicalise('tok')}",
         "c2_embed": f"""WITH e AS (SELECT v.vec_id, b.vec_id AS b, list_cosine_similarity(v.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings v, embeddings b WHERE b.vec_id < 10),
           m AS (SELECT vec_id, arg_max(b, s) AS b, max(s) AS s FROM e GROUP BY vec_id)
@@ -305,7 +305,10 @@ def oracle_sql() -> dict[str, str]:
           t AS (SELECT l_orderkey, page, coalesce(string_agg(line, '~' ORDER BY p) FILTER (WHERE n < 2 OR c < greatest(2, ceil(n * 0.6::DOUBLE))), '') AS t FROM k GROUP BY ALL)
           SELECT l_orderkey, trim(string_agg(t, '~~' ORDER BY page), '~') AS text FROM t GROUP BY l_orderkey""",
         "s12": f"WITH {CV} SELECT doc_id, filename AS file_name, true AS missing_fails, true AS broken_fails FROM cv WHERE sector = 'security'",
-        "s14": "SELECT * FROM (VALUES ('green tea', 'Green Tea', 0.98::DOUBLE, 'exact'), ('SENCHA', 'Green Tea', 0.95, 'variant'), ('b.t.', 'Black Tea', 0.88, 'abbrev'), ('T', 'Black Tea', 0.7, 'abbrev'), ('coffee  bean', 'coffee bean', 0.55, 'passthrough')) AS t(w, canonical, confidence, method)",
+        "s14": """WITH p AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+          SELECT n_nationkey, n_name[1] || lower(n_name[2:]) AS w, r_name AS canonical, 0.95::DOUBLE AS confidence, 'variant' AS method FROM p
+          UNION ALL SELECT n_nationkey, lower(r_name), r_name, 0.98, 'exact' FROM p UNION ALL SELECT n_nationkey, r_name[1] || '.' || r_name[2] || '.' || r_name[3], r_name, 0.88, 'abbrev' FROM p
+          UNION ALL SELECT n_nationkey, 'PLACE  ' || n_name, array_to_string(list_transform(string_split('PLACE ' || n_name, ' '), lambda x: x[1] || lower(x[2:])), ' '), 0.55, 'passthrough' FROM p""",
     }
     from cvlake.oracle_records import records_sql  # which builds on this module
 

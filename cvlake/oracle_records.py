@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from cvlake import config as c
 from cvlake.oracle import CATALOGUE, CV, CV_LINES, CV_SEC, HEADING, KEYWORDS, RE_BULLET, RE_DATE, _blocks, _canonicalise, _first_spellings, _list, _month_year, _numbered, _phones, _postcodes, _q, _rows, _strip, _tfidf, _words
-from cvlake.queries import CV_QUERY, QUERIES
+from cvlake.queries import CV_QUERY
 
 NAME = r"[A-Za-z][A-Za-z'’-]+(?:[ \t]+[A-Za-z][A-Za-z'’-]+){1,4}"
 GIVEN = rf"(?i)\bname\s*[:\-]\s*({NAME})\b"
@@ -163,7 +163,7 @@ def records_sql(sql: dict[str, str]) -> dict[str, str]:
           SELECT cv.doc_id, coalesce(array_to_string(all_skills, '|'), '') AS all_skills, coalesce(mt.n, 0) AS n_mentions, coalesce(mentions, '') AS mentions FROM cv LEFT JOIN sk ON sk.doc_id = cv.doc_id LEFT JOIN mt ON mt.doc_id = cv.doc_id""",
         "r1": f"WITH {HISTORY} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS INT) AS ord, job_title, employer, start_date, end_date, CAST(months AS INT) AS duration_months, array_to_string(resp, '|') AS responsibilities, overall FROM ro WHERE ok",
         "r2": f"WITH {CV_LINES}, {NB}, {_roles('nb')} SELECT doc_id, CAST(block AS INT) AS block, CASE WHEN ok THEN job_title END AS job_title, CASE WHEN ok THEN employer END AS employer, CASE WHEN ok THEN start_date END AS start_date, CASE WHEN ok THEN end_date END AS end_date FROM ro",
-        "q1": f"WITH src(id, q) AS (VALUES {_rows(enumerate(QUERIES))}), {_query('src')} SELECT CAST(id AS INT) AS id, raw, years_min, postcodes, skills, must_terms FROM qp",
+        "q1": f"WITH {CV}, src AS (SELECT doc_id AS id, '  ' || replace(text[:180], chr(10), ',') || ' forklift, CCTV, ' || doc_id % 30 || '+ yrs ' AS q FROM cv), {_query('src')} SELECT CAST(id AS INT) AS id, raw, years_min, postcodes, skills, must_terms FROM qp",
         "x5": """WITH RECURSIVE w AS (SELECT l_orderkey, l_returnflag || '-' || l_partkey AS text, l_linenumber * 1.5::DOUBLE AS top, l_suppkey % 50 AS x0 FROM lineitem),
           o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(top, 1), x0, text) AS r FROM w),
           f AS (SELECT l_orderkey, r, top AS start, 1 AS no FROM o WHERE r = 1 UNION ALL

@@ -23,10 +23,9 @@ from cvlake.sources import listing, paged, store
 from cvlake.streaming import upsert
 
 #: The queries of the search box that results are shown for.
-DOC_QUERY = "the education and report of nation"
+DOC_QUERY = "the education and report of ther ering thre annd nation lich eran"
 CV_QUERY = "SIA Door Supervisor, CCTV, 5 years customer service"
 CHOICES = (("security",), ("warehouse",), ("hospitality",), ("security", "warehouse"), ("security", "hospitality"), ("warehouse", "hospitality"), ("security", "warehouse", "hospitality"))
-QUERIES = ("SIA Door Supervisor 5 years TW3 3NU", "door supervisor, forklift, 3 years", CV_QUERY, "10+yrs picker / packer; M1 1AE", "  ", "3.5 years reach truck", "C.C.T.V and first aid, 100 years")
 
 
 def _table(name: str):
@@ -64,7 +63,7 @@ def n3(spark, sf):
 
 def n4(spark, sf):
     v = _vectors(spark, sf)
-    one = F.broadcast(v.where("vec_id = 0").select(F.col("embedding").alias("other")))
+    one = F.broadcast(v.where("vec_id = 0").agg(F.min("embedding").alias("other")))
     return v.join(one).select("vec_id", F.round(t.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 
 
@@ -100,8 +99,10 @@ def n10(spark, sf):
 
 
 def c1(spark, sf):
-    rows = sorted(cat.Catalogue().variant_to_canonical().items())
-    return spark.createDataFrame(rows, "variant string, canonical string")
+    """The catalogue's spellings, each with what it stands for and the number of résumés that have it."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(c).alias("canonical")) for v, c in cat.Catalogue().variant_to_canonical().items()])).alias("p")
+    held = cv_corpus(spark, sf).select(F.lower("text").alias("low"), pairs).select("p.*", F.contains("low", F.col("p.variant")).cast("bigint").alias("has"))
+    return held.groupBy("variant", "canonical").agg(F.sum("has").alias("n"))
 
 
 def _tokens(spark, sf):
@@ -298,12 +299,13 @@ def a4(spark, sf):
     return p.select("doc_id", F.col("parsed.personal_information.full_name").alias("full_name"), F.col("parsed.contact_information.email.value").alias("email"), F.col("parsed.contact_information.postcode.value").alias("postcode"), F.size("parsed.skills.all_skills").alias("n_skills"), F.size("parsed.professional_experience").alias("n_roles"), F.size("parsed.licences_and_certifications").alias("n_licences"), _join(F.col("parsed.keywords")).alias("keywords"))
 
 
-def _queries(spark, sf):
-    return spark.createDataFrame(list(enumerate(QUERIES)), "id int, q string")
+def _asked(spark, sf):
+    """(id, q): the beginnings of résumés as what someone types into the search."""
+    return cv_corpus(spark, sf).select(F.col("doc_id").cast("int").alias("id"), F.concat(F.lit("  "), F.translate(F.left("text", F.lit(180)), "\n", ","), F.lit(" forklift, CCTV, "), (F.col("doc_id") % 30).cast("string"), F.lit("+ yrs ")).alias("q"))
 
 
 def q1(spark, sf):
-    rows = _queries(spark, sf).withColumn("p", search.parse_query(F.col("q")))
+    rows = _asked(spark, sf).withColumn("p", search.parse_query(F.col("q")))
     return rows.select("id", "p.raw", "p.years_min", _join(F.col("p.postcodes")).alias("postcodes"), _join(F.col("p.skills")).alias("skills"), _join(F.col("p.must_terms")).alias("must_terms"))
 
 
@@ -350,7 +352,7 @@ def h1_index(spark, sf):
 
 def h2(spark, sf):
     v = _vectors(spark, sf)
-    one = F.broadcast(v.where("vec_id = 7").select(F.col("embedding").alias("q")))
+    one = F.broadcast(v.where("vec_id = 7").agg(F.min("embedding").alias("q")))
     return v.join(one).select("vec_id", F.round(search.embed_score(F.col("q"), F.col("embedding")), 6).alias("embed"))
 
 
@@ -651,12 +653,17 @@ def s12(spark, sf):
 
 
 def s14(spark, sf):
-    """A catalogue from a file in shared storage."""
-    path = store.scratch(spark, "catalogue")
-    spark.range(1).select(F.lit('{"canonical": ["Green Tea", "Black Tea"], "variants": {"Green Tea": ["sencha", "gyokuro"]}, "abbreviations": {"BT": ["Black Tea"], "T": ["Black Tea", "Green Tea"]}}').alias("value")).write.text(path)
+    """A catalogue from a file in shared storage, made of regions (names and abbreviations) and their nations (spellings)."""
+    path, region, nation = store.scratch(spark, "catalogue"), _table("region")(spark, sf), _table("nation")(spark, sf)
+    place = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    by_region = place.groupBy("r_name").agg(F.collect_list("n_name").alias("nations"))
+    entry = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
+    made = by_region.agg(F.collect_list("r_name").alias("canonical"), entry(F.col("r_name"), F.col("nations")).alias("variants"), entry(F.left("r_name", F.lit(3)), F.array("r_name")).alias("abbreviations"))
+    made.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(path)
+    short = F.concat_ws(".", *[F.substring("r_name", i, 1) for i in (1, 2, 3)])
+    words = F.explode(F.array(F.concat(F.left("n_name", F.lit(1)), F.lower(F.expr("substring(n_name, 2)"))), F.lower("r_name"), short, F.concat(F.lit("PLACE  "), "n_name"))).alias("w")
     found = cat.canonicalise(F.col("w"), cat.Catalogue.read(spark, path))
-    words = F.explode(F.array(*[F.lit(w) for w in ("green tea", "SENCHA", "b.t.", "T", "coffee  bean")])).alias("w")
-    return spark.range(1).select(words).select("w", found.alias("c")).select("w", "c.*")
+    return place.select("n_nationkey", words).select("n_nationkey", "w", found.alias("c")).select("n_nationkey", "w", "c.*")
 
 
 ALL = (n1, n2, n3, n4, n5, n6, n7, n8, n9, n10, c1, c2, c2_embed, g1, g2, g3, g4, e1, e2, e3, e4, e5, p1, p2, p3, p3_tokens, p4, p5, p6, l1, l2, l3, l4, l4_table, l5, r1, r2, r3, r4, r5, r6, r7, a1, a2, a3, a4, q1, q2, q3, q4, q5, h1, h1_fast, h1_index, h2, h3, h4, h5, h6, h7, h8, h8_full, h8_index, h9, h10, h10_index, h11, h12, h13, s1, s2, s3, s4, s5, s6, s7, s7_paged, s8, s9, s12, s13, s14, x1, x2, x3, x4, x5, x6, k1, k2, k2_index, k3, o1, o1_stream)
