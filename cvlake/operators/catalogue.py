@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cvlake.config import CANONICAL_SKILLS, SKILL_ABBREVIATIONS, SKILL_VARIANTS
@@ -78,3 +80,46 @@ def nearest_entry(vector: Column, entries: dict[str, list[float]]) -> Column:
     table = F.array(*[F.struct(F.lit(n).alias("n"), F.array(*[F.lit(float(x)) for x in v]).alias("v")) for n, v in entries.items()])
     scored = F.transform(table, lambda e, i: F.struct((-cosine(vector, e["v"])).alias("far"), i.alias("i"), e["n"].alias("n")))
     return let(F.array_min(F.filter(scored, lambda e: e["far"] < 0)), lambda b: F.struct(b["n"].alias("canonical"), F.coalesce(-b["far"], F.lit(0.0)).alias("similarity")))
+
+
+#: Numbers of all vectors of a catalogue that may be sent to all tasks (256 MB), and entries that a batch meets at a time.
+MOST_NUMBERS, ENTRIES_AT_A_TIME = 32 * 1024 * 1024, 8_192
+
+
+def nearest_in(vector: Column, entries: DataFrame) -> Column:
+    """struct<canonical, similarity> as nearest_entry() gives it, for entries in a table (ord, canonical, vector).
+
+    The table's size is checked before it is sent to all tasks; a batch of vectors meets it in matrix products, a stretch of
+    entries at a time. Of equal cosines the smallest ord counts. Entries of another length than a vector, and those that are null,
+    zero or not finite, are near to nothing, as are such vectors.
+    """
+    usable = entries.where(F.col("vector").isNotNull() & F.col("canonical").isNotNull())
+    size = usable.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("n")).first().n
+    if size > MOST_NUMBERS:
+        raise ValueError(f"catalogue vectors of {size} numbers are too many for one broadcast; cut the table, and keep the best of what the parts give")
+    by_length: dict[int, list[tuple[str, np.ndarray]]] = {}
+    for r in usable.orderBy("ord").select("canonical", F.col("vector").cast("array<double>").alias("vector")).toArrow().to_pylist():
+        v = np.array(r["vector"], np.float64)
+        if np.isfinite(v).all() and v.any():
+            by_length.setdefault(len(v), []).append((r["canonical"], v / np.linalg.norm(v)))
+    shared = entries.sparkSession.sparkContext.broadcast({n: ([c for c, _ in rows], np.stack([v for _, v in rows])) for n, rows in by_length.items()})
+
+    @F.arrow_udf("struct<canonical:string,similarity:double>")
+    def near(vectors: pa.Array) -> pa.Array:
+        rows = [None if v is None else np.array(v, np.float64) for v in vectors.to_pylist()]
+        name: list[str | None] = [None] * len(rows)
+        best = np.zeros(len(rows))
+        for n, (names, table) in shared.value.items():
+            mine = [i for i, v in enumerate(rows) if v is not None and len(v) == n and np.isfinite(v).all() and v.any()]
+            if not mine:
+                continue
+            x = np.stack([rows[i] / np.linalg.norm(rows[i]) for i in mine])
+            for at in range(0, len(table), ENTRIES_AT_A_TIME):
+                cosine = x @ table[at : at + ENTRIES_AT_A_TIME].T
+                place = cosine.argmax(1)
+                for i, p, c in zip(mine, place, cosine[np.arange(len(mine)), place]):
+                    if c > best[i]:
+                        best[i], name[i] = c, names[at + p]
+        return pa.StructArray.from_arrays([pa.array(name, pa.string()), pa.array(best)], ["canonical", "similarity"])
+
+    return near(vector)

@@ -169,6 +169,9 @@ def oracle_sql() -> dict[str, str]:
         "c2_embed": f"""WITH e AS (SELECT v.vec_id, b.vec_id AS b, list_cosine_similarity(v.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings v, embeddings b WHERE b.vec_id < 10),
           m AS (SELECT vec_id, arg_max(b, s) AS b, max(s) AS s FROM e GROUP BY vec_id)
           SELECT vec_id, CASE WHEN s >= 0.7 THEN {_list(c.CANONICAL_SKILLS[:10])}[b + 1] ELSE 'item ' || vec_id END AS canonical, round(CASE WHEN s >= 0.7 THEN 0.6 + 0.35 * least(1, (s - 0.7) / 0.3) ELSE 0.55 END::DOUBLE, 6) AS confidence, CASE WHEN s >= 0.7 THEN 'embed' ELSE 'passthrough' END AS method FROM m""",
+        "c2_table": """WITH e AS (SELECT v.vec_id, b.vec_id AS b, list_cosine_similarity(v.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings v, embeddings b WHERE b.vec_id % 3 = 0 AND v.vec_id % 3 <> 0),
+          m AS (SELECT vec_id, 'entry ' || arg_max(b, s) AS nearest, max(s) AS s FROM e WHERE s > 0 GROUP BY vec_id)
+          SELECT vec_id, nearest, round(s, 6) AS similarity, CASE WHEN s >= 0.7 THEN nearest ELSE 'item ' || vec_id END AS canonical, round(CASE WHEN s >= 0.7 THEN 0.6 + 0.35 * least(1, (s - 0.7) / 0.3) ELSE 0.55 END::DOUBLE, 6) AS confidence, CASE WHEN s >= 0.7 THEN 'embed' ELSE 'passthrough' END AS method FROM m""",
         "g1": f"WITH {CV_LINES}, {DOC_LINES}, every AS (SELECT * FROM ln UNION ALL SELECT -doc_id - 1, no, line FROM dl), {SECTIONED} SELECT doc_id, CAST(ord AS INT) AS ord, section, line FROM sec",
         "g2": f"WITH {CV_LINES}, every AS (SELECT * FROM ln), {ALIASES}, {OPENS} SELECT h.line, o.section FROM heads h LEFT JOIN opens o ON o.line = h.line",
         "g3": f"WITH {CV_SEC}, {EXP_LINES}, {_blocks('xl')} SELECT doc_id, CAST(block AS INT) AS block, array_to_string(lines, '|') AS lines FROM blocks",

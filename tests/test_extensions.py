@@ -2,10 +2,11 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cvlake.operators import automaton, skills
+from cvlake.operators import automaton, catalogue, skills
 from cvlake.operators.catalogue import Catalogue
 from cvlake.plans.corpus import cv_corpus
 from cvlake.sources import listing, paged, store
@@ -51,10 +52,10 @@ def test_a_page_is_read_again_once(monkeypatch):
 
 
 def test_automaton_finds_what_dictionary_hits_finds(spark, sf_dir):
-    catalogue = Catalogue()
+    built_in = Catalogue()
     docs = cv_corpus(spark, sf_dir)
-    found = docs.select("doc_id", automaton.entries_in(F.col("text"), automaton.entry_table(spark, catalogue)).alias("a"), F.filter(skills.dictionary_hits(F.col("text"), catalogue), lambda m: m["method"] == "dictionary").alias("b"))
-    names = {r.ord: (r.text, r.canonical, r.confidence) for r in automaton.entry_table(spark, catalogue).collect()}
+    found = docs.select("doc_id", automaton.entries_in(F.col("text"), automaton.entry_table(spark, built_in)).alias("a"), F.filter(skills.dictionary_hits(F.col("text"), built_in), lambda m: m["method"] == "dictionary").alias("b"))
+    names = {r.ord: (r.text, r.canonical, r.confidence) for r in automaton.entry_table(spark, built_in).collect()}
     rows = found.collect()
     assert sum(len(r.a) for r in rows) > len(rows) and all([names[o] for o in r.a] == [(m.text, m.canonical, m.confidence) for m in r.b] for r in rows)
 
@@ -71,3 +72,24 @@ def test_automaton_of_many_spellings(spark, monkeypatch):
     monkeypatch.setattr(automaton, "MOST_ENTRIES", 100)
     with pytest.raises(ValueError):
         automaton.entries_in(F.col("text"), entries)
+
+
+def test_vectors_of_many_entries(spark, monkeypatch):
+    """50,000 entries; ties, vectors of other lengths, null, zero and not finite ones; the same as with literals."""
+    rng = np.random.default_rng(1)
+    table = rng.normal(size=(50_000, 8)).round(3)
+    table[49_999] = table[17]
+    rows = [(i, f"e{i}", v.tolist()) for i, v in enumerate(table)] + [(50_000, "long", [1.0] * 9), (50_001, "zero", [0.0] * 8), (50_002, "nan", [float("nan")] * 8), (50_003, "none", None)]
+    entries = spark.createDataFrame(rows, "ord int, canonical string, vector array<double>")
+    asked = [(1, table[17].tolist()), (2, (-table[123]).tolist()), (3, None), (4, [0.0] * 8), (5, [2.0] * 9), (6, [1.0]), (7, [float("inf")] * 8)]
+    got = {r.id: r.n for r in spark.createDataFrame(asked, "id int, v array<double>").select("id", catalogue.nearest_in(F.col("v"), entries).alias("n")).collect()}
+    unit = table / np.linalg.norm(table, axis=1, keepdims=True)
+    best = int((unit @ -unit[123]).argmax())
+    assert got[1].canonical == "e17" and got[1].similarity == pytest.approx(1) and got[2].canonical == f"e{best}" and got[5].canonical == "long"
+    assert all(got[i].canonical is None and got[i].similarity == 0 for i in (3, 4, 6, 7))
+    few = {f"e{i}": table[i].tolist() for i in range(40)}
+    both = spark.createDataFrame([(v.tolist(),) for v in table[1_000:1_050]], "v array<double>").select(catalogue.nearest_entry(F.col("v"), few).alias("a"), catalogue.nearest_in(F.col("v"), entries.where("ord < 40")).alias("b")).collect()
+    assert all(r.a.canonical == r.b.canonical and r.a.similarity == pytest.approx(r.b.similarity) for r in both)
+    monkeypatch.setattr(catalogue, "MOST_NUMBERS", 10)
+    with pytest.raises(ValueError):
+        catalogue.nearest_in(F.col("v"), entries)
