@@ -120,6 +120,40 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+#: The trie by the hash of each beginning; crc32 is made bit by bit, and sums over subtrees by a join with all beginnings of each.
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+head AS (SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.pos <= c.h),
+lent AS (SELECT conv_id, count(*) AS k FROM head GROUP BY conv_id),
+r AS (
+  SELECT * FROM head UNION ALL
+  SELECT t.conv_id, t.pos - c.h + coalesce(k, 0), role, text FROM t JOIN c ON c.conv_id = t.conv_id LEFT JOIN lent ON lent.conv_id = t.conv_id WHERE t.pos > c.h),
+m AS (
+  SELECT conv_id, 0 AS depth, 'root' AS node, 0 AS words FROM c UNION ALL
+  SELECT conv_id, pos, md5(string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY pos)), len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) FROM r),
+nd AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM m GROUP BY node, depth),
+up AS (SELECT DISTINCT a.node, b.node AS parent FROM m a JOIN m b ON a.conv_id = b.conv_id AND a.depth = b.depth + 1),
+kids AS (SELECT parent AS node, count(*) AS n FROM up GROUP BY parent),
+below AS (SELECT DISTINCT a.node AS low, b.node AS top FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.depth <= a.depth),
+sums AS (
+  SELECT top AS node, sum((n_convs - 1) * words) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves
+  FROM below JOIN nd ON nd.node = low LEFT JOIN kids ON kids.node = low GROUP BY top),
+ends AS (
+  SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS sha
+  FROM (SELECT conv_id, arg_max(node, depth) AS node FROM m GROUP BY conv_id) GROUP BY node)
+SELECT nd.conv_id, CAST(nd.depth AS BIGINT) AS depth, pn.conv_id AS parent_conv_id, nd.n_convs, coalesce(kids.n, 0) AS n_children,
+  sums.leaves AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, coalesce(ends.sha, sha256('')) AS ends_sha256
+FROM nd JOIN sums ON sums.node = nd.node LEFT JOIN up ON up.node = nd.node LEFT JOIN nd pn ON pn.node = up.parent LEFT JOIN kids ON kids.node = nd.node LEFT JOIN ends ON ends.node = nd.node
+"""
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -141,4 +175,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_token_counts": OP4_SQL, "op10_licenses": op10_sql()}
+    return {"op4_token_counts": OP4_SQL, "op10_licenses": op10_sql(), "op11_conversation_trie": OP11_SQL}
