@@ -6,6 +6,7 @@ Only the SQL of the derived corpus and of the derived listing, and lists of fixe
 from __future__ import annotations
 
 from cvlake import config as c
+from cvlake.operators.phone_plan import GB_PLAN
 from cvlake.plans.corpus import CORPUS_SQL
 from cvlake.queries import CHOICES, CV_QUERY, DOC_QUERY, EDGES_SQL
 
@@ -185,6 +186,15 @@ def oracle_sql() -> dict[str, str]:
           g AS (SELECT doc_id, min(pos) AS pos, item FROM m GROUP BY doc_id, item HAVING length(regexp_replace(item, '[^0-9]', '', 'g')) >= 10),
           f AS (SELECT doc_id, array_to_string(list(item ORDER BY pos)[:3], '|') AS phones FROM g GROUP BY doc_id)
           SELECT cv.doc_id, coalesce(phones, '') AS phones FROM cv LEFT JOIN f ON f.doc_id = cv.doc_id""",
+        "e2_plan": f"""WITH {CV}, x AS (SELECT doc_id, text || chr(10) || 'Office 0' || ['20 7946 0', '113 496 0', '1632 96', '800 11', '10 5555 5', '845 46', '99 9999 9', '7624 46 0'][CAST(doc_id % 8 + 1 AS INT)] || lpad((doc_id % 1000)::VARCHAR, 3, '0') AS text FROM cv),
+          plan(prefix, lengths) AS (VALUES {_rows((p, '/' + '/'.join(map(str, ns)) + '/') for p, _, ns in GB_PLAN)}),
+          r AS (SELECT doc_id, pos, item, regexp_replace(regexp_replace(item, '[^0-9+]', '', 'g'), '^(\\+44|0044)?0?', '') AS n FROM {_numbered('x', 'doc_id', _phones('text'))}),
+          b AS (SELECT doc_id, pos, any_value(item) AS item, n, arg_max(lengths, length(prefix)) AS lengths FROM r LEFT JOIN plan ON starts_with(n, prefix) GROUP BY doc_id, pos, n),
+          v AS (SELECT doc_id, '+44' || n AS phone, min(pos) AS pos FROM b WHERE contains(lengths, '/' || length(n) || '/') GROUP BY doc_id, n),
+          vf AS (SELECT doc_id, array_to_string(list(phone ORDER BY pos)[:3], '|') AS phones FROM v GROUP BY doc_id),
+          g AS (SELECT doc_id, min(pos) AS pos, trim(regexp_replace(item, '\\s+', ' ', 'g')) AS item FROM r GROUP BY doc_id, trim(regexp_replace(item, '\\s+', ' ', 'g')) HAVING length(regexp_replace(any_value(r.item), '[^0-9]', '', 'g')) >= 10),
+          f AS (SELECT doc_id, array_to_string(list(item ORDER BY pos)[:3], '|') AS phones FROM g GROUP BY doc_id)
+          SELECT x.doc_id, coalesce(vf.phones, f.phones, '') AS phones FROM x LEFT JOIN vf ON vf.doc_id = x.doc_id LEFT JOIN f ON f.doc_id = x.doc_id""",
         "e3": f"""WITH {CV}, m AS {_numbered('cv', 'doc_id', _postcodes('text'))}, f AS ({_first_spellings('m', 'doc_id')})
           SELECT cv.doc_id, coalesce(items, '') AS postcodes FROM cv LEFT JOIN f ON f.doc_id = cv.doc_id""",
         "e4": f"""WITH {CV_LINES}, nb AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS i, line FROM ln WHERE line <> ''),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cvlake.config import CANONICAL_SKILLS
 from cvlake.functions import text as t
 from cvlake.operators import catalogue as cat
-from cvlake.operators import automaton, contact, experience, fuzzy, names, segment, skills, summary
+from cvlake.operators import automaton, contact, experience, fuzzy, names, phone_plan, segment, skills, summary
 from cvlake.plans import index, parse, search
 from cvlake.plans.corpus import cv_corpus
 from cvlake.sources import documents as d
@@ -160,6 +160,12 @@ def e2(spark, sf):
     return cv_corpus(spark, sf).select("doc_id", _join(contact.uk_phones(F.col("text"))).alias("phones"))
 
 
+def e2_plan(spark, sf):
+    """Numbers of the corpus and of a directory made of customers, by the national plan."""
+    more = F.concat(F.col("text"), F.lit("\nOffice 0"), F.element_at(F.array(*[F.lit(x) for x in ("20 7946 0", "113 496 0", "1632 96", "800 11", "10 5555 5", "845 46", "99 9999 9", "7624 46 0")]), (F.col("doc_id") % 8 + 1).cast("int")), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"))
+    return cv_corpus(spark, sf).select("doc_id", _join(phone_plan.gb_phones(more)).alias("phones"))
+
+
 def e3(spark, sf):
     return cv_corpus(spark, sf).select("doc_id", _join(contact.postcodes(F.col("text"))).alias("postcodes"))
 
@@ -675,7 +681,7 @@ def s14(spark, sf):
     return place.select("n_nationkey", words).select("n_nationkey", "w", found.alias("c")).select("n_nationkey", "w", "c.*")
 
 
-ALL = (n1, n2, n3, n4, n5, n6, n7, n8, n9, n10, c1, c2, c2_embed, c2_table, g1, g2, g3, g4, e1, e2, e3, e4, e5, p1, p2, p3, p3_tokens, p4, p5, p6, l1, l2, l3, l4, l4_table, l5, r1, r2, r3, r4, r5, r6, r7, a1, a2, a3, a4, q1, q2, q3, q4, q5, h1, h1_fast, h1_index, h2, h3, h4, h5, h6, h7, h8, h8_full, h8_index, h9, h10, h10_index, h11, h12, h13, s1, s2, s3, s4, s5, s6, s7, s7_paged, s8, s9, s12, s13, s14, x1, x2, x3, x4, x5, x6, k1, k2, k2_index, k3, o1, o1_stream)
+ALL = (n1, n2, n3, n4, n5, n6, n7, n8, n9, n10, c1, c2, c2_embed, c2_table, g1, g2, g3, g4, e1, e2, e2_plan, e3, e4, e5, p1, p2, p3, p3_tokens, p4, p5, p6, l1, l2, l3, l4, l4_table, l5, r1, r2, r3, r4, r5, r6, r7, a1, a2, a3, a4, q1, q2, q3, q4, q5, h1, h1_fast, h1_index, h2, h3, h4, h5, h6, h7, h8, h8_full, h8_index, h9, h10, h10_index, h11, h12, h13, s1, s2, s3, s4, s5, s6, s7, s7_paged, s8, s9, s12, s13, s14, x1, x2, x3, x4, x5, x6, k1, k2, k2_index, k3, o1, o1_stream)
 
 
 def queries() -> dict:

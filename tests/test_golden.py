@@ -143,3 +143,15 @@ def test_token_set_ratio(spark):
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", token_set_ratio(F.col("a"), F.col("b")).alias("r")).collect()
     assert all(abs(r.r - plain(r.a, r.b)) < 1e-9 for r in got)
     assert {(r.a, r.b): r.r for r in got}["Maria Smith", "Maria J Smith"] == 1.0
+
+
+@pytest.mark.parametrize(
+    "number,wanted",
+    [("020 7946 0123", ("geographic", True, "+442079460123")), ("+44 7700 900123", ("mobile", True, "+447700900123")), ("+44 (0)7700 900123", ("mobile", True, "+447700900123")), ("0044 113 496 0000", ("geographic", True, "+441134960000")), ("01632 96012", ("geographic", True, "+44163296012")),
+     ("0113 496 000", ("geographic", False, None)), ("07624 460123", ("mobile", True, "+447624460123")), ("0760 0000000", ("pager", True, "+447600000000")), ("0800 1111", ("free", True, "+448001111")), ("0999 999 9999", (None, False, None)), ("", (None, False, None)), ("0171 222 3333", ("not in use", False, None))],
+)
+def test_numbering_plan(spark, number, wanted):
+    from cvlake.operators.phone_plan import planned
+
+    row = spark.createDataFrame([(number,)], "n string").select(planned(F.col("n")).alias("p")).first().p
+    assert tuple(row) == wanted
