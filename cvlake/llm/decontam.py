@@ -6,27 +6,34 @@ lies whole in a window and the windows depend on the item alone. An item's impac
 itself, so one threshold serves all items, and every item that reaches it is retrieved, not the best few.
 
 Items lie in blocks. A posting list has, besides its impacts, its largest one in each block that it occurs in, and the
-largest of all. Of a passage, list maxima tell the terms of which an item must have one to reach the threshold (WAND's
-pivot rule; the threshold is fixed, so it need not be found again): only their lists are walked. The others, the weakest
-lists up to WEAK of the threshold together, are the long ones of common words. Block maxima then bound each block that the
-walked lists meet; in the blocks that may reach the threshold the other lists are looked up, without being walked, and what
-still may is scored. A retrieved item is verified: its question and its answer must both overlap with the
-passage in word n-grams. The answer is the last sentence, or of a single sentence the last third of its words.
+largest of all. The threshold is fixed, so block-max WAND is done for many passages at once in arrays, without cursors that
+skip along the lists: list maxima part a passage's terms into strong ones, of which an item must have one to reach the
+threshold, and weak ones, which reach at most WEAK of it together. Only the strong lists' block maxima are walked, and all
+of them, into one row of block bounds for each passage. The weak lists, the long ones of common words, are looked up in the
+blocks that may still reach the threshold, without being walked, and what still may is scored. A retrieved item is
+verified: its question and its answer must both overlap with the passage in word n-grams. The answer is the last sentence,
+or of a single sentence the last third of its words.
 
 Statistics are over all items, and postings and impacts are computed as tables. The index is cut into shards of about
-SHARD_WORDS words (and never less than an item): each is built, broadcast, and used in one pass over the training texts,
-which shuffles nothing. The driver holds one shard at a time. Null and empty texts have no passages; items without words
-cannot be found; items with a null id are reported with a null id; repeated items and rows give repeated results.
+SHARD_WORDS words (and never less than an item). A pass over the training texts shuffles nothing, cuts each text into words
+once and uses PASS shards, which are broadcast; a benchmark of up to PASS * SHARD_WORDS words needs one pass. The driver
+takes one shard at a time, in columns.
+
+Null and empty texts have no passages; items without words cannot be found; items with a null id are reported with a null
+id; repeated items and rows give repeated results. Of passages with equal scores the first one's overlaps are reported.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +42,13 @@ from cvlake.llm.common import stored
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.6, 0.5
-BLOCK, GRAM, HALF, SHARD_WORDS = 4, 5, 64, 4_000_000
+BLOCK, GRAM, HALF = 4, 5, 64
+SHARD_WORDS, PASS = 1_000_000, 4
 EDGE = 1e-6  # bounds are compared with this much to spare, as sums in another order differ
 WEAK = 0.3
 SLOTS = 1_000_000  # of the arrays that are held at a time
 LEAK = "array<struct<item_id:bigint,score:double,question:double,answer:double>>"
+POSTING = pa.schema([("no", pa.int64()), ("term", pa.string()), ("impact", pa.float64())])
 
 
 class Postings(NamedTuple):
@@ -99,14 +108,18 @@ def _lists(term: np.ndarray, place: np.ndarray, value: np.ndarray, n_terms: int)
     return Postings(np.searchsorted(term[order], np.arange(n_terms + 1)), place[order].astype(np.int32), value[order].astype(np.float64))
 
 
-def build(items: list[tuple], impacts: list[tuple[int, str, float]]) -> BenchmarkIndex:
+def build(items: list[tuple], impacts: pa.Table | list[tuple[int, str, float]]) -> BenchmarkIndex:
     """An index of (no, item_id, text, n_words) rows and of (no, term, impact) rows; impacts of an item sum to 1."""
+    if isinstance(impacts, list):
+        impacts = pa.table({c: [r[i] for r in impacts] for i, c in enumerate(POSTING.names)}, POSTING)
     items = sorted(items, key=lambda x: (x[3], x[0]))
-    spot = {x[0]: i for i, x in enumerate(items)}
-    terms: dict[str, int] = {}
-    place = np.fromiter((spot[no] for no, _, _ in impacts), np.int64, len(impacts))
-    term = np.fromiter((terms.setdefault(t, len(terms)) for _, t, _ in impacts), np.int64, len(impacts))
-    value = np.fromiter((v for _, _, v in impacts), np.float64, len(impacts))
+    nos = np.array([x[0] for x in items], np.int64)
+    by_no = np.argsort(nos)
+    place = by_no[np.searchsorted(nos[by_no], impacts["no"].to_numpy())]
+    coded = impacts["term"].combine_chunks().dictionary_encode()
+    terms = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
+    term = coded.indices.to_numpy().astype(np.int64)
+    value = impacts["impact"].to_numpy()
     halves = np.array([half_window(x[3]) for x in items], np.int64)
     classes = []
     for half in sorted(set(halves.tolist())):
@@ -195,9 +208,13 @@ def retrieve(lists: LengthClass, window: np.ndarray, term: np.ndarray, n_windows
 
 def find_leaks(texts: list[str | None], index: BenchmarkIndex, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> list[list[dict]]:
     """For each text, its leaked items, each with the scores of its best passage."""
-    out: list[list[dict]] = [[] for _ in texts]
+    return find_in_words([words_of(t) for t in texts], index, threshold, question, answer)
+
+
+def find_in_words(words: list[list[str]], index: BenchmarkIndex, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> list[list[dict]]:
+    """find_leaks() of texts that are cut into words."""
+    out: list[list[dict]] = [[] for _ in words]
     get = index.terms.get
-    words = [words_of(t) for t in texts]
     known = [np.fromiter((get(w, -1) for w in ws), np.int64, len(ws)) for ws in words]
     best: dict[tuple[int, int], dict] = {}
     for lists in index.classes:
@@ -228,16 +245,17 @@ def find_leaks(texts: list[str | None], index: BenchmarkIndex, threshold: float
     return out
 
 
-def leaks(text: Column, index: BenchmarkIndex, spark, batch: int = 64) -> Column:
-    """array<struct<item_id, score, question, answer>> of a text column, for one index."""
-    shared = spark.sparkContext.broadcast(index)
+def leaks(text: Column, shards: list[Broadcast], batch: int = 64) -> Column:
+    """array<struct<item_id, score, question, answer>> of a text column, for some shards of the index."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
 
     @F.arrow_udf(LEAK)
     def search(texts: pa.Array) -> pa.Array:
         found = []
         for at in range(0, len(texts), batch):
-            found += find_leaks(texts.slice(at, batch).to_pylist(), shared.value)
+            words = [words_of(t) for t in texts.slice(at, batch).to_pylist()]
+            by_shard = [find_in_words(words, s.value) for s in shards]
+            found += [sum(own, []) for own in zip(*by_shard)]
         return pa.array(found, kind)
 
     return search(text)
@@ -273,25 +291,37 @@ def indexes(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[Be
     shards = max(1, -(-words // shard_words))
     own = F.pmod(F.xxhash64("no"), F.lit(shards))
     for s in range(shards):
-        part = items.where(own == s).select("no", "item_id", "text", F.size("words").alias("n")).collect()
-        rows = impacts.where(own == s).select("no", "term", "impact").collect()
-        yield build([tuple(r) for r in part], [tuple(r) for r in rows])
+        part = items.where(own == s).select("no", "item_id", "text", F.size("words").alias("n")).toArrow()
+        yield build(list(zip(*(c.to_pylist() for c in part.columns))), impacts.where(own == s).select(*POSTING.names).toArrow())
+
+
+def passes(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[list[Broadcast]]:
+    """The shards, broadcast, by the passes that use them."""
+    shards = (benchmark.sparkSession.sparkContext.broadcast(i) for i in indexes(benchmark, shard_words))
+    while own := list(islice(shards, PASS)):
+        yield own
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", shard_words: int = SHARD_WORDS) -> DataFrame:
     """(key, item_id, score, question_overlap, answer_overlap) of every leak, each item with its best passage."""
-    out = None
-    for index in indexes(benchmark, shard_words):
-        hit = docs.select(F.col(key).alias(key), F.explode(leaks(F.col("text"), index, docs.sparkSession)).alias("l"))
-        hit = hit.select(key, "l.item_id", "l.score", F.col("l.question").alias("question_overlap"), F.col("l.answer").alias("answer_overlap"))
-        # the last shard's pass is left to the caller
-        out = hit if out is None else stored(out, "leaks").unionByName(hit)
-    return out
+    out: list[DataFrame] = []
+    for shards in passes(benchmark, shard_words):
+        hit = docs.select(F.col(key).alias(key), F.explode(leaks(F.col("text"), shards)).alias("l"))
+        # the last pass is left to the caller
+        out = [*out[:-1], *(stored(p, "leaks") for p in out[-1:])]
+        out.append(hit.select(key, "l.item_id", "l.score", F.col("l.question").alias("question_overlap"), F.col("l.answer").alias("answer_overlap")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The rows of docs whose text has no leak."""
-    out = None
-    for index in indexes(benchmark, shard_words):
-        out = (docs if out is None else stored(out, "unleaked")).where(F.size(leaks(F.col("text"), index, docs.sparkSession)) == 0)
-    return out
+    """The rows of docs whose text has no leak.
+
+    The last pass filters. Of an earlier one only the digests of leaking texts are written, as the text alone decides.
+    """
+    out, leaking = docs, None
+    for shards in passes(benchmark, shard_words):
+        if leaking is not None:
+            gone = stored(docs.where(leaking > 0).select(F.sha2("text", 256).alias("leaking text")).distinct(), "leaking")
+            out = out.join(gone, F.sha2(docs["text"], 256) == gone["leaking text"], "left_anti")
+        leaking = F.size(leaks(F.col("text"), shards))
+    return out.where(leaking == 0)

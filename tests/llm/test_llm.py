@@ -582,6 +582,23 @@ def test_decontamination_hard_cases(spark):
     assert decontam.without_leaks(docs, bench.limit(0)).count() == 6 and decontam.find_contamination(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_repeated_rows_and_passages(spark, monkeypatch):
+    """A repeated document gives its leaks again; of two equal passages one is reported, at every number of passes."""
+    item = "How many apples does the tall farmer keep in the red barn near the river? The tall farmer keeps forty two apples there."
+    other = "Which green bird sings on the old roof before the long winter night? The small finch sings there all winter."
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id bigint, text string")
+    twice = item + " " + "filler " * 300 + item
+    docs = docs_of(spark, [(1, twice), (1, twice), (2, item), (3, other), (4, "nothing of it"), (4, "nothing of it"), (5, None), (6, item + " " + other)])
+    for words, shards in ((1_000_000, 4), (5, 4), (5, 1)):
+        monkeypatch.setattr(decontam, "PASS", shards)
+        got = sorted((r.doc_id, r.item_id) for r in decontam.find_contamination(docs, bench, shard_words=words).collect())
+        assert got == [(1, 1), (1, 1), (2, 1), (3, 2), (6, 1), (6, 2)]
+        left = decontam.without_leaks(docs, bench, shard_words=words)
+        assert sorted(r.doc_id for r in left.collect()) == [4, 4, 5] and left.columns == docs.columns
+    found = decontam.find_leaks([item, twice], decontam.build([(0, 1, item, 24)], [(0, w, 1 / len(set(decontam.words_of(item)))) for w in set(decontam.words_of(item))]))
+    assert [len(f) for f in found] == [1, 1]
+
+
 # 8: n-gram Jaccard join
 
 
