@@ -292,6 +292,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT e.id, w.prefix || e.name || '/', w.depth + 1, list_append(w.seen, e.id) FROM walk w JOIN edges e ON e.parent_id = w.id AND e.is_folder AND NOT list_contains(w.seen, e.id)),
           fol AS (SELECT id, arg_min(prefix, (depth, prefix)) AS prefix FROM walk GROUP BY id)
           SELECT e.id, e.name, f.prefix || e.name AS virtual_path FROM edges e JOIN fol f ON f.id = e.parent_id WHERE NOT e.is_folder AND regexp_matches(lower(e.name), '^(resume|cv)([-_ ].*)?\\.(pdf|docx)$')""",
+        "o2": f"""WITH RECURSIVE {EDGES}, walk AS (SELECT r_name AS sector, 'r' || r_regionkey AS id, '' AS prefix, 0 AS depth, ['r' || r_regionkey] AS seen FROM region UNION ALL
+            SELECT w.sector, e.id, w.prefix || e.name || '/', w.depth + 1, list_append(w.seen, e.id) FROM walk w JOIN edges e ON e.parent_id = w.id AND e.is_folder AND NOT list_contains(w.seen, e.id)),
+          fol AS (SELECT sector, id, arg_min(prefix, (depth, prefix)) AS prefix FROM walk GROUP BY ALL)
+          SELECT f.sector, 'folder00' || e.id AS id, e.name, f.prefix || e.name AS virtual_path FROM edges e JOIN fol f ON f.id = e.parent_id WHERE NOT e.is_folder AND regexp_matches(lower(e.name), '^(resume|cv)([-_ ].*)?\\.(pdf|docx)$')""",
         "s8": "SELECT item_id || chr(9) || replace(text, chr(10), ' ') AS line FROM benchmark",
         "s9": f"WITH {EDGES} SELECT id, 'https://store.example/file/' || id AS url FROM edges WHERE NOT is_folder",
         "s13": f"WITH {CV} SELECT doc_id, sector, filename AS file_name FROM cv WHERE sector IN ('security', 'hospitality')",

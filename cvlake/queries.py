@@ -19,7 +19,7 @@ from cvlake.operators import automaton, contact, experience, fuzzy, names, phone
 from cvlake.plans import index, parse, search
 from cvlake.plans.corpus import cv_corpus
 from cvlake.sources import documents as d
-from cvlake.sources import listing, paged, store
+from cvlake.sources import listing, paged, registry, store
 from cvlake.streaming import upsert
 
 #: The queries of the search box that results are shown for.
@@ -598,6 +598,15 @@ def o1(spark, sf):
     return store.sync(spark, path, second).select("file_id", "sector", "file_name", "run")
 
 
+def o2(spark, sf):
+    """The files of every region's sector, by a registry of links to the regions' folders, in one walk."""
+    long = lambda c: F.concat(F.lit("folder00"), c)
+    edges = _edges(spark, sf).withColumns({"parent_id": long("parent_id"), "id": long("id")})
+    link = F.concat(F.lit("https://store.example/folders/"), long(F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))))
+    sectors = registry.registered(_table("region")(spark, sf).select(F.col("r_name").alias("sector"), link.alias("link")))
+    return registry.sector_files(edges, sectors).select("sector", "id", "name", "virtual_path")
+
+
 def o1_stream(spark, sf):
     """Changes of orders as a stream of four batches; changes that come late are older, and an order may be in two sectors."""
     path, source = store.scratch(spark, "streamed"), store.scratch(spark, "changes")
@@ -681,7 +690,7 @@ def s14(spark, sf):
     return place.select("n_nationkey", words).select("n_nationkey", "w", found.alias("c")).select("n_nationkey", "w", "c.*")
 
 
-ALL = (n1, n2, n3, n4, n5, n6, n7, n8, n9, n10, c1, c2, c2_embed, c2_table, g1, g2, g3, g4, e1, e2, e2_plan, e3, e4, e5, p1, p2, p3, p3_tokens, p4, p5, p6, l1, l2, l3, l4, l4_table, l5, r1, r2, r3, r4, r5, r6, r7, a1, a2, a3, a4, q1, q2, q3, q4, q5, h1, h1_fast, h1_index, h2, h3, h4, h5, h6, h7, h8, h8_full, h8_index, h9, h10, h10_index, h11, h12, h13, s1, s2, s3, s4, s5, s6, s7, s7_paged, s8, s9, s12, s13, s14, x1, x2, x3, x4, x5, x6, k1, k2, k2_index, k3, o1, o1_stream)
+ALL = (n1, n2, n3, n4, n5, n6, n7, n8, n9, n10, c1, c2, c2_embed, c2_table, g1, g2, g3, g4, e1, e2, e2_plan, e3, e4, e5, p1, p2, p3, p3_tokens, p4, p5, p6, l1, l2, l3, l4, l4_table, l5, r1, r2, r3, r4, r5, r6, r7, a1, a2, a3, a4, q1, q2, q3, q4, q5, h1, h1_fast, h1_index, h2, h3, h4, h5, h6, h7, h8, h8_full, h8_index, h9, h10, h10_index, h11, h12, h13, s1, s2, s3, s4, s5, s6, s7, s7_paged, s8, s9, s12, s13, s14, x1, x2, x3, x4, x5, x6, k1, k2, k2_index, k3, o1, o1_stream, o2)
 
 
 def queries() -> dict:

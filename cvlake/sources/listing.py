@@ -84,19 +84,24 @@ def list_resumes(edges: DataFrame, root: str, include_subfolders: bool = True, c
     paths reach, or that lies in a cycle, is entered once, where it is reached first (fewest levels, then path). Each
     level is one join and is written to the shared folder, and only the question whether it is empty comes to the driver.
     """
+    roots = edges.sparkSession.createDataFrame([(root, root, "")], "root string, folder string, prefix string")
+    found = resumes_below(edges, roots, include_subfolders, config, exact)
+    return found.select("id", "name", "virtual_path").orderBy(F.lower("virtual_path"), "id")
+
+
+def resumes_below(edges: DataFrame, roots: DataFrame, include_subfolders: bool = True, config: Config = CONFIG, exact: str = "") -> DataFrame:
+    """list_resumes() of many trees in one walk: (root, id, name, virtual_path) for roots (root, folder, prefix)."""
     spark = edges.sparkSession
     named = edges.where("id <> '' AND name <> ''")
-    level = spark.createDataFrame([(root, "")], "folder string, prefix string")
-    seen = level
+    seen = level = roots
     while include_subfolders:
-        below = named.where("is_folder").join(level, F.col("parent_id") == F.col("folder")).select(F.col("id").alias("folder"), F.concat("prefix", "name", F.lit("/")).alias("prefix"))
-        level = written(below.groupBy("folder").agg(F.min("prefix").alias("prefix")).join(seen.select("folder"), "folder", "left_anti"), scratch(spark, "folders"))
+        below = named.where("is_folder").join(level, F.col("parent_id") == F.col("folder")).select("root", F.col("id").alias("folder"), F.concat("prefix", "name", F.lit("/")).alias("prefix"))
+        level = written(below.groupBy("root", "folder").agg(F.min("prefix").alias("prefix")).join(seen.select("root", "folder"), ["root", "folder"], "left_anti"), scratch(spark, "folders"))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
     files = named.where("NOT is_folder").where(is_resume_filename(F.col("name"), config, exact))
-    found = files.join(seen, files.parent_id == seen.folder).select("id", "name", strip(F.concat("prefix", "name")).alias("virtual_path"))
-    return found.orderBy(F.lower("virtual_path"), "id")
+    return files.join(seen, files.parent_id == seen.folder).select("root", "id", "name", strip(F.concat("prefix", "name")).alias("virtual_path"))
 
 
 def within_limit(listing: DataFrame, most: int = CONFIG.listing_items) -> DataFrame:
