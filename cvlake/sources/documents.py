@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import io
 import zipfile
+from decimal import ROUND_HALF_UP, Decimal
 from xml.etree import ElementTree
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cvlake.config import CONFIG, Config
-from cvlake.functions.text import clean_lines, let, strip
+from cvlake.functions.text import BLANKS, clean_lines, let, strip
 
 #: Fixed value: the XML namespace of word processing documents.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -94,6 +97,58 @@ def lines_from_words(words: Column) -> Column:
     return F.filter(F.transform(lines, strip), lambda x: x != "")
 
 
+def page_lines(words: Column) -> Column:
+    """lines_from_words() of a column, for many pages at once; it can't be in a lambda. Pages with nulls are left to that."""
+
+    def tenths(x: np.ndarray) -> np.ndarray:
+        """Rounded as by F.round(x, 1): halves of the decimal digits go away from zero."""
+        y = np.abs(x) * 10.0
+        out = np.copysign(np.floor(y + 0.5) / 10.0, x)
+        unsure = np.flatnonzero((np.abs(y - np.floor(y) - 0.5) < 1e-3) | (y > 1e12))
+        values, place = np.unique(x[unsure], return_inverse=True)
+        out[unsure] = np.array([float(Decimal(repr(v)).quantize(Decimal("0.1"), ROUND_HALF_UP)) if abs(v) < 1e15 else v for v in values.tolist()], float)[place]
+        return out
+
+    @F.arrow_udf("array<string>")
+    def lines_of(pages: pa.Array) -> pa.Array:
+        """The lines of each page; null for a page that is null or holds a null or a number that isn't finite."""
+        size = pc.fill_null(pc.list_value_length(pages), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words, page = pages.flatten(), np.repeat(np.arange(len(pages)), size)
+        text, (top, x0) = words.field("text"), (pc.cast(words.field(c), pa.float64()).to_numpy(zero_copy_only=False) for c in ("top", "x0"))
+        bad = ~(np.isfinite(top) & np.isfinite(x0)) | (words.is_null().to_numpy(zero_copy_only=False) | text.is_null().to_numpy(zero_copy_only=False))
+        odd = pages.is_null().to_numpy(zero_copy_only=False)
+        odd[page[bad]] = True
+        kept = np.flatnonzero(~odd[page])
+        size, top = np.where(odd, 0, size), tenths(top[kept])
+        order = np.lexsort((x0[kept], top, page[kept]))  # stable, so in the given order if both are equal
+        top, page = top[order], page[kept][order]
+        starts = np.cumsum(size) - size
+        opens = np.zeros(len(top), bool)
+        active = np.flatnonzero(size)
+        first = np.full(len(size), -np.inf)
+        for k in range(int(size.max(initial=0))):  # word k of all pages that have so many
+            active = active[size[active] > k]
+            at = starts[active] + k
+            fresh = top[at] - first[active] > 2.0
+            opens[at] = fresh
+            first[active[fresh]] = top[at[fresh]]
+        heads = np.flatnonzero(opens)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(heads, len(top)), pa.int32()), text.take(pa.array(kept[order]))), " ")
+        lines = pc.utf8_trim(lines.cast(pa.string()), characters=BLANKS)
+        full = pc.not_equal(lines, "").to_numpy(zero_copy_only=False)
+        ends = np.cumsum(np.bincount(page[heads][full], minlength=len(size)))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), lines.filter(pa.array(full)), mask=pa.array(odd))
+
+    return F.coalesce(lines_of(words), lines_from_words(words))
+
+
+def page_texts(pages: DataFrame, key: str, order: str, words: Column, config: Config = CONFIG) -> DataFrame:
+    """(key, text) of a row for each page: page_text() of each document, with the lines made page by page, before pages meet."""
+    lines = pages.select(key, order, page_lines(words).alias("lines"))
+    held = lines.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "lines"))).alias("p"))
+    return held.select(key, join_pages(drop_repeated_lines(F.transform("p", lambda x: x["lines"]), config)).alias("text"))
+
+
 def drop_repeated_lines(pages: Column, config: Config = CONFIG) -> Column:
     """array<array<string>> without short lines that most pages have; one page alone is left as it is."""
     each = F.sort_array(F.flatten(F.transform(pages, lambda p: F.array_distinct(F.filter(p, lambda x: F.length(x) <= 80)))))
